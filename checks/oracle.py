@@ -440,8 +440,8 @@ ORACLE["dedup_canonical"] = f"""WITH {RAW}
 ORACLE["dedup_headline_url"] = f"""WITH {RAW} {first_rows('raw', 'headline, url', 'ord', 'headline, url, reporter, ord')}"""
 ORACLE["dedup_base"] = f"""WITH {MATCHED}, ai AS (SELECT * FROM matched WHERE is_ai_related)
   {first_rows('ai', 'posted_at, url, ticker', 'ord', 'posted_at, url, ticker, ord')}"""
-ORACLE["dedup_headline"] = f"""WITH {PROCESSED}, some AS (SELECT * FROM processed WHERE ticker IN ({listed(TICKERS)}))
-  {first_rows('some', 'headline', 'ord', 'headline, ticker, ord')}"""
+ORACLE["dedup_headline"] = f"""WITH {PROCESSED}, chosen AS (SELECT * FROM processed WHERE ticker IN ({listed(TICKERS)}))
+  {first_rows('chosen', 'headline', 'ord', 'headline, ticker, ord')}"""
 ORACLE["distinct_ordered"] = f"WITH {RAW} SELECT headline, min(ord) AS first_ord FROM raw GROUP BY headline"
 
 # --- row functions
@@ -474,8 +474,8 @@ ORACLE["llm_spread"] = f"WITH {PROCESSED} SELECT ord, {r6(f'list_stddev_samp({LL
 ORACLE["daily_features"] = f"""WITH {FEATURES} SELECT ticker, date,
   {', '.join(r6(c) for c in [*DELTA_COLUMNS, 'delta_sum', 'delta_mean_signed', 'llm_spread'])} FROM features"""
 ORACLE["row_mean"] = f"WITH {PROCESSED} SELECT ord, {r6(f'list_avg({LLM_LIST})', 'row_mean')} FROM processed"
-CONTRARIAN = f"""{PROCESSED}, some AS (SELECT * FROM processed WHERE ticker IN ({listed(TICKERS)})),
-kept AS ({first_rows('some', 'headline', 'ord')}),
+CONTRARIAN = f"""{PROCESSED}, chosen AS (SELECT * FROM processed WHERE ticker IN ({listed(TICKERS)})),
+kept AS ({first_rows('chosen', 'headline', 'ord')}),
 contrarian AS (SELECT ord, headline FROM kept WHERE NOT coalesce(
   sign(sentiment_llm_deepseek_r1) = sign(list_avg([{', '.join(SENTIMENT_COLUMNS[:3])}])), false))"""
 ORACLE["contrarian_rows"] = f"WITH {CONTRARIAN} SELECT ord, headline FROM contrarian"

@@ -413,7 +413,7 @@ def date_join_prices(spark, d):
 
 @query
 def daily_sentiment(spark, d):
-    return rounded(dly.daily_sentiment(b.processed(spark, d)), *AVERAGE_COLUMNS)
+    return rounded(b.daily(spark, d), *AVERAGE_COLUMNS)
 
 
 @query
@@ -450,7 +450,7 @@ def corr_delta_block(spark, d):
 
 @query
 def safe_corr(spark, d):
-    """Per outlet of the document labels, a constant column included."""
+    """Per return flag, with a constant column among the pairs."""
     rows = b.table(spark, d, "lineitem").select(
         "l_returnflag", "l_quantity", "l_extendedprice", F.lit(1.0).alias("one")
     )
@@ -471,7 +471,6 @@ def quintile_excess(spark, d):
 
 @query
 def quintile_change(spark, d):
-    # The difference is rounded like the level it comes from.
     table = stats.quintile_change(b.daily_q(spark, d), "phi3_avg", b.EXCESS_COLUMNS)
     return rounded(table, *b.EXCESS_COLUMNS)
 

@@ -22,17 +22,19 @@ def parse_score(response: Column) -> Column:
 
 
 def prob_score(logits: Column, labels: list[str], text: Column | None = None) -> Column:
-    """P(positive) - P(negative) from the softmax of class logits; a blank text scores 0."""
+    """P(positive) - P(negative) from the softmax of class logits; a blank text scores 0.
+
+    ``labels`` names every class in the order of the logits.
+    """
     names = [label.lower() for label in labels]
+    cells = [F.get(logits, F.lit(i)) for i in range(len(names))]
     top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    weights = [F.exp(cell - top) for cell in cells]
+    total = reduce(lambda a, b: a + b, weights)
 
     def prob(label: str) -> Column:
-        if label not in names:
-            return F.lit(0.0)
-        at = len(names) - 1 - names[::-1].index(label)
-        value = F.exp(F.try_element_at(logits, F.lit(at + 1)) - top) / total
-        return F.when(F.size(logits) > at, value).otherwise(F.lit(0.0))
+        at = [i for i, name in enumerate(names) if name == label]
+        return weights[at[-1]] / total if at else F.lit(0.0)
 
     score = clamp(prob("positive") - prob("negative"))
     return score if text is None else F.when(is_blank(text), F.lit(0.0)).otherwise(score)

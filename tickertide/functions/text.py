@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,15 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    An expression named several times, above all inside a lambda, would be evaluated each
+    time; as a lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trim any Unicode white space, not only blanks."""
     return F.regexp_replace(col, f"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -96,23 +106,22 @@ def keywords_present(text: Column, keywords: list[str]) -> Column:
         else:
             punctuated.append(kw)
 
-    parts = []
-    if words:
-        parts.append(F.array_intersect(word_tokens(text), F.array(*[F.lit(k) for k in words])))
-    if phrases:
-        parts.append(F.filter(F.array(*[F.lit(k) for k in phrases]), lambda k: F.contains(text, k)))
-    if punctuated:
-        checks = [F.when(contains_keyword(text, k), F.lit(k)) for k in punctuated]
-        parts.append(F.array_compact(F.array(*checks)))
-    if not parts:
-        return F.array().cast("array<string>")
-    return F.concat(*parts)
+    def found(t: Column) -> Column:
+        parts = []
+        if words:
+            parts.append(F.array_intersect(word_tokens(t), F.array(*[F.lit(k) for k in words])))
+        if phrases:
+            parts.append(F.filter(F.array(*[F.lit(k) for k in phrases]), lambda k: F.contains(t, k)))
+        if punctuated:
+            checks = [F.when(contains_keyword(t, k), F.lit(k)) for k in punctuated]
+            parts.append(F.array_compact(F.array(*checks)))
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    return let(text, found)
 
 
 def _decode_numeric_entities(text: Column) -> Column:
     """Replace ``&#8217;`` and ``&#x2019;`` by their character."""
-    # Split before every reference; each piece but the first then starts with one.
-    pieces = F.split(text, r"(?=&#[0-9]{1,7};)|(?=&#[xX][0-9a-fA-F]{1,6};)")
 
     def decode(piece: Column) -> Column:
         dec = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
@@ -124,7 +133,13 @@ def _decode_numeric_entities(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
         return F.when(valid, F.concat(char, rest)).otherwise(piece)
 
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+    def decode_all(t: Column) -> Column:
+        # Split before every reference; each piece but the first then starts with one.
+        pieces = F.split(t, r"(?=&#[0-9]{1,7};)|(?=&#[xX][0-9a-fA-F]{1,6};)")
+        joined = F.array_join(F.transform(pieces, decode), "")
+        return F.when(F.contains(t, F.lit("&#")), joined).otherwise(t)
+
+    return let(text, decode_all)
 
 
 # Named character references that are decoded (fixed values); "&amp;" comes last, in html_text.

@@ -48,6 +48,15 @@ def _keyword_rows(lex: DataFrame | None, ai_terms: DataFrame | None) -> DataFram
     )
 
 
+def _once(col: Column) -> Column:
+    """A one-element generator around an expensive column.
+
+    The optimizer copies a plain column into every filter on it; a generator's output it
+    computes exactly once per row.
+    """
+    return F.explode(F.array(col))
+
+
 def _literal(value: str | bool | None) -> Column:
     return F.lit(value) if value is not None else F.lit(None).cast("string")
 
@@ -67,7 +76,7 @@ def _found_inline(df: DataFrame, text: str, rows: list[Row]) -> DataFrame:
         ]
     )
     # Two steps: the hits of a text are few, and are found once for all tickers.
-    hits = df.withColumn("_hits", keywords_present(F.col(text), words))
+    hits = df.select("*", _once(keywords_present(F.col(text), words)).alias("_hits"))
     found = F.filter(entries, lambda e: F.array_contains(F.col("_hits"), e["keyword"]))
     return hits.withColumn("_found", F.when(F.size("_hits") > 0, found)).drop("_hits")
 
@@ -87,9 +96,11 @@ def _keyword_key(kw: Column) -> Column:
     return F.when(at > 0, gram).otherwise(F.try_element_at(word_tokens(kw), F.lit(1)))
 
 
-def _text_keys(text: Column) -> Column:
-    """Every key a text can share with a keyword: its words and the stretches around blanks."""
-    parts = F.split(text, " ")
+def _text_keys(text: Column, parts: Column) -> Column:
+    """Every key a text can share with a keyword: its words and the stretches around blanks.
+
+    ``parts`` is a column with the text split at blanks, so that a lambda can look ahead.
+    """
 
     def around(word: Column, i: Column) -> Column:
         # Three characters past a blank reach at most into the second word after it.
@@ -114,7 +125,8 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) ->
     The candidates are then verified in the row itself.
     """
     rows = df.withColumn("_id", F.sha2(F.col(text), 256))
-    keys = rows.select("_id", F.explode(_text_keys(F.col(text))).alias("_key"))
+    parts = rows.select("_id", text, F.split(text, " ").alias("_parts"))
+    keys = parts.select("_id", F.explode(_text_keys(F.col(text), F.col("_parts"))).alias("_key"))
     kw = keywords.withColumn("_key", _keyword_key(F.col("keyword")))
     if small:
         hits = keys.join(F.broadcast(kw), "_key")
@@ -128,7 +140,8 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) ->
     entry = F.struct("keyword", "ticker", "partner", "ai")
     candidates = hits.groupBy("_id").agg(F.collect_set(entry).alias("_cands"))
     verified = F.filter(F.col("_cands"), lambda c: contains_keyword(F.col(text), c["keyword"]))
-    return rows.join(candidates, "_id", "left").withColumn("_found", verified).drop("_id", "_cands")
+    joined = rows.join(candidates, "_id", "left")
+    return joined.select("*", _once(verified).alias("_found")).drop("_id", "_cands")
 
 
 def find_keywords(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -185,28 +198,20 @@ def match_tickers(
     """
     found = _with_found(h, lex, ai_terms, strategy)
     is_ai = F.exists("_found", lambda e: e["ai"])
-    tickers = F.array_sort(
-        F.array_distinct(F.transform(F.filter("_found", lambda e: ~e["ai"]), lambda e: e["ticker"]))
-    )
+    named = F.filter("_found", lambda e: ~e["ai"])
+    tickers = F.array_sort(F.array_distinct(F.transform(named, lambda e: e["ticker"])))
     partners = F.transform(F.filter("_found", lambda e: e["partner"]), lambda e: e["ticker"])
-    rows = found.select(
-        *h.columns,
-        is_ai.alias("is_ai_related"),
-        tickers.alias("_tickers"),
-        partners.alias("_partners"),
-    )
-    unfolded = F.when(F.col("is_ai_related"), F.col("_tickers")) if ai_only else F.col("_tickers")
-    return rows.select(
-        *h.columns,
-        F.explode(unfolded).alias("ticker"),
-        "is_ai_related",
-        "_partners",
-    ).select(
-        *h.columns,
-        "ticker",
-        "is_ai_related",
-        F.array_contains("_partners", F.col("ticker")).alias("is_proxy_partnership"),
+    # The flags are part of the unfolded rows, so a later filter on them stays above and
+    # does not search the text again.
+    rows = F.transform(
+        tickers,
+        lambda t: F.struct(
+            t.alias("ticker"),
+            is_ai.alias("is_ai_related"),
+            F.array_contains(partners, t).alias("is_proxy_partnership"),
+        ),
     )
+    return found.select(*h.columns, F.inline(F.when(is_ai, rows) if ai_only else rows))
 
 
 def ai_flag(h: DataFrame, ai_terms: DataFrame, strategy: str = "auto") -> DataFrame:

@@ -22,35 +22,36 @@ def safe_corr(x: Column, y: Column) -> Column:
     return clamp(F.try_divide(F.regr_sxy(y, x), divisor))
 
 
-def _long(df: DataFrame, ids: list[str], cells: list[tuple[list[Column], Column]], value: str) -> DataFrame:
-    """Unfold aggregated cells to rows: the labels of a cell, then its value."""
-    rows = [F.struct(*labels, col.alias(value)) for labels, col in cells]
-    return df.select(*ids, F.inline(F.array(*rows)))
+def _label(col: str) -> str:
+    return HORIZON_LABELS.get(col, col)
 
 
-def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs as (x, y, r) rows, from one pass over half of the matrix."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    name = {p: f"c{p[0]}_{p[1]}" for p in pairs}
-    row = df.agg(*[safe_corr(F.col(cols[i]), F.col(cols[j])).alias(name[i, j]) for i, j in pairs])
-    cells = [
-        ([F.lit(x).alias("x"), F.lit(y).alias("y")], F.col(name[min(i, j), max(i, j)]))
-        for i, x in enumerate(cols)
-        for j, y in enumerate(cols)
-    ]
-    return _long(row, [], cells, "r")
+def _cells(df: DataFrame, ids: list[str], cells: list[tuple[list[Column], list[Column]]]) -> DataFrame:
+    """Unfold each row to one row per cell: the cell's labels, then its values.
 
+    Grouping by label afterwards keeps one small aggregate however many cells there are,
+    and every task reduces its rows to one per group before the shuffle.
+    """
+    return df.select(*ids, F.inline(F.array(*[F.struct(*labels, *vals) for labels, vals in cells])))
 
-def _label(col: str) -> str:
-    return HORIZON_LABELS.get(col, col)
 
+def _complete(table: DataFrame, grid: list[tuple], names: list[str]) -> DataFrame:
+    """Exactly the rows of a small ``grid``; one without data gets nulls."""
+    schema = ", ".join(f"{n} string" for n in names)
+    return table.sparkSession.createDataFrame(grid, schema).join(table, names, "left")
 
-def _for_tickers(table: DataFrame, tickers: list[str] | None) -> DataFrame:
-    """Exactly the named tickers; one without rows gets nulls."""
-    if tickers is None:
-        return table
-    wanted = table.sparkSession.createDataFrame([(t,) for t in tickers], "ticker string")
-    return wanted.join(table, "ticker", "left")
+
+def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All pairs as (x, y, r) rows, from one pass over half of the matrix."""
+    cells = [
+        ([F.lit(x).alias("x"), F.lit(y).alias("y")], [F.col(x).alias("a"), F.col(y).alias("b")])
+        for x, y in combinations_with_replacement(cols, 2)
+    ]
+    half = _cells(df, [], cells).groupBy("x", "y").agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
+    both = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y", "r"))).otherwise(
+        F.array(F.struct("x", "y", "r"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+    )
+    return _complete(half.select(F.inline(both)), [(x, y) for x in cols for y in cols], ["x", "y"])
 
 
 def corr_by_ticker(
@@ -62,14 +63,22 @@ def corr_by_ticker(
     """Per ticker, model and horizon: correlation of sentiment and return."""
     rows = aligned if tickers is None else aligned.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
-    table = rows.groupBy("ticker").agg(
-        *[safe_corr(F.col(s), F.col(r)).alias(f"{s}:{r}") for s, r in grid]
-    )
     cells = [
-        ([F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")], F.col(f"`{s}:{r}`"))
+        (
+            [F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")],
+            [F.col(s).alias("a"), F.col(r).alias("b")],
+        )
         for s, r in grid
     ]
-    return _long(_for_tickers(table, tickers), ["ticker"], cells, "r")
+    names = ["ticker", "model", "horizon"]
+    table = (
+        _cells(rows, ["ticker"], cells)
+        .groupBy(*names)
+        .agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
+    )
+    if tickers is None:
+        return table
+    return _complete(table, [(t, s, _label(r)) for t in tickers for s, r in grid], names)
 
 
 def corr_delta_block(
@@ -77,12 +86,16 @@ def corr_delta_block(
 ) -> DataFrame:
     """Horizons against disagreement features over all tickers, as (horizon, feature, r) rows."""
     grid = [(r, d) for r in ret_cols for d in delta_cols]
-    row = aligned.agg(*[safe_corr(F.col(d), F.col(r)).alias(f"{r}:{d}") for r, d in grid])
     cells = [
-        ([F.lit(_label(r)).alias("horizon"), F.lit(d).alias("feature")], F.col(f"`{r}:{d}`"))
+        (
+            [F.lit(_label(r)).alias("horizon"), F.lit(d).alias("feature")],
+            [F.col(d).alias("a"), F.col(r).alias("b")],
+        )
         for r, d in grid
     ]
-    return _long(row, [], cells, "r")
+    names = ["horizon", "feature"]
+    table = _cells(aligned, [], cells).groupBy(*names).agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
+    return _complete(table, [(_label(r), d) for r, d in grid], names)
 
 
 # Rank error of the first pass, and half-width of the rank range examined exactly.
@@ -109,11 +122,14 @@ def quantile_edges(df: DataFrame, col: str, q: int = 5) -> DataFrame:
             F.percentile_approx("x", [max(0.0, min(1.0, p)) for p in points], ACCURACY).alias("b"),
         ).alias("s")
     )
-    s = first.scalar()
+    # A one-row scalar subquery: no join, and each pass reads it as a plain value.
+    placed = values.withColumn("s", first.scalar())
     # Position of a value among the bracket ends: odd means inside a bracket.
-    lower = F.size(F.filter(s["b"], lambda e: e < F.col("x")))
-    upper = F.size(F.filter(s["b"], lambda e: e <= F.col("x")))
-    zoned = values.select("x", lower.alias("lo"), upper.alias("up"), (s["n"] <= EXACT_ROWS).alias("all"))
+    lower = F.size(F.filter("s.b", lambda e: e < F.col("x")))
+    upper = F.size(F.filter("s.b", lambda e: e <= F.col("x")))
+    zoned = placed.select(
+        "x", lower.alias("lo"), upper.alias("up"), (F.col("s.n") <= EXACT_ROWS).alias("all")
+    )
     inside = (F.col("lo") % 2 == 1) | (F.col("up") % 2 == 1) | (F.col("lo") < F.col("up")) | F.col("all")
     freq = (
         zoned.select(F.col("lo").alias("zone"), F.when(inside, F.col("x")).alias("x"))
@@ -124,28 +140,31 @@ def quantile_edges(df: DataFrame, col: str, q: int = 5) -> DataFrame:
     sizes = freq.groupBy("zone").agg(F.sum("n").alias("n")).agg(
         F.array_sort(F.collect_list(F.struct("zone", "n")))
     )
+    running = Window.partitionBy("zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inner = freq.withColumns(
+        {"run": F.sum("n").over(running), "sizes": sizes.scalar(), "total": first.scalar()["n"]}
+    )
     before = F.aggregate(
-        F.filter(sizes.scalar(), lambda z: z["zone"] < F.col("zone")),
+        F.filter("sizes", lambda z: z["zone"] < F.col("zone")),
         F.lit(0).cast("long"),
         lambda acc, z: acc + z["n"],
     )
-    running = Window.partitionBy("zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = freq.select(
-        "x", "n", (before + F.sum("n").over(running)).alias("end")
-    ).where(F.col("x").isNotNull())
+    ranked = inner.select("x", "n", "total", (before + F.col("run")).alias("end")).where(
+        F.col("x").isNotNull()
+    )
     # Ranks of the two values each edge lies between, in whole numbers.
     stats = []
     for k in range(1, q):
-        place = (s["n"] - 1) * F.lit(k)
+        place = (F.col("total") - 1) * F.lit(k)
         rank = ((place - place % q) / q).cast("long")
         for name, at in ((f"low{k}", rank), (f"high{k}", rank + F.when(place % q > 0, 1).otherwise(0))):
             hit = (at >= F.col("end") - F.col("n")) & (at < F.col("end"))
             stats.append(F.when(hit, F.col("x")).alias(name))
     names = [f"{side}{k}" for k in range(1, q) for side in ("low", "high")]
-    found = ranked.select(*stats).agg(*[F.max(c).alias(c) for c in names])
+    found = ranked.select("total", *stats).agg(F.max("total").alias("total"), *[F.max(c).alias(c) for c in names])
     edges = [
         F.col(f"low{k}")
-        + (F.col(f"high{k}") - F.col(f"low{k}")) * (((s["n"] - 1) * F.lit(k)) % q / F.lit(float(q)))
+        + (F.col(f"high{k}") - F.col(f"low{k}")) * (((F.col("total") - 1) * F.lit(k)) % q / F.lit(float(q)))
         for k in range(1, q)
     ]
     return found.select(F.array(*edges).alias("edges"))
@@ -164,8 +183,13 @@ def bucketed(df: DataFrame, col: str, q: int = 5, strict: bool = False) -> DataF
         if len(set(ends)) < len(ends):
             raise ValueError(f"bucket edges of {col} are not unique: {ends}")
     value = no_nan(F.col(col))
-    place = F.size(F.filter(edges.scalar(), lambda e: e < value)) + 1
-    return df.where(value.isNotNull()).withColumn("quintile", place)
+    place = F.size(F.filter("_edges", lambda e: e < value)) + 1
+    return (
+        df.where(value.isNotNull())
+        .withColumn("_edges", edges.scalar())
+        .withColumn("quintile", place)
+        .drop("_edges")
+    )
 
 
 def _bucket_means(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -200,11 +224,12 @@ def hit_rate_overall(
     daily_q: DataFrame, sent_col: str, ret_cols: list[str] = RETURN_COLUMNS, strict: bool = False
 ) -> DataFrame:
     """Share of rows whose return has the sign of the sentiment, per horizon."""
-    row = daily_q.agg(
-        *[F.avg(hit_flag(F.col(sent_col), F.col(r), strict)).alias(r) for r in ret_cols]
-    )
-    cells = [([F.lit(_label(r)).alias("horizon")], F.col(r)) for r in ret_cols]
-    return _long(row, [], cells, "hit_rate")
+    cells = [
+        ([F.lit(_label(r)).alias("horizon")], [hit_flag(F.col(sent_col), F.col(r), strict).alias("hit")])
+        for r in ret_cols
+    ]
+    table = _cells(daily_q, [], cells).groupBy("horizon").agg(F.avg("hit").alias("hit_rate"))
+    return _complete(table, [(_label(r),) for r in ret_cols], ["horizon"])
 
 
 def hit_rate_by_ticker(
@@ -217,14 +242,18 @@ def hit_rate_by_ticker(
     """Hit rates per (ticker, model, horizon)."""
     rows = daily_q if tickers is None else daily_q.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
-    table = rows.groupBy("ticker").agg(
-        *[F.avg(hit_flag(F.col(s), F.col(r), strict)).alias(f"{s}:{r}") for s, r in grid]
-    )
     cells = [
-        ([F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")], F.col(f"`{s}:{r}`"))
+        (
+            [F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")],
+            [hit_flag(F.col(s), F.col(r), strict).alias("hit")],
+        )
         for s, r in grid
     ]
-    return _long(_for_tickers(table, tickers), ["ticker"], cells, "hit_rate")
+    names = ["ticker", "model", "horizon"]
+    table = _cells(rows, ["ticker"], cells).groupBy(*names).agg(F.avg("hit").alias("hit_rate"))
+    if tickers is None:
+        return table
+    return _complete(table, [(t, s, _label(r)) for t in tickers for s, r in grid], names)
 
 
 def stage_counts(named_stages: dict[str, DataFrame]) -> DataFrame:
