@@ -20,7 +20,7 @@ from tickertide.schemas import (
     RETURN_COLUMNS,
     SENTIMENT_COLUMNS,
 )
-from tickertide.session import scratch_path
+from tickertide.session import cut_lineage, scratch_path
 from tickertide.sources import feeds, headlines, lexicon, prices, writers
 from tickertide.streaming import ingest
 
@@ -465,13 +465,15 @@ def safe_corr(spark, d):
 
 @query
 def quintile_excess(spark, d):
-    table = stats.quintile_excess(b.daily_q(spark, d), "finbert_avg", b.EXCESS_COLUMNS)
+    daily_q = cut_lineage(b.daily_q(spark, d), "daily_q")
+    table = stats.quintile_excess(daily_q, "finbert_avg", b.EXCESS_COLUMNS)
     return rounded(table, *b.EXCESS_COLUMNS)
 
 
 @query
 def quintile_change(spark, d):
-    table = stats.quintile_change(b.daily_q(spark, d), "phi3_avg", b.EXCESS_COLUMNS)
+    daily_q = cut_lineage(b.daily_q(spark, d), "daily_q")
+    table = stats.quintile_change(daily_q, "phi3_avg", b.EXCESS_COLUMNS)
     return rounded(table, *b.EXCESS_COLUMNS)
 
 

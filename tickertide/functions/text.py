@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes.  WORD is what Python's \w accepts; SPACE is what str.split() splits on.
-WORD = r"[\p{L}\p{N}_]"
+# Character classes.  WORD is what Python's \w accepts, common letters named first for speed;
+# SPACE is what str.split() splits on.
+WORD = r"[a-z0-9_\p{L}\p{N}]"
 SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -22,6 +25,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def literal_table(values: list[Any], schema: str) -> Column:
+    """A list as one literal: parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(values)), schema)
+
+
 def strip(col: Column) -> Column:
     """Trim any Unicode white space, not only blanks."""
     return F.regexp_replace(col, f"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -43,7 +51,7 @@ def normalize_url(col: Column) -> Column:
 
 def word_tokens(col: Column) -> Column:
     """Maximal runs of word characters."""
-    return F.regexp_extract_all(col, F.lit(f"({WORD}+)"), F.lit(1))
+    return F.regexp_extract_all(col, F.lit(f"{WORD}+"), F.lit(0))
 
 
 def word_boundary_pattern(keyword: str) -> str:
@@ -109,9 +117,10 @@ def keywords_present(text: Column, keywords: list[str]) -> Column:
     def found(t: Column) -> Column:
         parts = []
         if words:
-            parts.append(F.array_intersect(word_tokens(t), F.array(*[F.lit(k) for k in words])))
+            parts.append(F.array_intersect(word_tokens(t), literal_table(words, "array<string>")))
         if phrases:
-            parts.append(F.filter(F.array(*[F.lit(k) for k in phrases]), lambda k: F.contains(t, k)))
+            table = literal_table(phrases, "array<string>")
+            parts.append(F.filter(table, lambda k: F.contains(t, k)))
         if punctuated:
             checks = [F.when(contains_keyword(t, k), F.lit(k)) for k in punctuated]
             parts.append(F.array_compact(F.array(*checks)))

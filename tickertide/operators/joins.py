@@ -39,9 +39,10 @@ def asof_forward(
     Left join, no tolerance; where several right rows share key and date, any one of them.
 
     A window per key alone would run on as many tasks as there are keys and hold a hot key
-    in one of them.  Time is therefore cut into buckets of ``bucket_days``: within (key,
-    bucket) a window finds the next right row, and where the bucket has none left, the first
-    row of the next filled bucket is taken from a table of one row per key and bucket.
+    in one of them.  Time is therefore cut into buckets of ``bucket_days``, and the window
+    runs per (key, bucket).  So that it always finds a row, the first right row of every
+    bucket is copied into the buckets before it, back to the last one that has right rows;
+    these copies number at most one per key and bucket.
     """
     values = [c for c in right.columns if c != by]
     clash = [c for c in values if c in left.columns]
@@ -64,30 +65,30 @@ def asof_forward(
         F.struct(*left.columns).alias("_l"),
     )
 
-    # One row per key and bucket: its first right row, pre-aggregated before the shuffle.
-    firsts = r.groupBy("_by", "_b").agg(F.min_by("_r", "_at").alias("_first"))
-    marks = firsts.unionByName(
-        lefts.select("_by", "_b").distinct(), allowMissingColumns=True
-    ).groupBy("_by", "_b").agg(F.first("_first", ignorenulls=True).alias("_first"))
-    # Latest first, so that every frame grows row by row; frames that end at the last row
-    # are evaluated anew for each row.
-    later = Window.partitionBy("_by").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = marks.select(
-        "_by", "_b", F.last("_first", ignorenulls=True).over(later).alias("_next")
-    ).where(F.col("_next").isNotNull())
-
-    both = r.withColumn("_side", F.lit(1)).unionByName(
-        lefts.withColumn("_side", F.lit(0)), allowMissingColumns=True
+    # Left rows older than all right rows share one bucket ahead of them.
+    oldest = r.agg(F.min("_b") - 1).scalar()
+    lefts = lefts.withColumn("_b", F.greatest("_b", oldest))
+
+    # One row per key and bucket, reduced in every task before the shuffle.
+    firsts = r.groupBy("_by", "_b").agg(F.min("_at").alias("_at"), F.min_by("_r", "_at").alias("_r"))
+    by_bucket = Window.partitionBy("_by").orderBy("_b")
+    copies = firsts.withColumn("_from", F.coalesce(F.lag("_b").over(by_bucket), oldest)).select(
+        "_by", "_at", F.explode(F.sequence("_from", F.col("_b") - 1)).alias("_b"), "_r"
+    )
+
+    both = (
+        r.unionByName(copies)
+        .withColumn("_side", F.lit(1))
+        .unionByName(lefts.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     )
-    # At equal dates the right row is seen before the left ones, so an exact match counts.
+    # Latest first, so that the frame grows row by row.  At equal dates the right row is
+    # seen before the left ones, so an exact match counts.
     seen = (
         Window.partitionBy("_by", "_b")
         .orderBy(F.desc("_at"), F.desc("_side"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(seen)).where("_side = 0")
-    joined = found.join(nexts, ["_by", "_b"], "left")
-    hit = F.coalesce("_hit", "_next")
     # A row without key or date has nothing to be aligned with.
-    hit = F.when(F.col("_by").isNotNull() & F.col("_at").isNotNull(), hit)
-    return joined.select("_l.*", *[hit[c].alias(c) for c in values])
+    hit = F.when(F.col("_by").isNotNull() & F.col("_at").isNotNull(), F.col("_hit"))
+    return found.select("_l.*", *[hit[c].alias(c) for c in values])

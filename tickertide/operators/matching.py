@@ -10,6 +10,7 @@ from tickertide.functions.text import (
     contains_keyword,
     is_blank,
     keywords_present,
+    literal_table,
     normalize_headline,
     strip,
     word_tokens,
@@ -27,7 +28,7 @@ FOUND = "array<struct<keyword:string,ticker:string,partner:boolean,ai:boolean>>"
 
 
 def _keyword_rows(lex: DataFrame | None, ai_terms: DataFrame | None) -> DataFrame:
-    """Both keyword tables in one layout, lower-case, one row per (keyword, ticker)."""
+    """Both keyword tables in one layout, lower-case; a keyword may have several rows."""
     frames = []
     if lex is not None:
         kw = F.lower(strip(F.col("keyword"))).alias("keyword")
@@ -41,11 +42,7 @@ def _keyword_rows(lex: DataFrame | None, ai_terms: DataFrame | None) -> DataFram
             )
         )
     rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return (
-        rows.where("keyword <> ''")
-        .groupBy("keyword", "ticker")
-        .agg(F.bool_or("partner").alias("partner"), F.bool_or("ai").alias("ai"))
-    )
+    return rows.where("keyword <> ''")
 
 
 def _once(col: Column) -> Column:
@@ -57,24 +54,11 @@ def _once(col: Column) -> Column:
     return F.explode(F.array(col))
 
 
-def _literal(value: str | bool | None) -> Column:
-    return F.lit(value) if value is not None else F.lit(None).cast("string")
-
-
 def _found_inline(df: DataFrame, text: str, rows: list[Row]) -> DataFrame:
     """Keyword hits per row with the keyword table as literals: no join and no shuffle."""
     words = sorted({r.keyword for r in rows})
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(r.keyword).alias("keyword"),
-                _literal(r.ticker).alias("ticker"),
-                F.lit(r.partner).alias("partner"),
-                F.lit(r.ai).alias("ai"),
-            )
-            for r in sorted(rows, key=lambda r: (r.ticker or "", r.keyword))
-        ]
-    )
+    distinct = sorted({tuple(r) for r in rows}, key=repr)
+    entries = literal_table([dict(zip(rows[0].asDict(), r)) for r in distinct], FOUND)
     # Two steps: the hits of a text are few, and are found once for all tickers.
     hits = df.select("*", _once(keywords_present(F.col(text), words)).alias("_hits"))
     found = F.filter(entries, lambda e: F.array_contains(F.col("_hits"), e["keyword"]))
@@ -256,15 +240,9 @@ def headline_context(h_tickers: DataFrame, contexts: DataFrame) -> DataFrame:
     if not rows:
         return h_tickers.withColumn("context", F.lit(None).cast("string"))
     if len(rows) <= INLINE_ROWS:
-        table = F.array(
-            *[
-                F.struct(
-                    F.lit(r.ticker).alias("ticker"),
-                    F.lit(r.keyword).alias("keyword"),
-                    F.lit(r.context).alias("context"),
-                )
-                for r in rows
-            ]
+        table = literal_table(
+            [{"ticker": r.ticker, "keyword": r.keyword, "context": r.context} for r in rows],
+            "array<struct<ticker:string,keyword:string,context:string>>",
         )
 
         def of_ticker(ticker: Column) -> Column:

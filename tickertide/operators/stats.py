@@ -26,13 +26,21 @@ def _label(col: str) -> str:
     return HORIZON_LABELS.get(col, col)
 
 
-def _cells(df: DataFrame, ids: list[str], cells: list[tuple[list[Column], list[Column]]]) -> DataFrame:
-    """Unfold each row to one row per cell: the cell's labels, then its values.
+def _cells(df: DataFrame, ids: list[str], cells: list[dict[str, str]]) -> DataFrame:
+    """Unfold each row to one row per cell, whose columns are given as SQL expressions.
 
-    Grouping by label afterwards keeps one small aggregate however many cells there are,
-    and every task reduces its rows to one per group before the shuffle.
+    Grouping by the cell's labels afterwards keeps one small aggregate however many cells
+    there are, and every task reduces its rows to one per group before the shuffle.
     """
-    return df.select(*ids, F.inline(F.array(*[F.struct(*labels, *vals) for labels, vals in cells])))
+    structs = [
+        "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in cell.items()) + ")"
+        for cell in cells
+    ]
+    return df.selectExpr(*ids, f"inline(array({', '.join(structs)}))")
+
+
+def _quoted(label: str) -> str:
+    return "'" + label.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _complete(table: DataFrame, grid: list[tuple], names: list[str]) -> DataFrame:
@@ -44,7 +52,7 @@ def _complete(table: DataFrame, grid: list[tuple], names: list[str]) -> DataFram
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """All pairs as (x, y, r) rows, from one pass over half of the matrix."""
     cells = [
-        ([F.lit(x).alias("x"), F.lit(y).alias("y")], [F.col(x).alias("a"), F.col(y).alias("b")])
+        {"x": _quoted(x), "y": _quoted(y), "a": f"`{x}`", "b": f"`{y}`"}
         for x, y in combinations_with_replacement(cols, 2)
     ]
     half = _cells(df, [], cells).groupBy("x", "y").agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
@@ -64,10 +72,7 @@ def corr_by_ticker(
     rows = aligned if tickers is None else aligned.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
     cells = [
-        (
-            [F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")],
-            [F.col(s).alias("a"), F.col(r).alias("b")],
-        )
+        {"model": _quoted(s), "horizon": _quoted(_label(r)), "a": f"`{s}`", "b": f"`{r}`"}
         for s, r in grid
     ]
     names = ["ticker", "model", "horizon"]
@@ -87,10 +92,7 @@ def corr_delta_block(
     """Horizons against disagreement features over all tickers, as (horizon, feature, r) rows."""
     grid = [(r, d) for r in ret_cols for d in delta_cols]
     cells = [
-        (
-            [F.lit(_label(r)).alias("horizon"), F.lit(d).alias("feature")],
-            [F.col(d).alias("a"), F.col(r).alias("b")],
-        )
+        {"horizon": _quoted(_label(r)), "feature": _quoted(d), "a": f"`{d}`", "b": f"`{r}`"}
         for r, d in grid
     ]
     names = ["horizon", "feature"]
@@ -125,8 +127,8 @@ def quantile_edges(df: DataFrame, col: str, q: int = 5) -> DataFrame:
     # A one-row scalar subquery: no join, and each pass reads it as a plain value.
     placed = values.withColumn("s", first.scalar())
     # Position of a value among the bracket ends: odd means inside a bracket.
-    lower = F.size(F.filter("s.b", lambda e: e < F.col("x")))
-    upper = F.size(F.filter("s.b", lambda e: e <= F.col("x")))
+    lower = F.expr(" + ".join(f"int(s.b[{i}] < x)" for i in range(len(points))))
+    upper = F.expr(" + ".join(f"int(s.b[{i}] <= x)" for i in range(len(points))))
     zoned = placed.select(
         "x", lower.alias("lo"), upper.alias("up"), (F.col("s.n") <= EXACT_ROWS).alias("all")
     )
@@ -183,12 +185,12 @@ def bucketed(df: DataFrame, col: str, q: int = 5, strict: bool = False) -> DataF
         if len(set(ends)) < len(ends):
             raise ValueError(f"bucket edges of {col} are not unique: {ends}")
     value = no_nan(F.col(col))
-    place = F.size(F.filter("_edges", lambda e: e < value)) + 1
+    place = F.expr(" + ".join(["1"] + [f"int(_edges[{k}] < _value)" for k in range(q - 1)]))
     return (
-        df.where(value.isNotNull())
-        .withColumn("_edges", edges.scalar())
+        df.withColumns({"_edges": edges.scalar(), "_value": value})
+        .where("_value is not null")
         .withColumn("quintile", place)
-        .drop("_edges")
+        .drop("_edges", "_value")
     )
 
 
@@ -224,11 +226,9 @@ def hit_rate_overall(
     daily_q: DataFrame, sent_col: str, ret_cols: list[str] = RETURN_COLUMNS, strict: bool = False
 ) -> DataFrame:
     """Share of rows whose return has the sign of the sentiment, per horizon."""
-    cells = [
-        ([F.lit(_label(r)).alias("horizon")], [hit_flag(F.col(sent_col), F.col(r), strict).alias("hit")])
-        for r in ret_cols
-    ]
-    table = _cells(daily_q, [], cells).groupBy("horizon").agg(F.avg("hit").alias("hit_rate"))
+    cells = [{"horizon": _quoted(_label(r)), "s": f"`{sent_col}`", "r": f"`{r}`"} for r in ret_cols]
+    hit = hit_flag(F.col("s"), F.col("r"), strict)
+    table = _cells(daily_q, [], cells).groupBy("horizon").agg(F.avg(hit).alias("hit_rate"))
     return _complete(table, [(_label(r),) for r in ret_cols], ["horizon"])
 
 
@@ -243,14 +243,12 @@ def hit_rate_by_ticker(
     rows = daily_q if tickers is None else daily_q.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
     cells = [
-        (
-            [F.lit(s).alias("model"), F.lit(_label(r)).alias("horizon")],
-            [hit_flag(F.col(s), F.col(r), strict).alias("hit")],
-        )
+        {"model": _quoted(s), "horizon": _quoted(_label(r)), "s": f"`{s}`", "r": f"`{r}`"}
         for s, r in grid
     ]
     names = ["ticker", "model", "horizon"]
-    table = _cells(rows, ["ticker"], cells).groupBy(*names).agg(F.avg("hit").alias("hit_rate"))
+    hit = hit_flag(F.col("s"), F.col("r"), strict)
+    table = _cells(rows, ["ticker"], cells).groupBy(*names).agg(F.avg(hit).alias("hit_rate"))
     if tickers is None:
         return table
     return _complete(table, [(t, s, _label(r)) for t in tickers for s, r in grid], names)

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording a call site per column call costs more than planning a wide query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
