@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +23,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def literal_table(values: list[Any], schema: str) -> Column:
-    """A list as one literal: parsed once, when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(values)), schema)
+def sql_value(value: str | bool | None) -> str:
+    """A text, flag or null as SQL text."""
+    if value is None:
+        return "string(null)"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: list[str] | list[dict]) -> Column:
+    """A small list of texts or of records as one constant column."""
+    items = []
+    for value in values:
+        if isinstance(value, dict):
+            cells = (f"'{name}', {sql_value(cell)}" for name, cell in value.items())
+            items.append(f"named_struct({', '.join(cells)})")
+        else:
+            items.append(sql_value(value))
+    return F.expr(f"array({', '.join(items)})")
 
 
 def strip(col: Column) -> Column:
@@ -117,9 +131,9 @@ def keywords_present(text: Column, keywords: list[str]) -> Column:
     def found(t: Column) -> Column:
         parts = []
         if words:
-            parts.append(F.array_intersect(word_tokens(t), literal_table(words, "array<string>")))
+            parts.append(F.array_intersect(word_tokens(t), literal_array(words)))
         if phrases:
-            table = literal_table(phrases, "array<string>")
+            table = literal_array(phrases)
             parts.append(F.filter(table, lambda k: F.contains(t, k)))
         if punctuated:
             checks = [F.when(contains_keyword(t, k), F.lit(k)) for k in punctuated]

@@ -10,7 +10,7 @@ from tickertide.functions.text import (
     contains_keyword,
     is_blank,
     keywords_present,
-    literal_table,
+    literal_array,
     normalize_headline,
     strip,
     word_tokens,
@@ -58,7 +58,7 @@ def _found_inline(df: DataFrame, text: str, rows: list[Row]) -> DataFrame:
     """Keyword hits per row with the keyword table as literals: no join and no shuffle."""
     words = sorted({r.keyword for r in rows})
     distinct = sorted({tuple(r) for r in rows}, key=repr)
-    entries = literal_table([dict(zip(rows[0].asDict(), r)) for r in distinct], FOUND)
+    entries = literal_array([dict(zip(rows[0].asDict(), r)) for r in distinct])
     # Two steps: the hits of a text are few, and are found once for all tickers.
     hits = df.select("*", _once(keywords_present(F.col(text), words)).alias("_hits"))
     found = F.filter(entries, lambda e: F.array_contains(F.col("_hits"), e["keyword"]))
@@ -240,9 +240,8 @@ def headline_context(h_tickers: DataFrame, contexts: DataFrame) -> DataFrame:
     if not rows:
         return h_tickers.withColumn("context", F.lit(None).cast("string"))
     if len(rows) <= INLINE_ROWS:
-        table = literal_table(
-            [{"ticker": r.ticker, "keyword": r.keyword, "context": r.context} for r in rows],
-            "array<struct<ticker:string,keyword:string,context:string>>",
+        table = literal_array(
+            [{"ticker": r.ticker, "keyword": r.keyword, "context": r.context} for r in rows]
         )
 
         def of_ticker(ticker: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickertide.functions.scores import clamp, hit_flag, no_nan, quintile_label
+from tickertide.functions.text import sql_value
 from tickertide.operators.daily import sentiment_change
 from tickertide.schemas import HORIZON_LABELS, RETURN_COLUMNS
 
@@ -39,10 +40,6 @@ def _cells(df: DataFrame, ids: list[str], cells: list[dict[str, str]]) -> DataFr
     return df.selectExpr(*ids, f"inline(array({', '.join(structs)}))")
 
 
-def _quoted(label: str) -> str:
-    return "'" + label.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _complete(table: DataFrame, grid: list[tuple], names: list[str]) -> DataFrame:
     """Exactly the rows of a small ``grid``; one without data gets nulls."""
     schema = ", ".join(f"{n} string" for n in names)
@@ -52,7 +49,7 @@ def _complete(table: DataFrame, grid: list[tuple], names: list[str]) -> DataFram
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """All pairs as (x, y, r) rows, from one pass over half of the matrix."""
     cells = [
-        {"x": _quoted(x), "y": _quoted(y), "a": f"`{x}`", "b": f"`{y}`"}
+        {"x": sql_value(x), "y": sql_value(y), "a": f"`{x}`", "b": f"`{y}`"}
         for x, y in combinations_with_replacement(cols, 2)
     ]
     half = _cells(df, [], cells).groupBy("x", "y").agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
@@ -72,7 +69,7 @@ def corr_by_ticker(
     rows = aligned if tickers is None else aligned.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
     cells = [
-        {"model": _quoted(s), "horizon": _quoted(_label(r)), "a": f"`{s}`", "b": f"`{r}`"}
+        {"model": sql_value(s), "horizon": sql_value(_label(r)), "a": f"`{s}`", "b": f"`{r}`"}
         for s, r in grid
     ]
     names = ["ticker", "model", "horizon"]
@@ -92,7 +89,7 @@ def corr_delta_block(
     """Horizons against disagreement features over all tickers, as (horizon, feature, r) rows."""
     grid = [(r, d) for r in ret_cols for d in delta_cols]
     cells = [
-        {"horizon": _quoted(_label(r)), "feature": _quoted(d), "a": f"`{d}`", "b": f"`{r}`"}
+        {"horizon": sql_value(_label(r)), "feature": sql_value(d), "a": f"`{d}`", "b": f"`{r}`"}
         for r, d in grid
     ]
     names = ["horizon", "feature"]
@@ -107,90 +104,85 @@ HALF_WIDTH = 0.001
 EXACT_ROWS = 100_000
 
 
-def quantile_edges(df: DataFrame, col: str, q: int = 5) -> DataFrame:
-    """Inner edges of ``q`` equal buckets, exact with linear interpolation; one row, column ``edges``.
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
+    """Inner edges of ``q`` equal buckets, exact with linear interpolation.
 
     The built-in exact percentile holds all distinct values in one task.  Here a first pass
     brackets every edge by approximate quantiles whose rank error is far smaller than the
     bracket.  A second pass counts what lies between brackets, and keeps and ranks only the
     values inside them, a fraction of a percent.  Equal values are counted in the tasks
     before the shuffle, so a value that fills a third of the rows is one row per task.
+
+    Like ``approxQuantile`` this runs at once; each pass returns a handful of numbers.
     """
     values = df.select(no_nan(F.col(col)).alias("x")).where(F.col("x").isNotNull())
     points = [p for k in range(1, q) for p in (k / q - HALF_WIDTH, k / q + HALF_WIDTH)]
-    first = values.agg(
-        F.struct(
-            F.count("x").alias("n"),
-            F.percentile_approx("x", [max(0.0, min(1.0, p)) for p in points], ACCURACY).alias("b"),
-        ).alias("s")
-    )
-    # A one-row scalar subquery: no join, and each pass reads it as a plain value.
-    placed = values.withColumn("s", first.scalar())
-    # Position of a value among the bracket ends: odd means inside a bracket.
-    lower = F.expr(" + ".join(f"int(s.b[{i}] < x)" for i in range(len(points))))
-    upper = F.expr(" + ".join(f"int(s.b[{i}] <= x)" for i in range(len(points))))
-    zoned = placed.select(
-        "x", lower.alias("lo"), upper.alias("up"), (F.col("s.n") <= EXACT_ROWS).alias("all")
-    )
-    inside = (F.col("lo") % 2 == 1) | (F.col("up") % 2 == 1) | (F.col("lo") < F.col("up")) | F.col("all")
+    approx = values.agg(
+        F.count("x").alias("n"),
+        F.percentile_approx("x", [max(0.0, min(1.0, p)) for p in points], ACCURACY).alias("ends"),
+    ).first()
+    if not approx.n:
+        return []
+
+    # Position of a value among the bracket ends: odd means inside a bracket, and a value
+    # equal to an end has two positions.
+    lower = " + ".join(f"int({_number(e)} < x)" for e in approx.ends)
+    upper = " + ".join(f"int({_number(e)} <= x)" for e in approx.ends)
+    placed = values.select("x", F.expr(lower).alias("zone"), F.expr(upper).alias("up"))
+    inside = (F.col("zone") % 2 == 1) | (F.col("up") % 2 == 1) | (F.col("zone") < F.col("up"))
+    if approx.n <= EXACT_ROWS:
+        inside = F.lit(True)
     freq = (
-        zoned.select(F.col("lo").alias("zone"), F.when(inside, F.col("x")).alias("x"))
+        placed.select("zone", F.when(inside, F.col("x")).alias("x"))
         .groupBy("zone", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # A zone is one bracket or one gap, hence at most 2 (q - 1) + 1 rows.
-    sizes = freq.groupBy("zone").agg(F.sum("n").alias("n")).agg(
-        F.array_sort(F.collect_list(F.struct("zone", "n")))
-    )
+    sizes = freq.groupBy("zone").agg(F.sum("n").alias("n"))
+    sizes = sizes.agg(F.collect_list(F.struct("zone", "n"))).scalar()
     running = Window.partitionBy("zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    inner = freq.withColumns(
-        {"run": F.sum("n").over(running), "sizes": sizes.scalar(), "total": first.scalar()["n"]}
-    )
     before = F.aggregate(
         F.filter("sizes", lambda z: z["zone"] < F.col("zone")),
         F.lit(0).cast("long"),
         lambda acc, z: acc + z["n"],
     )
-    ranked = inner.select("x", "n", "total", (before + F.col("run")).alias("end")).where(
-        F.col("x").isNotNull()
+    ranked = freq.withColumns({"run": F.sum("n").over(running), "sizes": sizes}).select(
+        "x", (before + F.col("run") - F.col("n")).alias("start"), (before + F.col("run")).alias("end")
     )
-    # Ranks of the two values each edge lies between, in whole numbers.
-    stats = []
-    for k in range(1, q):
-        place = (F.col("total") - 1) * F.lit(k)
-        rank = ((place - place % q) / q).cast("long")
-        for name, at in ((f"low{k}", rank), (f"high{k}", rank + F.when(place % q > 0, 1).otherwise(0))):
-            hit = (at >= F.col("end") - F.col("n")) & (at < F.col("end"))
-            stats.append(F.when(hit, F.col("x")).alias(name))
-    names = [f"{side}{k}" for k in range(1, q) for side in ("low", "high")]
-    found = ranked.select("total", *stats).agg(F.max("total").alias("total"), *[F.max(c).alias(c) for c in names])
-    edges = [
-        F.col(f"low{k}")
-        + (F.col(f"high{k}") - F.col(f"low{k}")) * (((F.col("total") - 1) * F.lit(k)) % q / F.lit(float(q)))
-        for k in range(1, q)
+
+    # Ranks, in whole numbers, of the two values each edge lies between.
+    places = [divmod(k * (approx.n - 1), q) for k in range(1, q)]
+    wanted = sorted({r for low, rest in places for r in (low, low + (rest > 0))})
+    holds = " OR ".join(f"(start <= {r} AND {r} < end)" for r in wanted)
+    rows = ranked.where("x is not null").where(holds).collect()
+    at = {r: row.x for r in wanted for row in rows if row.start <= r < row.end}
+    return [
+        at[low] + (at[low + (rest > 0)] - at[low]) * (rest / q) for low, rest in places
     ]
-    return found.select(F.array(*edges).alias("edges"))
 
 
 def bucketed(df: DataFrame, col: str, q: int = 5, strict: bool = False) -> DataFrame:
     """Add ``quintile`` 1..q by the global quantiles of ``col``; rows without a value are left out.
 
     A bucket takes in its upper edge, so equal values share one (unlike ``ntile``).
-    ``strict`` raises where edges coincide, which costs one action.
+    ``strict`` raises where edges coincide.
     """
     edges = quantile_edges(df, col, q)
     if strict:
-        row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-        ends = [row.lo, *(edges.first().edges or []), row.hi]
+        row = df.agg(F.min(no_nan(F.col(col))).alias("lo"), F.max(no_nan(F.col(col))).alias("hi")).first()
+        ends = [row.lo, *edges, row.hi]
         if len(set(ends)) < len(ends):
             raise ValueError(f"bucket edges of {col} are not unique: {ends}")
-    value = no_nan(F.col(col))
-    place = F.expr(" + ".join(["1"] + [f"int(_edges[{k}] < _value)" for k in range(q - 1)]))
+    place = " + ".join(["1"] + [f"int({_number(e)} < _value)" for e in edges])
     return (
-        df.withColumns({"_edges": edges.scalar(), "_value": value})
+        df.withColumn("_value", no_nan(F.col(col)))
         .where("_value is not null")
-        .withColumn("quintile", place)
-        .drop("_edges", "_value")
+        .withColumn("quintile", F.expr(place))
+        .drop("_value")
     )
 
 
@@ -226,7 +218,7 @@ def hit_rate_overall(
     daily_q: DataFrame, sent_col: str, ret_cols: list[str] = RETURN_COLUMNS, strict: bool = False
 ) -> DataFrame:
     """Share of rows whose return has the sign of the sentiment, per horizon."""
-    cells = [{"horizon": _quoted(_label(r)), "s": f"`{sent_col}`", "r": f"`{r}`"} for r in ret_cols]
+    cells = [{"horizon": sql_value(_label(r)), "s": f"`{sent_col}`", "r": f"`{r}`"} for r in ret_cols]
     hit = hit_flag(F.col("s"), F.col("r"), strict)
     table = _cells(daily_q, [], cells).groupBy("horizon").agg(F.avg(hit).alias("hit_rate"))
     return _complete(table, [(_label(r),) for r in ret_cols], ["horizon"])
@@ -243,7 +235,7 @@ def hit_rate_by_ticker(
     rows = daily_q if tickers is None else daily_q.where(F.col("ticker").isin(tickers))
     grid = [(s, r) for s in sent_cols for r in ret_cols]
     cells = [
-        {"model": _quoted(s), "horizon": _quoted(_label(r)), "s": f"`{s}`", "r": f"`{r}`"}
+        {"model": sql_value(s), "horizon": sql_value(_label(r)), "s": f"`{s}`", "r": f"`{r}`"}
         for s, r in grid
     ]
     names = ["ticker", "model", "horizon"]
