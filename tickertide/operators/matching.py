@@ -122,7 +122,13 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) ->
             kw.withColumn("_salt", F.explode(salts)), ["_key", "_salt"]
         )
     entry = F.struct("keyword", "ticker", "partner", "ai")
-    candidates = hits.groupBy("_id").agg(F.collect_set(entry).alias("_cands"))
+    # Grouped by one column more than joined on: the join then has its own shuffle, whose
+    # oversized partitions adaptive execution can split.
+    candidates = (
+        hits.groupBy("_id", F.xxhash64("_id").alias("_hash"))
+        .agg(F.collect_set(entry).alias("_cands"))
+        .drop("_hash")
+    )
     verified = F.filter(F.col("_cands"), lambda c: contains_keyword(F.col(text), c["keyword"]))
     joined = rows.join(candidates, "_id", "left")
     return joined.select("*", _once(verified).alias("_found")).drop("_id", "_cands")

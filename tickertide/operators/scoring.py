@@ -108,7 +108,7 @@ def score_backends(
     if "context" not in headlines.columns:
         headlines = headlines.withColumn("context", F.lit(None).cast("string"))
     if partitions:
-        headlines = headlines.repartition(partitions, "headline")
+        headlines = headlines.repartition(partitions, F.xxhash64("headline"))
     head, note = F.col("headline"), F.col("context")
     return headlines.withColumns(
         {column: backends[name](head, note) for name, column in registry.items() if name in backends}
@@ -124,17 +124,18 @@ def score_unique_join(
 ) -> DataFrame:
     """Add a score column per backend, computed once per distinct headline.
 
-    Distinct headlines are reduced in every task before the shuffle.  The join back has one
-    row per headline on the small side; where a headline makes up much of ``df``, adaptive
-    execution splits that partition of the big side (the join is the last step, so the
-    split needs no further shuffle).
+    Distinct headlines are reduced in every task before the shuffle.  Where one headline
+    makes up much of ``df``, adaptive execution splits its partition of the join; it can do
+    so only for a side that comes straight from a join shuffle.  The distinct step is
+    therefore keyed by the headline and its hash, so that its result is shuffled once more.
     """
+    keys = [F.col("headline"), F.xxhash64("headline").alias("_hash")]
     if contexts is None:
-        unique = df.select("headline").distinct()
+        unique = df.select(*keys).distinct()
     else:
         ticker = F.when(~is_blank(F.col("ticker")), strip(F.col("ticker")))
         tickers = F.array_sort(F.collect_set(ticker)).alias("tickers")
-        unique = headline_context(df.groupBy("headline").agg(tickers), contexts)
+        unique = headline_context(df.groupBy(*keys).agg(tickers), contexts)
     scored = score_backends(unique, backends, registry, partitions)
     columns = [column for name, column in registry.items() if name in backends]
     return df.join(scored.select("headline", *columns), "headline", "left").select(
