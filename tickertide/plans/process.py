@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tickertide.operators.scoring import Scorer, score_unique_join
-from tickertide.schemas import SENTIMENT_COLUMNS
 from tickertide.sources.lexicon import MatchingTables
 from tickertide.sources.writers import write_jsonl
 
@@ -29,8 +28,3 @@ def run_process(
     partitions: int | None = None,
 ) -> None:
     write_jsonl(process(base, backends, tables, partitions), out_path)
-
-
-def missing_models(scored: DataFrame) -> list[str]:
-    """Score columns of the full set that were not requested."""
-    return [c for c in SENTIMENT_COLUMNS if c not in scored.columns]
