@@ -150,7 +150,7 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = with_returns(prices(spark, sf_dir).select("ticker", "trade_date", "close"))
-    return asof_forward(features(spark, sf_dir), priced.drop("close"))
+    return asof_forward(features(spark, sf_dir), priced.drop("close"), unique_left=True)
 
 
 def daily_q(spark: SparkSession, sf_dir: str) -> DataFrame:

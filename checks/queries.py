@@ -391,7 +391,8 @@ def headline_context(spark, d):
 @query
 def asof_forward(spark, d):
     px = b.prices(spark, d).select("ticker", "trade_date", "close")
-    return joins.asof_forward(b.daily(spark, d).select("ticker", "date", "headline_count"), px)
+    days = b.daily(spark, d).select("ticker", "date", "headline_count")
+    return joins.asof_forward(days, px, unique_left=True)
 
 
 @query

@@ -34,8 +34,8 @@ def test_distinct_ordered_and_union_order(spark):
     assert [r.v for r in dedup.distinct_ordered(both, "v", "ord").collect()] == ["x", "y"]
 
 
-@pytest.mark.parametrize("bucket_days", [1, 7, 32])
-def test_asof_forward_equals_merge_asof(spark, bucket_days):
+@pytest.mark.parametrize("bucket_days, unique", [(1, True), (7, True), (32, True), (32, False)])
+def test_asof_forward_equals_merge_asof(spark, bucket_days, unique):
     rng = np.random.default_rng(3)
     days = pd.date_range("2025-12-01", periods=120)
     left = pd.DataFrame({"ticker": rng.choice(list("abcz"), 300), "date": rng.choice(days, 300)})
@@ -50,20 +50,21 @@ def test_asof_forward_equals_merge_asof(spark, bucket_days):
     ).set_index("id").sort_index()
     ls = spark.createDataFrame(left.assign(date=left.date.dt.date)[["ticker", "date", "id"]], "ticker string, date date, id int")
     rs = spark.createDataFrame(right.assign(trade_date=right.trade_date.dt.date), "ticker string, trade_date date, px double")
-    got = joins.asof_forward(ls, rs, bucket_days=bucket_days).toPandas().set_index("id").sort_index()
+    got = joins.asof_forward(ls, rs, bucket_days=bucket_days, unique_left=unique).toPandas().set_index("id").sort_index()
     assert len(got) == 300
     np.testing.assert_allclose(got.px.to_numpy(float), want.px.to_numpy(float))
-    empty = joins.asof_forward(ls, rs.limit(0), bucket_days=bucket_days)
+    empty = joins.asof_forward(ls, rs.limit(0), bucket_days=bucket_days, unique_left=unique)
     assert empty.where("px is null").count() == 300
 
 
 def test_asof_forward_keeps_rows_without_key_or_date(spark):
     left = spark.sql("select * from values ('a', date'2026-01-01'), (null, date'2026-01-01'), ('a', null) t(ticker, date)")
     right = spark.sql("select 'a' ticker, date'2026-01-05' trade_date, 1.0D px union all select null, date'2026-01-05', 2.0D")
-    rows = joins.asof_forward(left, right).collect()
-    assert sorted(((r.ticker, str(r.date), r.px) for r in rows), key=str) == [
-        ("a", "2026-01-01", 1.0), ("a", "None", None), (None, "2026-01-01", None),
-    ]
+    for unique in (True, False):
+        rows = joins.asof_forward(left, right, unique_left=unique).collect()
+        assert sorted(((r.ticker, str(r.date), r.px) for r in rows), key=str) == [
+            ("a", "2026-01-01", 1.0), ("a", "None", None), (None, "2026-01-01", None),
+        ]
 
 
 def test_anti_join_new_rows(spark):

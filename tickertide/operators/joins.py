@@ -33,6 +33,7 @@ def asof_forward(
     left_on: str = "date",
     right_on: str = "trade_date",
     bucket_days: int = 32,
+    unique_left: bool = False,
 ) -> DataFrame:
     """For each left row the first right row of the same key at or after its date.
 
@@ -43,12 +44,25 @@ def asof_forward(
     runs per (key, bucket).  So that it always finds a row, the first right row of every
     bucket is copied into the buckets before it, back to the last one that has right rows;
     these copies number at most one per key and bucket.
+
+    Many left rows may share key and date.  Unless the caller knows better (``unique_left``,
+    as for the daily table), the window sees each (key, date) once, reduced in every task,
+    and the result is joined back: by broadcast where it is small, else by a join whose hot
+    partitions adaptive execution splits.
     """
     values = [c for c in right.columns if c != by]
     clash = [c for c in values if c in left.columns]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
 
+    if not unique_left:
+        known = left.where(F.col(by).isNotNull() & F.col(left_on).isNotNull())
+        keys = known.select(by, left_on).distinct()
+        mapped = asof_forward(keys, right, by, left_on, right_on, bucket_days, unique_left=True)
+        mapped = mapped.withColumnsRenamed({by: "_by", left_on: "_at"})
+        same = (F.col(by) == F.col("_by")) & (F.col(left_on) == F.col("_at"))
+        return left.join(mapped, same, "left").drop("_by", "_at")
+
     def bucket(col: str) -> Column:
         return F.floor(F.unix_date(F.to_date(F.col(col))) / F.lit(bucket_days)).cast("long")
 

@@ -33,7 +33,8 @@ def aligned_table(daily: DataFrame, prices: DataFrame) -> DataFrame:
     """Daily rows with the returns of the first trading day at or after their date."""
     events = drop_missing_keys(daily, ["date", "ticker"])
     priced = with_returns(price_range(events, prices))
-    return asof_forward(events, priced.select("ticker", "trade_date", *RETURN_COLUMNS))
+    priced = priced.select("ticker", "trade_date", *RETURN_COLUMNS)
+    return asof_forward(events, priced, unique_left=True)
 
 
 def excess_table(daily: DataFrame, prices: DataFrame) -> DataFrame:
