@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickertide.operators import daily, dedup, joins, returns, scoring, stats
+from tickertide.operators import daily, dedup, joins, matching, returns, scoring, stats
 from tickertide.plans.study import return_study
+from tickertide.schemas import AI_TERMS, LEXICON
 from tickertide.session import cut_lineage
 
 
@@ -184,27 +185,38 @@ def test_context_reaches_the_prompt(spark):
     ]
 
 
-def test_hot_headline_is_split_in_the_join(spark):
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+}
+
+
+def scored_rows(spark, rows):
+    return scoring.score_unique_join(rows, {"phi3": scoring.lexicon_scorer(["hot"], [])})
+
+
+def matched_rows(spark, rows):
+    lex = spark.createDataFrame([("A", "hot", "identity"), ("A", "cold", "identity")], LEXICON)
+    ai = spark.createDataFrame([("ai", "ai_buzz_phrases")], AI_TERMS)
+    return matching.match_tickers(rows, lex, ai, strategy="token")
+
+
+@pytest.mark.parametrize("job", [scored_rows, matched_rows])
+def test_hot_headline_is_split_in_the_join(spark, job):
     """One headline with nearly all rows: the adaptive join splits its partition."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "100k")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    for key, value in SKEW_CONF.items():
+        spark.conf.set(key, value)
     try:
         rows = spark.range(0, 60000, 1, 8).selectExpr(
-            "if(id % 50 <> 0, 'hot', concat('h', id)) as headline", "sha2(string(id), 256) as payload"
+            "if(id % 50 <> 0, 'hot', concat('cold ', id)) as headline", "sha2(string(id), 256) as payload"
         )
-        scored = scoring.score_unique_join(rows, {"phi3": scoring.lexicon_scorer(["hot"], [])})
-        qe = scored._jdf.queryExecution()
+        qe = job(spark, rows)._jdf.queryExecution()
         assert qe.toRdd().count() == 60000
         assert "skew=true" in qe.executedPlan().toString()
     finally:
-        for key in (
-            "spark.sql.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-        ):
+        for key in SKEW_CONF:
             spark.conf.unset(key)
 
 
