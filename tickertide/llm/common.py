@@ -137,7 +137,7 @@ def word_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
 def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word shingles as (row, hash), sorted; a text of 1 to width-1 words is one shingle."""
     h, doc, n = words.hashes(), words.doc, len(words.doc)
-    odd = [np.uint64(2 * k + 1) * np.uint64(0x9FB21C651E98DF25) for k in range(width)]
+    odd = [np.uint64((2 * k + 1) * 0x9FB21C651E98DF25 % (1 << 64)) for k in range(width)]
     whole = np.arange(max(0, n - width + 1))
     whole = whole[doc[whole] == doc[whole + width - 1]] if len(whole) else whole
     value = np.zeros(len(whole), dtype=np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickertide.llm import chat, quality, toxicity, url_filter
+from tickertide.llm import chat, ngram_join, quality, toxicity, url_filter
 from tickertide.llm.common import held_out, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -40,6 +40,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    rows = found.select("*", F.explode(F.sequence(F.lit(1), F.col("n_same"))).alias("copy"))
+    stays = F.col("kept") & ((F.col("copy") == 1) | (F.col("n_links") == 0))
+    return rows.select("doc_id", "class_id", "n_links", stays.alias("kept"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_quality_classifier": op3_quality_classifier,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
 }
 
