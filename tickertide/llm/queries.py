@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickertide.llm import chat, ngram_join, quality, toxicity, url_filter
+from tickertide.llm import chat, lm, ngram_join, quality, toxicity, url_filter
 from tickertide.llm.common import held_out, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -56,12 +56,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_quality_classifier": op3_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {
