@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickertide.llm import chat, lm, ngram_join, quality, toxicity, url_filter
+from tickertide.llm import bpe, chat, lm, mixing, ngram_join, quality, toxicity, url_filter
 from tickertide.llm.common import held_out, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -40,6 +40,22 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, vocabulary_path(), digests=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_join(table(spark, sf_dir, "documents"))
     rows = found.select("*", F.explode(F.sequence(F.lit(1), F.col("n_same"))).alias("copy"))
@@ -64,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_source_mix": op4_source_mix,
+    "op6_bpe_codec": op6_bpe_codec,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
