@@ -164,6 +164,22 @@ def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return row, value
 
 
+def whole_units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole runs of equal ``key`` of rows sorted by it, several runs a table."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        ids = rest[key].combine_chunks()
+        if len(ids) and ids[0] != ids[-1]:
+            codes = np.array(ids.dictionary_encode().indices)
+            cut = int(np.flatnonzero(codes != codes[-1])[-1]) + 1
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest reachable node) of undirected edges ``a, b``.
 
@@ -193,3 +209,22 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def finite_vectors(col: str) -> Column:
+    """True for vectors that hold a component and only finite ones, not all of them zero."""
+    v = F.col(col)
+    return (
+        v.isNotNull()
+        & (F.size(v) > 0)
+        & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+        & F.exists(v, lambda x: x != 0)
+    )
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
+    """Equally long lists as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = np.asarray(column.flatten(), dtype=dtype)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)

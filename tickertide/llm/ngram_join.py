@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickertide.llm.common import components, mix64, row_key, shingle_sets, word_slices
+from tickertide.llm.common import components, mix64, row_key, shingle_sets, whole_units, word_slices
 from tickertide.session import cut_lineage
 
 WIDTH = 5
@@ -99,22 +99,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole runs of equal ``key`` of rows sorted by it, several runs a table."""
-    rest: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        ids = rest[key].combine_chunks()
-        if len(ids) and ids[0] != ids[-1]:
-            codes = np.array(ids.dictionary_encode().indices)
-            cut = int(np.flatnonzero(codes != codes[-1])[-1]) + 1
-            yield rest.slice(0, cut)
-            rest = rest.slice(cut)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _runs(t: pa.Table) -> list[tuple[int, int]]:
     codes = np.array(t["unit"].combine_chunks().dictionary_encode().indices)
     edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
@@ -166,7 +150,7 @@ def _survivors(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of units that still have a pair to verify."""
-    for t in _units(batches, "unit"):
+    for t in whole_units(batches, "unit"):
         alive = np.zeros(len(t), dtype=bool)
         for a, b in _survivors(t):
             alive[a] = alive[b] = True
@@ -199,7 +183,7 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each member of a unit that has links there: their weight and the smallest member it reaches."""
     schema = pa.schema([("node", pa.string()), ("root", pa.string()), ("links", pa.int64())])
-    for t in _units(batches, "unit"):
+    for t in whole_units(batches, "unit"):
         sets: list[np.ndarray] = []
         for w in word_slices(t["text"]):
             row, value = shingle_sets(w)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickertide.llm import bpe, chat, lm, mixing, ngram_join, quality, toxicity, url_filter
+from tickertide.llm import ann, bpe, chat, lm, mixing, near_vectors, ngram_join, quality, toxicity, url_filter
 from tickertide.llm.common import held_out, table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -44,6 +44,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -76,15 +80,21 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mix": op4_source_mix,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_nearest_vectors": op10_nearest_vectors,
 }
 
 ORACLE: dict[str, str] = {
