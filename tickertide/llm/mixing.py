@@ -293,7 +293,8 @@ def mix_sources(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, D
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     spans = (
-        pieces.join(slots, ["source_no", "block"])
+        # Slots are as many as blocks, which the planner can't know: never broadcast.
+        pieces.join(slots.hint("shuffle_merge"), ["source_no", "block"])
         .where(low < high)
         .select(
             "doc_id",
