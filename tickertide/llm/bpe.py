@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,25 @@ CACHE_CHUNKS = 300_000
 END = "</w>"
 # Fixed values of the vocabulary's normaliser and splitter.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+
+
+def _ranges(kind: str) -> str:
+    """A character class of all characters of a general category.
+
+    From Python's own tables: newer ones hold letters that the vocabulary's splitter doesn't know.
+    """
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == kind:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_LETTER, _NUMBER = _ranges("L"), _ranges("N")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{WHITE}{_LETTER}{_NUMBER}]+")
 _GAPS = re.compile(f"[{WHITE}]+")
 # Characters that str.split() takes for white space and the vocabulary doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -221,7 +239,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.v, self.t, self.merger = vocabulary, transducer, Merger(vocabulary)
         self.cache: dict[str, bytes] = {}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
+        self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")")
 
     def _learn(self, chunks: set[str]) -> None:
         pieces: dict[str, list] = {}

@@ -262,8 +262,8 @@ def mix_sources(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, D
     Words are runs of other characters than ASCII white space; null and empty texts have none
     and are never taken.  A source's documents, in a pseudorandom order that depends on their
     ids and texts alone, form one stream of blocks of ``block`` words.  ``spans`` has one row
-    for each piece of a document that a slot takes: ``doc_id, text_key, source, shard, slot,
-    epoch, first, until`` (words of the document).  A null source is a source; repeated rows
+    for each piece of a document that a slot takes: ``doc_id, text_key, source, start, shard,
+    slot, epoch, first, until`` (words of the document; ``start`` is its place in the stream).  A null source is a source; repeated rows
     are documents of their own with the same key; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -300,6 +300,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, D
             "doc_id",
             "text_key",
             "source",
+            "start",
             "shard",
             "slot",
             "epoch",
@@ -340,9 +341,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
 
 
-    spans, _, _ = mix_sources(docs)
+    spans, placed, _ = mix_sources(docs)
     word = re.compile(r"[^\x20\x09-\x0d]+")
-    passes = spans.groupBy("doc_id", "text_key", "source", "epoch").agg(
+    passes = spans.groupBy("doc_id", "text_key", "source", "start", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("first", "until"))).alias("spans"),
         F.sum(F.col("until") - F.col("first")).alias("words"),
     )
@@ -353,7 +354,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         row_key(F.coalesce("text", F.lit(""))).alias("own_key"),
         F.col("source").alias("own_source"),
     )
-    # Repeated rows share their spans; the first stands for them.
+    # Of rows that repeat an id, text and source one stands for all; each has its own passes.
+    repeated = (
+        placed.groupBy("doc_id", "text_key", "source")
+        .count()
+        .where(F.col("count") > 1)
+        .select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), F.col("source").alias("r_source"), "count")
+    )
+    marked = rows.join(
+        repeated,
+        (F.col("own_key") == F.col("r_key"))
+        & F.col("own_id").eqNullSafe(F.col("r_id"))
+        & F.col("own_source").eqNullSafe(F.col("r_source")),
+        "left",
+    )
+    first = marked.where("count IS NOT NULL").groupBy("own_id", "own_key", "own_source").agg(F.first("row").alias("row"))
+    rows = marked.where("count IS NULL").select(*rows.columns).unionByName(first)
     both = rows.join(
         passes,
         (F.col("own_key") == F.col("text_key"))

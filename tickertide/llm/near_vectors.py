@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,12 +118,15 @@ def _start(nodes: DataFrame, round_: int) -> DataFrame:
     """A first graph: vectors on the same side of some random hyperplanes meet."""
 
     def codes(x: pa.Array) -> pa.Array:
-        v = matrix(x)
-        if not len(v):
-            return pa.array([], pa.list_(pa.int64()))
-        planes = np.random.default_rng([17, round_, v.shape[1]]).normal(size=(v.shape[1], TABLES * CODE_BITS))
-        bits = (v @ planes > 0).reshape(len(v), TABLES, CODE_BITS).astype(np.int64)
-        return pa.array((bits << np.arange(CODE_BITS)[::-1]).sum(axis=2).tolist(), pa.list_(pa.int64()))
+        out = np.zeros((len(x), TABLES), dtype=np.int64)
+        sizes = np.array(pc.list_value_length(x))
+        for d in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == d)
+            v = matrix(x.take(pa.array(rows)))
+            planes = np.random.default_rng([17, round_, d]).normal(size=(d, TABLES * CODE_BITS))
+            bits = (v @ planes > 0).reshape(len(v), TABLES, CODE_BITS).astype(np.int64)
+            out[rows] = (bits << np.arange(CODE_BITS)[::-1]).sum(axis=2)
+        return pa.array(out.tolist(), pa.list_(pa.int64()))
 
     sizes = nodes.groupBy("grp").agg(
         F.least(F.lit(CODE_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / CELL)))).cast("int").alias("bits")
