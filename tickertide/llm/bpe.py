@@ -25,16 +25,27 @@ CACHE_CHUNKS = 300_000
 END = "</w>"
 # Fixed values of the vocabulary's normaliser and splitter.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+# Letters of Unicode 16 and lower cases of Unicode 16 and 17, which Python lacks.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+    (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+    (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+    (0x1E5F0, 0x1E5F0),
+]
+NEW_LOWER = {
+    0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5,
+    0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 
 
 def _ranges(kind: str) -> str:
-    """A character class of all characters of a general category.
-
-    From Python's own tables: newer ones hold letters that the vocabulary's splitter doesn't know.
-    """
+    """A character class of all characters of a general category."""
+    newer = {c for a, b in NEW_LETTERS for c in range(a, b + 1)} if kind == "L" else set()
     ranges: list[list[int]] = []
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] == kind:
+        if unicodedata.category(chr(c))[0] == kind or c in newer:
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
@@ -111,7 +122,8 @@ class Merger:
 
 def normalised(chunk: str) -> str:
     """Composed and lower-cased letter by letter (no special case for a final sigma)."""
-    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    composed = unicodedata.normalize("NFC", chunk)
+    return (composed if composed.isascii() else composed.translate(NEW_LOWER)).lower()
 
 
 def chunks_of(text: str | None) -> list[str]:
