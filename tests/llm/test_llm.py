@@ -230,7 +230,8 @@ def test_bpe_equals_the_library(spark):
 
     library = Tokenizer.from_file(vocabulary_path())
     docs = odd_docs(spark)
-    more = ["".join(chr(c) for c in range(lo, lo + 400) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x3400, 400)]
+    # Between letters: the canonical order of marks in a row differs with the Unicode version.
+    more = ["x".join(chr(c) for c in range(lo, lo + 400) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x3400, 400)]
     more += ["It's we'll I'D <|startoftext|><|endoftext|> x<|endoftext|>y A\u0301\u00a0B", "ΑΣ ΣΑ\u2028x"]
     docs = docs.unionByName(
         spark.createDataFrame([(1000 + k, t, None, None, None, None, None, None) for k, t in enumerate(more)], DOCS)
