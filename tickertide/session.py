@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,14 @@ def build_session(app_name: str = "tickertide", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a fresh folder on this machine is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Only on a ``local`` master, as in tests,
+    may that be unset: a fresh folder on this machine is made then and remembered in the
+    session.  Anywhere else executors would write to disks of their own, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
