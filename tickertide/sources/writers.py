@@ -137,7 +137,8 @@ def compact_daily(spark: SparkSession, in_paths: str | list[str], out_dir: str)
     """Per-run CSV files to one folder per day, in a new place.
 
     Range partitioning on (day, posted_at, headline) splits a day that holds most rows over
-    several tasks and still leaves each day's part files in order.
+    several tasks and still leaves each day's part files in order.  Only the days present are
+    replaced, whatever the session's overwrite mode.
     """
     rows = read_headlines_csv(spark, in_paths, with_file=True, recursive=True)
     (
@@ -145,6 +146,7 @@ def compact_daily(spark: SparkSession, in_paths: str | list[str], out_dir: str)
         .orderBy("day", "posted_at", "headline", "ord")
         .drop("ord")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .options(**CSV_WRITE)
         .partitionBy("day")
         .csv(out_dir)
