@@ -204,7 +204,7 @@ ORACLE["prices_long"] = f"""WITH {PRICES},
   FROM grid LEFT JOIN prices USING (ticker, trade_date)"""
 ORACLE["price_range"] = f"""WITH {ORDER_PRICES},
   span AS (SELECT min(CAST(l_shipdate AS DATE)) - 5 AS lo, max(CAST(l_shipdate AS DATE)) + 5 AS hi
-           FROM lineitem WHERE l_returnflag = 'R')
+           FROM lineitem)
   SELECT prices.* FROM prices, span WHERE trade_date >= lo AND trade_date < hi"""
 
 WHEN = "(TIMESTAMP '2026-02-01' + page_id * INTERVAL 41 MINUTE)"

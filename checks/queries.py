@@ -232,8 +232,8 @@ def prices_long(spark, d):
 
 @query
 def price_range(spark, d):
-    """Prices of the order table around the ship dates of returned items."""
-    shipped = b.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    """Prices of the order table around the ship dates of all items."""
+    shipped = b.table(spark, d, "lineitem")
     events = shipped.select(F.to_date("l_shipdate").alias("date"))
     return prices.price_range(events, b.order_prices(spark, d))
 
