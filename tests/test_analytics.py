@@ -123,9 +123,7 @@ def test_corr_by_ticker_lists_absent_tickers(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 51, 1000, 6000])
 def test_buckets_equal_qcut(spark, n, small, monkeypatch):
     if not small:
-        if n < 1000:
-            pytest.skip("brackets need rows")
-        monkeypatch.setattr(stats, "EXACT_ROWS", 0)
+        monkeypatch.setattr(stats, "SPAN_ROWS", 8)
         monkeypatch.setattr(stats, "HALF_WIDTH", 0.02)
         monkeypatch.setattr(stats, "ACCURACY", 200)
     rng = np.random.default_rng(n)
@@ -140,6 +138,41 @@ def test_buckets_equal_qcut(spark, n, small, monkeypatch):
             assert got.quintile.tolist() == want.tolist()
 
 
+def test_quantiles_of_constant_and_skewed_columns(spark):
+    def edges(values):
+        return stats.quantile_edges(spark.createDataFrame([(v,) for v in values], "x double"), "x")
+
+    assert edges([7.5] * 9000) == [7.5] * 4
+    rng = np.random.default_rng(3)
+    skewed = [1.0] * 7000 + np.exp(rng.normal(size=9000) * 5).tolist() + [float("inf")] * 10
+    np.testing.assert_allclose(edges(skewed), np.quantile(skewed, [0.2, 0.4, 0.6, 0.8]), rtol=1e-12)
+
+
+def test_batch_models_see_lists_and_fall_back_to_rows(spark):
+    def load():
+        def score(headlines, contexts):
+            if "bad" in headlines:
+                raise ValueError("bad")
+            return [len(h) / 10 for h in headlines]
+
+        return score
+
+    rows = spark.createDataFrame([("bad",), ("ab",), ("abc",)], "headline string").coalesce(1)
+    got = scoring.score_backends(rows, {"phi3": scoring.model_scorer(load, batch=True)})
+    assert {r.headline: r.sentiment_llm_phi3 for r in got.collect()} == {"bad": None, "ab": 0.2, "abc": 0.3}
+    answer = scoring.prompt_scorer(lambda: lambda prompts: ["0.5"] * len(prompts), batch=True)
+    got = scoring.score_backends(spark.createDataFrame([("x",), (" ",)], "headline string"), {"phi3": answer})
+    assert {r.headline: r.sentiment_llm_phi3 for r in got.collect()} == {"x": 0.5, " ": None}
+
+
+def test_lexicon_scorer_searches_once(spark):
+    score = scoring.lexicon_scorer(["hot", "very good"], ["bad", "Worse"])
+    rows = spark.createDataFrame([("Hot and very good, bad",), ("worse bad",), ("none",), (None,)], "h string")
+    got = rows.select("h", score(F.col("h"), F.lit(None)).alias("s"))
+    assert {r.h: r.s for r in got.collect()} == {"Hot and very good, bad": 0.25, "worse bad": -0.5, "none": 0.0, None: None}
+    assert got._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_strict_buckets_raise_on_ties(spark):
     df = spark.createDataFrame([(0.0,)] * 8 + [(1.0,), (2.0,)], "x double")
     with pytest.raises(ValueError):

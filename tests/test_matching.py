@@ -115,6 +115,23 @@ def test_headline_context(spark, monkeypatch):
     assert {r.headline: r.context for r in matching.headline_context(rows, contexts).collect()} == want
 
 
+def test_headline_context_by_key_equals_inline(spark):
+    notes = [("A", "x", "ctxA", 0), ("B", "long word", "ctxB", 1), ("B", "x", "b1", 0), ("B", "İst", "b2", 2), ("C", "x", "", 0)]
+    contexts = spark.createDataFrame(notes, CONTEXTS)
+    rows = spark.createDataFrame(
+        [("x long word", ["A"]), ("x long word", ["B"]), ("x long word", ["B", "A"]), ("x long word", ["A"])]
+        + [("long  word", ["B"]), ("", ["A"]), (None, ["A"]), ("x", None), ("x", []), ("x", ["C", "Z"])],
+        "headline string, tickers array<string>",
+    )
+
+    def seen(strategy):
+        out = matching.headline_context(rows, contexts, strategy).collect()
+        return sorted((str(r.headline), str(r.tickers), str(r.context)) for r in out)
+
+    assert seen("token") == seen("auto")
+    assert ("x long word", "['B', 'A']", "This news relates to b1; ctxB; ctxA.") in seen("token")
+
+
 def test_headline_tickers(spark):
     rows = spark.createDataFrame([("h", "B"), ("h", "A"), ("h", "A"), ("h", " "), ("g", None)], "headline string, ticker string")
     assert [tuple(r) for r in matching.headline_tickers(rows).collect()] == [("h", ["A", "B"])]
@@ -153,6 +170,16 @@ def test_load_lexicon(spark, tmp_path):
     assert notes == {"Chip X": ("early", 0), "CX": ("early", 1), "S2": ("late", 2), "Sub Two": ("late", 3)}
 
 
+def test_last_file_of_a_ticker_counts(spark):
+    files = [
+        {"metadata": {"target_ticker": t}, "identity": {"aliases": [kw]}, "products": {kw: {"context": f"n {kw}"}}}
+        for t, kw in (("a", "one"), ("b", "two"), ("A", "three"))
+    ]
+    tables = tables_from_mappings(spark, {}, files)
+    assert sorted({(r.ticker, r.keyword) for r in tables.lexicon.collect()}) == [("A", "three"), ("B", "two")]
+    assert sorted(r.context for r in tables.contexts.collect()) == ["n three", "n two"]
+
+
 def test_empty_lexicon_matches_nothing(spark):
     tables = tables_from_mappings(spark, {}, [])
     h = spark.createDataFrame([("alpha",)], "headline string")

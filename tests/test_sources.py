@@ -37,6 +37,20 @@ def test_csv_columns_follow_the_header(spark, tmp_path):
     assert filed.where("headline = 'h2' and reporter = ''").count() == 1
 
 
+def test_csv_headers_differ_within_a_folder_and_a_glob(spark, tmp_path):
+    folder = tmp_path / "my raw"
+    folder.mkdir()
+    write(folder / "headlines_20260101.csv", "source,fetched_at,headline,posted_at,reporter,url\ns,f,six,p,r,u\n")
+    write(folder / "headlines_20260102.csv", 'headline,url\n"two\nlines",v\n')
+    write(folder / "headlines_20260103.csv", "")
+    want = [("", "", "two\nlines", "", "", "v"), ("s", "f", "six", "p", "r", "u")]
+    singles = [str(p) for p in sorted(folder.iterdir())]
+    for paths in (str(folder), f"{folder}/*.csv", singles):
+        assert sorted(tuple(r) for r in headlines.read_headlines_csv(spark, paths).collect()) == want
+    ordered = headlines.read_headlines_csv(spark, str(folder), with_file=True, recursive=True)
+    assert sorted(r.headline for r in ordered.collect()) == ["six", "two\nlines"]
+
+
 def test_jsonl_skips_bad_lines(spark, tmp_path):
     lines = ['{"headline": "a", "url": "u"}', "", "{broken", '{"headline": "b", "source": null}']
     path = write(tmp_path / "a.jsonl", "\n".join(lines))

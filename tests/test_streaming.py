@@ -1,5 +1,7 @@
 """Streams over landed files give the batch result."""
 
+import time
+
 from tickertide.operators.matching import match_tickers
 from tickertide.schemas import AI_TERMS, LEXICON, RAW_COLUMNS
 from tickertide.sources.writers import read_score_table
@@ -24,6 +26,17 @@ def test_ingest_keeps_each_headline_once_over_runs(spark, tmp_path):
     assert sorted(r.headline for r in got.collect()) == ["alpha", "beta", "gamma"]
 
 
+def test_ingest_stops_repeats_further_apart_than_the_delay(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    for names in (("alpha", "beta"), ("gamma",), ("alpha", "beta", "delta")):
+        land(spark, src, *names)
+        ingest.stream_ingest_headlines(spark, src, out, mark, delay="0 seconds").awaitTermination()
+        time.sleep(1)
+    got = spark.read.parquet(out)
+    # rows() dates by place, so "alpha" of the last run has the same key with another time
+    assert sorted(r.headline for r in got.collect()) == ["alpha", "beta", "delta", "gamma"]
+
+
 def test_stream_upsert_equals_batch(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     lex = spark.createDataFrame([("A", "alpha", "identity"), ("B", "beta", "partners")], LEXICON)

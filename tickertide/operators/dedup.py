@@ -11,6 +11,10 @@ from tickertide.functions.text import normalize_headline
 from tickertide.schemas import BASE_KEYS
 
 
+# Groups in which a source is limited before it meets as a whole.
+SPREAD = 1024
+
+
 def _cols(ord: str | Column | list) -> list[Column]:
     items = ord if isinstance(ord, list) else [ord]
     return [F.col(c) if isinstance(c, str) else c for c in items]
@@ -48,9 +52,18 @@ def dedup_headline(df: DataFrame, ord: str | Column | list) -> DataFrame:
 def limit_per_source(
     df: DataFrame, n: int, ord: str | Column | list, source: str = "source"
 ) -> DataFrame:
-    """First ``n`` rows per source; also limited per task before the shuffle."""
-    window = Window.partitionBy(source).orderBy(*_cols(ord))
-    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` rows per source.
+
+    Two steps for any ``n``: the first keeps ``n`` rows of each source in each of up to ``SPREAD``
+    groups of input partitions, so a source that holds a third of all rows is sorted by many tasks;
+    the second sees at most ``n * SPREAD`` rows of a source.
+    """
+    part = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+    rows = df.withColumn("_part", part)
+    for keys in ([source, "_part"], [source]):
+        window = Window.partitionBy(*keys).orderBy(*_cols(ord))
+        rows = rows.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+    return rows.drop("_part")
 
 
 def distinct_ordered(df: DataFrame, col: str, ord: str) -> DataFrame:

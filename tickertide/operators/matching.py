@@ -235,14 +235,55 @@ def _context_text(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, text)
 
 
-def headline_context(h_tickers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Add ``context``: the notes of all context keywords of the headline's tickers, or null.
+# Characters of a context keyword that serve as its join key.
+NOTE_KEY = 3
+
+
+def _note_keys(text: Column) -> Column:
+    """All stretches of up to ``NOTE_KEY`` characters: a keyword's first ones are among them."""
+    places, sizes = F.sequence(F.lit(1), F.length(text)), F.sequence(F.lit(1), F.lit(NOTE_KEY))
+    grams = F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda n: F.substring(text, i, n))))
+    return F.when(F.length(text) > 0, F.array_distinct(grams))
+
+
+def _context_by_key(h_tickers: DataFrame, notes: DataFrame) -> DataFrame:
+    """Context notes by an equi-join on ticker and first characters of the keyword.
+
+    Every distinct (headline, tickers) is looked up once.  Only its id and keys travel to the
+    join; the candidates come back as one row and are verified there.
+    """
+    rows = h_tickers.withColumn("_id", F.sha2(F.to_json(F.struct("headline", "tickers")), 256))
+    unique = rows.select("_id", F.lower(strip(F.col("headline"))).alias("_h"), "tickers").dropDuplicates(["_id"])
+    keys = unique.select("_id", "_h", F.posexplode("tickers").alias("at", "ticker")).select(
+        "_id", "at", "ticker", F.explode(_note_keys(F.col("_h"))).alias("_key")
+    )
+    keyed = notes.withColumn("_key", F.left("keyword", F.lit(NOTE_KEY)))
+    entry = F.struct("at", "position", "keyword", "context")
+    candidates = (
+        keys.join(keyed, ["ticker", "_key"])
+        .groupBy("_id", F.xxhash64("_id").alias("_hash"))
+        .agg(F.collect_list(entry).alias("_cands"))
+        .drop("_hash")
+    )
+    joined = rows.join(candidates, "_id", "left").withColumn("_h", F.lower(strip(F.col("headline"))))
+    hits = F.filter(F.array_sort("_cands"), lambda c: F.contains(F.col("_h"), c["keyword"]))
+    context = _context_text(F.transform(hits, lambda c: c["context"]))
+    return joined.withColumn("context", context).drop("_id", "_h", "_cands")
+
+
+def headline_context(h_tickers: DataFrame, contexts: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Add ``context``: the notes of all context keywords of the row's tickers, or null.
 
     Keywords are raw substrings, and a note is repeated for every keyword that leads to it.
+    Notes come in the order of the row's tickers, then of their position.  Up to
+    ``INLINE_ROWS`` notes are planned into the scan; more (or ``strategy="token"``) are
+    joined by key, with the same result.
     """
     text = F.lower(strip(F.col("headline")))
     notes = contexts.where("keyword <> '' and context <> ''").withColumn("keyword", F.lower("keyword"))
-    rows = notes.orderBy("ticker", "position").limit(INLINE_ROWS + 1).collect()
+    if strategy == "token":
+        return _context_by_key(h_tickers, notes)
+    rows = notes.orderBy("ticker", "position", "keyword", "context").limit(INLINE_ROWS + 1).collect()
     if not rows:
         return h_tickers.withColumn("context", F.lit(None).cast("string"))
     if len(rows) <= INLINE_ROWS:
@@ -263,10 +304,4 @@ def headline_context(h_tickers: DataFrame, contexts: DataFrame) -> DataFrame:
             .withColumn("context", _context_text(F.col("_parts")))
             .drop("_h", "_parts")
         )
-    unfolded = h_tickers.select("headline", F.posexplode("tickers").alias("at", "ticker"))
-    hits = unfolded.join(notes, "ticker").where(F.contains(text, F.col("keyword")))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "position", "context")))
-    texts = hits.groupBy("headline").agg(
-        _context_text(F.transform(ordered, lambda n: n["context"])).alias("context")
-    )
-    return h_tickers.join(texts, "headline", "left")
+    return _context_by_key(h_tickers, notes)

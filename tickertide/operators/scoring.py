@@ -14,6 +14,8 @@ from tickertide.functions.text import (
     build_prompt,
     is_blank,
     keywords_present,
+    let,
+    literal_array,
     normalize_headline,
     strip,
 )
@@ -39,43 +41,67 @@ def _safe(call: Callable[..., Any], *args: Any) -> Any:
         return None
 
 
-def model_scorer(load: Callable[[], Callable[[str, str | None], float | None]]) -> Scorer:
-    """Scorer around a Python model; ``load`` runs once per Python worker and task."""
+def _answers(call: Callable[..., Any], rows: list[tuple], batch: bool) -> list:
+    """The model's answer for every row.
+
+    A batch model takes one list per argument and is called once for all rows; only when
+    that fails are the rows tried one by one.
+    """
+    if not batch:
+        return [_safe(call, *row) for row in rows]
+    answers = _safe(call, *[list(arg) for arg in zip(*rows)]) if rows else []
+    if answers is not None and len(answers) == len(rows):
+        return list(answers)
+    single = [_safe(call, *[[arg] for arg in row]) for row in rows]
+    return [None if a is None or len(a) != 1 else a[0] for a in single]
+
+
+def model_scorer(load: Callable[[], Callable[..., Any]], batch: bool = False) -> Scorer:
+    """Scorer around a Python model; ``load`` runs once per Python worker and task.
+
+    The model maps a headline and its context to a number or, with ``batch``, a list of
+    headlines and a list of contexts to a list of numbers.
+    """
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         score = load()
         for headlines, contexts in batches:
-            values = [_safe(score, h, c) for h, c in zip(headlines, contexts)]
+            values = _answers(score, list(zip(headlines, contexts)), batch)
             yield pd.Series(values, dtype="float64")
 
     return lambda headline, context: clamp(no_nan(run(headline, context)))
 
 
-def prompt_scorer(load: Callable[[], Callable[[str], str | None]]) -> Scorer:
+def prompt_scorer(load: Callable[[], Callable[..., Any]], batch: bool = False) -> Scorer:
     """Scorer around a text model: prompt and answer are handled in the JVM.
 
-    A blank headline gets no prompt and a null score.
+    A blank headline gets no prompt and a null score.  With ``batch`` the model maps a list of
+    prompts to a list of answers.
     """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         complete = load()
         for prompts in batches:
-            answers = [None if p is None else _safe(complete, p) for p in prompts]
-            yield pd.Series(answers, dtype="object")
+            asked = [(p,) for p in prompts if p is not None]
+            answers = iter(_answers(complete, asked, batch))
+            yield pd.Series([None if p is None else next(answers) for p in prompts], dtype="object")
 
     return lambda headline, context: parse_score(run(build_prompt(headline, context)))
 
 
-def class_scorer(load: Callable[[], Callable[[str], list[float] | None]], labels: list[str]) -> Scorer:
-    """Scorer around a classifier that returns logits; a blank headline scores 0."""
+def class_scorer(load: Callable[[], Callable[..., Any]], labels: list[str], batch: bool = False) -> Scorer:
+    """Scorer around a classifier that returns logits; a blank headline scores 0.
+
+    With ``batch`` the classifier maps a list of texts to a list of logit rows.
+    """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         logits = load()
         for texts in batches:
-            yield pd.Series([_safe(logits, t) for t in texts], dtype="object")
+            yield pd.Series(_answers(logits, [(t,) for t in texts], batch), dtype="object")
 
     return lambda headline, context: prob_score(run(strip(headline)), labels, headline)
 
@@ -85,10 +111,13 @@ def lexicon_scorer(pos_terms: list[str], neg_terms: list[str], scale: float = 4.
     pos = [t.lower().strip() for t in pos_terms]
     neg = [t.lower().strip() for t in neg_terms]
 
+    def among(hits: Column, terms: list[str]) -> Column:
+        return F.size(F.array_intersect(hits, literal_array(terms))) if terms else F.lit(0)
+
     def score(headline: Column, context: Column) -> Column:
-        text = normalize_headline(headline)
-        balance = F.size(keywords_present(text, pos)) - F.size(keywords_present(text, neg))
-        return clamp(balance.cast("double") / F.lit(scale))
+        # One search for both lists; the hits are named several times below.
+        hits = keywords_present(normalize_headline(headline), pos + neg)
+        return let(hits, lambda h: clamp((among(h, pos) - among(h, neg)).cast("double") / F.lit(scale)))
 
     return score
 

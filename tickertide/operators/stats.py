@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickertide.functions.scores import clamp, hit_flag, no_nan, quintile_label
@@ -97,11 +98,92 @@ def corr_delta_block(
     return _complete(table, [(_label(r), d) for r, d in grid], names)
 
 
-# Rank error of the first pass, and half-width of the rank range examined exactly.
+# Rank error of a sketch, and the share of a span's rows kept on each side of a wanted rank.
 ACCURACY = 10_000
 HALF_WIDTH = 0.001
-# Up to this many values all of them are examined exactly.
-EXACT_ROWS = 100_000
+# A span of at most so many rows is read value by value.
+SPAN_ROWS = 4096
+
+
+@dataclass(frozen=True)
+class Span:
+    """The values strictly between two bounds (None: no bound), and how many rows lie below them.
+
+    Equal bounds stand for that one value.
+    """
+
+    low: float | None
+    high: float | None
+    below: int
+    rows: int
+
+    @property
+    def exact(self) -> bool:
+        return self.low is not None and self.low == self.high
+
+    def holds(self) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & (F.col("x") > F.lit(self.low))
+        if self.high is not None:
+            inside = inside & (F.col("x") < F.lit(self.high))
+        return inside
+
+
+def _narrowed(values: DataFrame, spans: dict[int, Span]) -> dict[int, Span]:
+    """One step towards each rank: two sketched values split its span, and the rank's part stays.
+
+    The two values themselves are parts of their own, so a value that fills a third of the
+    rows is found as such, and what lies between them is a fraction of a percent.
+    """
+    x = F.col("x")
+    sketches = []
+    for rank, span in spans.items():
+        at = (rank - span.below) / span.rows
+        around = [max(0.0, at - HALF_WIDTH), min(1.0, at + HALF_WIDTH)]
+        sketches.append(F.percentile_approx(F.when(span.holds(), x), around, ACCURACY).alias(f"r{rank}"))
+    ends = values.agg(*sketches).first()
+    counts = []
+    for rank, span in spans.items():
+        a, b = ends[f"r{rank}"]
+        for i, part in enumerate((x < a, x == a, (x > a) & (x < b), (x == b) & F.lit(b > a))):
+            counts.append(F.count_if(span.holds() & part).alias(f"r{rank}_{i}"))
+    sizes = values.agg(*counts).first()
+    out = {}
+    for rank, span in spans.items():
+        a, b = ends[f"r{rank}"]
+        rows = [sizes[f"r{rank}_{i}"] for i in range(4)]
+        below = span.below
+        bounds = [(span.low, a), (a, a), (a, b), (b, b), (b, span.high)]
+        for (low, high), n in zip(bounds, [*rows, span.rows - sum(rows)]):
+            if rank < below + n:
+                out[rank] = Span(low, high, below, n)
+                break
+            below += n
+    return out
+
+
+def _values_at(values: DataFrame, total: int, ranks: list[int]) -> dict[int, float]:
+    """The values of column ``x`` at the given places of its ascending order."""
+    spans = {rank: Span(None, None, 0, total) for rank in ranks}
+    while wide := {r: s for r, s in spans.items() if s.rows > SPAN_ROWS and not s.exact}:
+        spans |= _narrowed(values, wide)
+    found = {r: s.low for r, s in spans.items() if s.exact}
+    rest = {r: s for r, s in spans.items() if not s.exact}
+    if not rest:
+        return found
+    inside = reduce(lambda a, b: a | b, [s.holds() for s in rest.values()])
+    # At most SPAN_ROWS rows for each rank.
+    counted = values.where(inside).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
+    for rank, span in rest.items():
+        end = span.below
+        for row in sorted(counted, key=lambda r: r.x):
+            if (span.low is None or row.x > span.low) and (span.high is None or row.x < span.high):
+                end += row.n
+                if rank < end:
+                    found[rank] = row.x
+                    break
+    return found
 
 
 def _number(value: float) -> str:
@@ -111,55 +193,20 @@ def _number(value: float) -> str:
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Inner edges of ``q`` equal buckets, exact with linear interpolation.
 
-    The built-in exact percentile holds all distinct values in one task.  Here a first pass
-    brackets every edge by approximate quantiles whose rank error is far smaller than the
-    bracket.  A second pass counts what lies between brackets, and keeps and ranks only the
-    values inside them, a fraction of a percent.  Equal values are counted in the tasks
-    before the shuffle, so a value that fills a third of the rows is one row per task.
+    The built-in exact percentile holds all distinct values in one task.  Here every edge is
+    narrowed down: a sketch brackets its rank, one count tells which rows lie in the bracket,
+    and so on until a fixed number of rows is left, which is read.  Each step keeps a fraction of a
+    percent, so 10^12 rows take four.  All of it is partial aggregates: no task ranks rows.
 
     Like ``approxQuantile`` this runs at once; each pass returns a handful of numbers.
     """
-    values = df.select(no_nan(F.col(col)).alias("x")).where(F.col("x").isNotNull())
-    points = [p for k in range(1, q) for p in (k / q - HALF_WIDTH, k / q + HALF_WIDTH)]
-    approx = values.agg(
-        F.count("x").alias("n"),
-        F.percentile_approx("x", [max(0.0, min(1.0, p)) for p in points], ACCURACY).alias("ends"),
-    ).first()
-    if not approx.n:
+    values = df.select(no_nan(F.col(col)).cast("double").alias("x")).where(F.col("x").isNotNull())
+    total = values.count()
+    if not total:
         return []
-
-    # Position of a value among the bracket ends: odd means inside a bracket, and a value
-    # equal to an end has two positions.
-    lower = " + ".join(f"int({_number(e)} < x)" for e in approx.ends)
-    upper = " + ".join(f"int({_number(e)} <= x)" for e in approx.ends)
-    placed = values.select("x", F.expr(lower).alias("zone"), F.expr(upper).alias("up"))
-    inside = (F.col("zone") % 2 == 1) | (F.col("up") % 2 == 1) | (F.col("zone") < F.col("up"))
-    if approx.n <= EXACT_ROWS:
-        inside = F.lit(True)
-    freq = (
-        placed.select("zone", F.when(inside, F.col("x")).alias("x"))
-        .groupBy("zone", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # A zone is one bracket or one gap, hence at most 2 (q - 1) + 1 rows.
-    sizes = freq.groupBy("zone").agg(F.sum("n").alias("n"))
-    sizes = sizes.agg(F.collect_list(F.struct("zone", "n"))).scalar()
-    running = Window.partitionBy("zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.aggregate(
-        F.filter("sizes", lambda z: z["zone"] < F.col("zone")),
-        F.lit(0).cast("long"),
-        lambda acc, z: acc + z["n"],
-    )
-    ranked = freq.withColumns({"run": F.sum("n").over(running), "sizes": sizes}).select(
-        "x", (before + F.col("run") - F.col("n")).alias("start"), (before + F.col("run")).alias("end")
-    )
-
     # Ranks, in whole numbers, of the two values each edge lies between.
-    places = [divmod(k * (approx.n - 1), q) for k in range(1, q)]
-    wanted = sorted({r for low, rest in places for r in (low, low + (rest > 0))})
-    holds = " OR ".join(f"(start <= {r} AND {r} < end)" for r in wanted)
-    rows = ranked.where("x is not null").where(holds).collect()
-    at = {r: row.x for r in wanted for row in rows if row.start <= r < row.end}
+    places = [divmod(k * (total - 1), q) for k in range(1, q)]
+    at = _values_at(values, total, sorted({r for low, rest in places for r in (low, low + (rest > 0))}))
     return [
         at[low] + (at[low + (rest > 0)] - at[low]) * (rest / q) for low, rest in places
     ]

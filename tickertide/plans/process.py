@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tickertide.operators.scoring import Scorer, score_unique_join
+from tickertide.session import cut_lineage
 from tickertide.sources.lexicon import MatchingTables
 from tickertide.sources.writers import write_jsonl
 
@@ -15,7 +16,12 @@ def process(
     tables: MatchingTables | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add the score columns; context notes reach the scorers where ``tables`` is given."""
+    """Add the score columns; context notes reach the scorers where ``tables`` is given.
+
+    ``base`` is written to the shared folder first: scoring reads it twice, and the search of
+    the texts behind it must not run twice.
+    """
+    base = cut_lineage(base, "base")
     contexts = tables.contexts if tables is not None else None
     return score_unique_join(base, backends, contexts, partitions=partitions)
 

@@ -32,7 +32,8 @@ def normalize_feed(
 
     Title and link are trimmed and must not be blank.  The two RSS sources cap by the
     entry's position, counting entries that are then skipped; the API source caps the
-    articles it keeps, in position order.
+    articles it keeps, in position order.  An RSS entry without summary shows its ``description``,
+    where ``entries`` has that column.
     """
     pipeline, outlet = SOURCES[source_system]
     rows = entries.where(F.col("source_system") == source_system)
@@ -50,7 +51,8 @@ def normalize_feed(
         stamp = parse_feed_date(
             F.coalesce(_filled("published"), _filled("updated"), _filled("created")), now
         )
-        snippet = F.coalesce(strip_html_snippet(F.col("summary"), snippet_chars), F.lit(""))
+        bodies = [_filled(c) for c in ("summary", "description") if c in entries.columns]
+        snippet = F.coalesce(strip_html_snippet(F.coalesce(*bodies), snippet_chars), F.lit(""))
     return rows.select(
         strip(F.col("link")).alias("url"),
         strip(F.col("title")).alias("headline"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,24 +73,40 @@ def _union(spark: SparkSession, frames: list[DataFrame], with_file: bool) -> Dat
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _files_by_header(spark: SparkSession, paths: list[str], recursive: bool) -> dict[tuple[str, ...], list[str]]:
+    """Single files by their header line, found in one job; the driver gets one line per file.
+
+    Lines of a file that is split are numbered in file order within each task; the line at the
+    file's first split and lowest number is its header.
+    """
+    if not paths:
+        return {}
+    lines = spark.read.option("recursiveFileLookup", recursive).text(paths).where("trim(value) <> ''")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = (
+        lines.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
+        .groupBy("path")
+        .agg(F.min_by("value", "at").alias("header"))
+    )
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(first.collect(), key=lambda r: r.path):
+        header = next(csv.reader([row.header.removeprefix("\ufeff")]))
+        groups.setdefault(tuple(header), []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row.path)))
+    return groups
+
+
 def read_headlines_csv(
     spark: SparkSession, paths: str | Iterable[str], with_file: bool = False, recursive: bool = False
 ) -> DataFrame:
     """UTF-8 CSV files with a header, all columns text; a missing or empty file has no rows.
 
-    The header of each given path (file, folder or glob) is looked up once, paths with the
-    same header share one scan, and absent columns are filled with ``""``.  ``with_file``
-    keeps file time, path and row for ordering.
+    Every file has its own header, also within one folder or glob: files with the same header
+    share one scan, and absent columns are filled with ``""``.  ``with_file`` keeps file time,
+    path and row for ordering.
     """
-    options = {**CSV_OPTIONS, "recursiveFileLookup": recursive}
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in existing_paths(spark, paths):
-        header = spark.read.options(**{**options, "enforceSchema": True}).csv(path).columns
-        if header:
-            by_header.setdefault(tuple(header), []).append(path)
     frames = []
-    for header, group in by_header.items():
-        df = spark.read.options(**options).schema(strings(list(header))).csv(group)
+    for header, group in _files_by_header(spark, existing_paths(spark, paths), recursive).items():
+        df = spark.read.options(**CSV_OPTIONS).schema(strings(list(header))).csv(group)
         if with_file:
             df = df.select("*", *_file_columns())
             keep = [F.col(c) for c in FILE_COLUMNS]
@@ -124,20 +143,20 @@ def union_headline_files(
     spark: SparkSession, paths: str | Iterable[str], with_file: bool = False
 ) -> DataFrame:
     """Mixed ``.csv`` and ``.jsonl`` files as one table; any other suffix is an error."""
-    csv, jsonl = [], []
+    tables, lines = [], []
     for path in _as_list(paths):
         suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
         if suffix == "csv":
-            csv.append(path)
+            tables.append(path)
         elif suffix == "jsonl":
-            jsonl.append(path)
+            lines.append(path)
         else:
             raise ValueError(f"unsupported headline file format: {path}")
     frames = []
-    if csv:
-        frames.append(read_headlines_csv(spark, csv, with_file))
-    if jsonl:
-        frames.append(read_headlines_jsonl(spark, jsonl, with_file))
+    if tables:
+        frames.append(read_headlines_csv(spark, tables, with_file))
+    if lines:
+        frames.append(read_headlines_jsonl(spark, lines, with_file))
     return _union(spark, frames, with_file)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any, NamedTuple
 
@@ -21,92 +22,91 @@ class MatchingTables(NamedTuple):
     contexts: DataFrame
 
 
+class Part(NamedTuple):
+    """Where keywords of one role stand in a company file, and under which fields of an entry."""
+
+    path: tuple[str, ...]
+    role: str
+    aliases: tuple[str, ...] | None = None  # None: plain texts, no named entries
+
+
+PARTS = [
+    *[Part(("identity", field), "identity") for field in ("company_name", "aliases", "key_people")],
+    Part(("subsidiaries",), "subsidiaries", ("aliases",)),
+    Part(("products",), "products", ("aliases",)),
+    *[Part(("ecosystem", role), role, ("aliases", "keywords")) for role in ECOSYSTEM_ROLES],
+]
+# Roles whose entries carry notes; a later one overrides an earlier one for the same keyword.
+NOTED_ROLES = ("products", "subsidiaries")
+
+
 def _texts(value: Any) -> list[str]:
-    """All non-blank strings of a scalar, a list, or the named parts of a mapping."""
-    if isinstance(value, str):
-        return [value.strip()] if value.strip() else []
-    if isinstance(value, list):
-        return [text for item in value for text in _texts(item)]
-    if not isinstance(value, dict):
-        return []
-    found = []
-    for part in value.values():
-        if not isinstance(part, dict):
-            found += _texts(part)
-            continue
-        source = next((k for k in ("aliases", "keywords") if k in part), None)
-        if source:
-            found += _texts(part[source])
-        elif "name" in part:
-            found += _texts(str(part["name"]))
-    return found
-
-
-def _spoken(name: Any) -> str:
-    return str(name).replace("_", " ").strip()
-
-
-def _aliases(part: Any, *sections: str) -> list[str]:
-    if not isinstance(part, dict):
-        return []
-    return _texts(next((part[s] for s in sections if s in part), []))
-
-
-def _named_section(section: dict | None) -> list[str]:
-    """Subsidiaries or products: the entry name (``_`` read as a blank) and its aliases."""
-    return [kw for name, part in (section or {}).items() for kw in [_spoken(name), *_aliases(part, "aliases")]]
-
-
-def _ecosystem(block: dict | list | None) -> list[str]:
-    """Mapping keys read ``_`` as a blank; list names stay literal."""
-    if isinstance(block, dict):
-        named = [(_spoken(name), part) for name, part in block.items()]
+    """All non-blank strings of a scalar, a list, or the named parts of a mapping.
+
+    A part that is itself a mapping gives its aliases or keywords, or else its name.
+    """
+    found, waiting = [], [value]
+    while waiting:
+        item = waiting.pop(0)
+        if isinstance(item, str):
+            found.append(item.strip())
+        elif isinstance(item, list):
+            waiting[:0] = item
+        elif isinstance(item, dict):
+            waiting[:0] = [
+                next((part[k] for k in ("aliases", "keywords") if k in part), str(part["name"]) if "name" in part else None)
+                if isinstance(part, dict)
+                else part
+                for part in item.values()
+            ]
+    return [text for text in found if text]
+
+
+def _entries(data: dict, part: Part) -> Iterator[tuple[list[str], str]]:
+    """(keywords, note) of every entry of one part; ``_`` in a mapping's names reads as a blank."""
+    node: Any = data
+    for key in part.path:
+        node = node.get(key) if isinstance(node, dict) else None
+    if part.aliases is None:
+        yield _texts(node), ""
+        return
+    if isinstance(node, dict):
+        named = [(str(name).replace("_", " "), fields) for name, fields in node.items()]
     else:
-        named = [(str(p.get("name", "")).strip(), p) for p in block or [] if isinstance(p, dict)]
-    return [kw for name, part in named for kw in [name, *_aliases(part, "aliases", "keywords")]]
+        named = [(str(fields.get("name", "")), fields) for fields in node or [] if isinstance(fields, dict)]
+    for name, fields in named:
+        fields = fields if isinstance(fields, dict) else {}
+        other = next((fields[key] for key in part.aliases if key in fields), None)
+        note = fields.get("context") or fields.get("catalyst") or ""
+        yield [kw for kw in (name.strip(), *_texts(other)) if kw], str(note).strip()
+
+
+def _ticker(data: dict) -> str:
+    return str((data.get("metadata") or {}).get("target_ticker") or "").upper()
 
 
 def relationship_rows(data: dict) -> tuple[list[tuple], list[tuple]]:
     """One company file to lexicon rows and context rows; a file without ticker has none."""
-    ticker = (data.get("metadata") or {}).get("target_ticker")
+    ticker = _ticker(data)
     if not ticker:
         return [], []
-    ticker = str(ticker).upper()
-    identity = data.get("identity") or {}
-    ecosystem = data.get("ecosystem") or {}
-    by_role = {
-        "identity": _texts(identity.get("company_name"))
-        + _texts(identity.get("aliases"))
-        + _texts(identity.get("key_people")),
-        "subsidiaries": _named_section(data.get("subsidiaries")),
-        "products": _named_section(data.get("products")),
-    }
-    for role in ECOSYSTEM_ROLES:
-        by_role[role] = _ecosystem(ecosystem.get(role))
-    lexicon = [
-        (ticker, kw, role) for role, kws in by_role.items() for kw in dict.fromkeys(kws) if kw
-    ]
-
-    contexts: dict[str, str] = {}
-    for section in ("products", "subsidiaries"):
-        for name, part in (data.get(section) or {}).items():
-            if not isinstance(part, dict):
-                continue
-            text = str(part.get("context") or part.get("catalyst") or "").strip()
-            if text:
-                contexts.update({kw: text for kw in [_spoken(name), *_aliases(part, "aliases")] if kw})
-    rows = [(ticker, kw, text, i) for i, (kw, text) in enumerate(contexts.items())]
-    return lexicon, rows
+    walked = [(part.role, kws, note) for part in PARTS for kws, note in _entries(data, part)]
+    lexicon = dict.fromkeys((ticker, kw, role) for role, kws, _ in walked for kw in kws)
+    notes: dict[str, str] = {}
+    for noted in NOTED_ROLES:
+        for role, kws, note in walked:
+            if role == noted and note:
+                notes |= dict.fromkeys(kws, note)
+    return list(lexicon), [(ticker, kw, note, i) for i, (kw, note) in enumerate(notes.items())]
 
 
 def tables_from_mappings(
     spark: SparkSession, entities: dict, relationships: list[dict]
 ) -> MatchingTables:
-    lexicon, contexts = [], []
-    for data in relationships:
-        words, notes = relationship_rows(data or {})
-        lexicon += words
-        contexts += notes
+    """Parsed files to tables; of several files for one ticker the last one counts."""
+    by_ticker = {_ticker(data or {}): relationship_rows(data or {}) for data in relationships}
+    lexicon = [row for words, _ in by_ticker.values() for row in words]
+    contexts = [row for _, notes in by_ticker.values() for row in notes]
     terms = [
         (term, kind)
         for kind in ("ai_buzz_phrases", "ai_buzz_entities")

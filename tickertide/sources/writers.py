@@ -9,10 +9,10 @@ from tickertide.functions.dates import landed_day, landed_file_name
 from tickertide.operators.dedup import dedup_headline_url, first_keep_dedup
 from tickertide.operators.joins import anti_join_new_rows
 from tickertide.schemas import RAW, RAW_COLUMNS, SCORE_KEYS, SCORES
+from tickertide.session import cut_lineage
 from tickertide.sources.headlines import existing_paths, read_headlines_csv
 
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
-MAX_COLUMNS = 2000
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -41,10 +41,8 @@ def jsonl_to_csv(
     parsed = F.from_json("value", "map<string,string>")
     if extras is None:
         keys = lines.select(F.explode(F.map_keys(parsed)).alias("k")).distinct()
-        found = keys.where(~F.col("k").isin(RAW_COLUMNS)).limit(MAX_COLUMNS + 1).collect()
-        if len(found) > MAX_COLUMNS:
-            raise ValueError(f"more than {MAX_COLUMNS} different keys; name the extra columns")
-        extras = [r.k for r in found]
+        # The names of the output's columns.
+        extras = [r.k for r in keys.where(~F.col("k").isin(RAW_COLUMNS)).collect()]
     rows = lines.select(parsed.alias("m")).where(F.col("m").isNotNull())
     cols = RAW_COLUMNS + sorted(extras)
     rows = rows.select(*[F.try_element_at("m", F.lit(c)).alias(c) for c in cols])
@@ -183,7 +181,8 @@ def insert_or_ignore(
     rows = to_score_rows(batch)
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.monotonically_increasing_id())
-    first = first_keep_dedup(rows, list(keys), "ord").drop("ord")
+    # Both joins below read it; what led to it runs once.
+    first = cut_lineage(first_keep_dedup(rows, list(keys), "ord").drop("ord"), "batch")
     fresh = anti_join_new_rows(first, read_score_table(spark, table_path), list(keys))
     # Counted while writing, so the anti-join runs once.
     added = Observation("inserted")

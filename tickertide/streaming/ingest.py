@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickertide.operators.dedup import first_keep_dedup
+from tickertide.operators.joins import anti_join_new_rows
 from tickertide.operators.matching import match_tickers
-from tickertide.schemas import MATCHED_COLUMNS, RAW, RAW_COLUMNS, SCORE_KEYS
-from tickertide.sources.headlines import CSV_OPTIONS
+from tickertide.schemas import MATCHED_COLUMNS, RAW, RAW_COLUMNS
+from tickertide.session import cut_lineage
+from tickertide.sources.headlines import CSV_OPTIONS, existing_paths
 from tickertide.sources.writers import insert_or_ignore
 
 
@@ -25,8 +26,8 @@ def dedup_stream(raw: DataFrame, delay: str = "3 days") -> DataFrame:
     """Drop repeats of (headline, url) that arrive within ``delay`` of each other.
 
     The watermark follows arrival time, so no row ever counts as late and backfilled files
-    lose nothing, while the state is bounded by ``delay``.  Repeats further apart are
-    stopped by the sink's anti-join.
+    lose nothing, while the state is bounded by ``delay``.  Repeats further apart pass; the sink
+    of ``stream_ingest_headlines`` stops them.
     """
     return (
         raw.withColumn("arrived", F.current_timestamp())
@@ -45,14 +46,26 @@ def stream_ingest_headlines(
     format: str = "parquet",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Landed files to the deduplicated raw table; exactly once by the file sink's log."""
+    """Landed files to the raw table, each (headline, url) once however far apart it repeats.
+
+    Repeats within ``delay`` are dropped in the stream; each micro-batch then adds only rows
+    whose key is not stored.  A batch that is run again finds its rows stored.
+    """
     stream = dedup_stream(read_stream(spark, path, format), delay)
-    writer = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out_path)
-        .option("checkpointLocation", checkpoint)
-    )
+    # A text that keeps null and blank apart.
+    key = F.to_json(F.struct("headline", "url"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = cut_lineage(batch.withColumn("_key", key), "batch")
+        if rows.isEmpty():
+            return
+        if existing_paths(session, out_path):
+            stored = session.read.schema(RAW).parquet(out_path).withColumn("_key", key)
+            rows = anti_join_new_rows(rows, stored, ["_key"])
+        rows.select(*RAW_COLUMNS).write.mode("append").parquet(out_path)
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -74,9 +87,8 @@ def stream_match_upsert(
     def upsert(batch: DataFrame, batch_id: int) -> None:
         matched = match_tickers(batch, lex, ai_terms, ai_only=True)
         # Within a batch files have no order: the earliest fetch is kept.
-        order = ["fetched_at", "posted_at", "source", "reporter"]
-        first = first_keep_dedup(matched, SCORE_KEYS, order).select(*MATCHED_COLUMNS)
-        insert_or_ignore(batch.sparkSession, table, first)
+        order = F.struct("fetched_at", "posted_at", "source", "reporter").alias("ord")
+        insert_or_ignore(batch.sparkSession, table, matched.select(*MATCHED_COLUMNS, order))
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     if available_now:
