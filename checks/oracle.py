@@ -304,6 +304,15 @@ ORACLE["normalize_url"] = "SELECT page_id, rtrim(url, '/') AS url FROM pages"
 for name in ("match_tickers", "match_tickers_token"):
     ORACLE[name] = f"WITH {MATCHED} SELECT ord, ticker, is_ai_related, is_proxy_partnership FROM matched"
 
+ORACLE["match_tickers_many"] = f"""WITH {MATCHED}, kws AS (
+    SELECT DISTINCT trim(substring(h, s, n)) AS kw FROM normed, (VALUES (1, 12), (13, 9), (40, 7)) c(s, n)),
+  hits AS (SELECT ord, is_ai_related, kws.kw FROM flagged f
+    JOIN (SELECT ord AS o, h AS txt FROM normed) t ON t.o = f.ord
+    JOIN kws ON CASE WHEN kws.kw = '' OR NOT contains(txt, kws.kw) THEN false WHEN contains(kws.kw, ' ') THEN true
+      WHEN NOT regexp_full_match(kws.kw, '[\\p{{L}}\\p{{N}}_]+') THEN false ELSE {hit('txt', 'kws.kw')} END)
+  SELECT ord, left(kw, 1) AS ticker, is_ai_related, bool_or(length(kw) % 2 = 0) AS is_proxy_partnership
+  FROM hits GROUP BY ALL"""
+
 
 def balance(h: str) -> str:
     def total(terms: list[str]) -> str:
@@ -325,6 +334,11 @@ noted AS (
   LEFT JOIN ctx c ON c.ticker = m.ticker AND contains(lower({stripped('m.headline')}), c.kw)
   GROUP BY m.headline)"""
 ORACLE["headline_context"] = f"WITH {NOTED} SELECT headline, context FROM noted"
+ORACLE["headline_context_token"] = f"""WITH {MATCHED}
+  SELECT ord, m.ticker, 'This news relates to ' || string_agg(c.context, '; ' ORDER BY c.pos)
+         FILTER (c.context IS NOT NULL) || '.' AS context
+  FROM matched m LEFT JOIN ctx c ON c.ticker = m.ticker AND contains(lower({stripped('m.headline')}), c.kw)
+  GROUP BY ord, m.ticker"""
 ORACLE["asof_forward"] = f"""WITH {DAILY}, {PRICES}
   SELECT d.ticker, d.date, headline_count, p.trade_date, p.close
   FROM daily d ASOF LEFT JOIN prices p ON d.ticker = p.ticker AND d.date <= p.trade_date"""

@@ -364,6 +364,25 @@ def match_tickers_token(spark, d):
     return _flags(_matched(spark, d, strategy="token"))
 
 
+@query
+def match_tickers_many(spark, d):
+    """Three stretches of every text as keywords, far more than are planned into a scan."""
+    raw = b.raw_headlines(spark, d)
+    h = text.normalize_headline(F.col("headline"))
+    parts = [F.trim(F.substring(h, at, size)) for at, size in ((1, 12), (13, 9), (40, 7))]
+    lex = (
+        raw.select(F.explode(F.array(*parts)).alias("keyword"))
+        .where(r"keyword like '% %' or keyword rlike '^[\\p{L}\\p{N}_]+$'")
+        .distinct()
+        .select(
+            F.left("keyword", F.lit(1)).alias("ticker"),
+            "keyword",
+            F.expr("if(length(keyword) % 2 = 0, 'partners', 'identity')").alias("role"),
+        )
+    )
+    return _flags(matching.match_tickers(raw, cut_lineage(lex, "keywords"), b.ai_terms(spark)))
+
+
 @query
 def score_unique_join(spark, d):
     backends = {
@@ -388,6 +407,14 @@ def headline_context(spark, d):
     return matching.headline_context(rows, b.contexts(spark)).select("headline", "context")
 
 
+@query
+def headline_context_token(spark, d):
+    """One row per text and ticker, so that texts repeat with other tickers."""
+    rows = _matched(spark, d).select("ord", "headline", "ticker", F.array("ticker").alias("tickers"))
+    noted = matching.headline_context(rows, b.contexts(spark), strategy="token")
+    return noted.select("ord", "ticker", "context")
+
+
 @query
 def asof_forward(spark, d):
     px = b.prices(spark, d).select("ticker", "trade_date", "close")

@@ -56,10 +56,10 @@ def got(df):
     return sorted(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("strategy", ["auto", "token", "shuffled"])
+@pytest.mark.parametrize("strategy", ["auto", "token", "crowded"])
 def test_match_equals_plain_search(spark, strategy, monkeypatch):
-    if strategy == "shuffled":
-        monkeypatch.setattr(matching, "BROADCAST_ROWS", 3)
+    if strategy == "crowded":
+        monkeypatch.setattr(matching, "SLOTS", 4)
         strategy = "token"
     rows = headlines()
     h = spark.createDataFrame(rows, "i int, headline string")

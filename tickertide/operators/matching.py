@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 from tickertide.functions.text import (
+    WORD,
     contains_keyword,
     is_blank,
     keywords_present,
+    let,
     literal_array,
     normalize_headline,
     strip,
@@ -17,15 +21,12 @@ from tickertide.functions.text import (
 )
 from tickertide.schemas import PARTNER_ROLES
 
-# A keyword table up to this many rows is planned into the scan as literals.
-INLINE_ROWS = 5_000
-# A keyword table up to this many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-# Copies of the keyword table in the shuffled join, one per salt.
-SALTS = 16
-
-FOUND = "array<struct<keyword:string,ticker:string,partner:boolean,ai:boolean>>"
-
+# A table of keywords or notes up to this many rows is planned into the scan as literals.
+INLINE_ROWS = 512
+# Marks that tell which keys a large table may hold: at most this many bytes in the plan.
+SLOTS = 1 << 18
+# Characters on each side of a phrase's blank that serve as its key.
+STRETCH = 3
 
 def _keyword_rows(lex: DataFrame | None, ai_terms: DataFrame | None) -> DataFrame:
     """Both keyword tables in one layout, lower-case; a keyword may have several rows."""
@@ -65,63 +66,81 @@ def _found_inline(df: DataFrame, text: str, rows: list[Row]) -> DataFrame:
     return hits.withColumn("_found", F.when(F.size("_hits") > 0, found)).drop("_hits")
 
 
+def _slot(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int")
+
+
+def _may_hold(slots: list[int]) -> Callable[..., Column]:
+    """Test whether a table with keys in ``slots`` can hold a key; it may say yes wrongly.
+
+    As many bytes as sixteen times the keys, but never more than ``SLOTS``; a longer table only
+    makes more false hits, which the join on the key removes.
+    """
+    size = min(SLOTS, 1 << max(8, (16 * len(slots) - 1).bit_length()))
+    marks = bytearray(size)
+    for slot in slots:
+        marks[slot % size] = 1
+    held = F.lit(bytes(marks))
+    return lambda *key: F.substring(held, F.pmod(_slot(*key), F.lit(size)) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def _keyword_key(kw: Column) -> Column:
-    """Equi-join key of a keyword: its first word or, for a phrase, the text around its first blank.
+    """Equi-join key of a keyword: the text around its first blank, its first word, or itself.
 
     A phrase is a plain substring, so its first and last word may be parts of longer words;
-    what surely occurs in the text is the stretch around its blank, up to three characters
-    on each side.  The two lengths are part of the key.
+    what surely occurs in the text is the stretch around its blank, up to ``STRETCH`` characters
+    on each side.  A keyword of punctuation only must fill the whole gap between two words.
     """
     at = F.instr(kw, " ")
-    before = F.least(at - 1, F.lit(3))
-    after = F.least(F.length(kw) - at, F.lit(3))
+    before = F.least(at - 1, F.lit(STRETCH))
+    after = F.least(F.length(kw) - at, F.lit(STRETCH))
     stretch = F.substring(kw, at - before, before + F.lit(1) + after)
-    gram = F.concat(before.cast("string"), after.cast("string"), F.lit(" "), stretch)
-    return F.when(at > 0, gram).otherwise(F.try_element_at(word_tokens(kw), F.lit(1)))
+    word = F.try_element_at(word_tokens(kw), F.lit(1))
+    return F.when(at > 0, stretch).otherwise(F.coalesce(word, kw))
 
 
-def _text_keys(text: Column, parts: Column) -> Column:
-    """Every key a text can share with a keyword: its words and the stretches around blanks.
+def _text_keys(text: Column, shapes: list[Row]) -> Column:
+    """The keys a text can share with keywords: words, gaps between words, stretches around blanks.
 
-    ``parts`` is a column with the text split at blanks, so that a lambda can look ahead.
+    ``shapes`` are the numbers of characters before and after the blank that keys have.
     """
+    gaps = F.regexp_extract_all(text, F.lit(f"(?<={WORD})[^ {WORD[1:-1]}]+(?={WORD})"), F.lit(0))
+    around = [
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=([^ ]{{{s.before}}} .{{{s.after}}}))"), F.lit(1)) for s in shapes
+    ]
+    return F.concat(word_tokens(text), gaps, *around)
 
-    def around(word: Column, i: Column) -> Column:
-        # Three characters past a blank reach at most into the second word after it.
-        ahead = F.concat_ws(" ", F.get(parts, i + 1), F.get(parts, i + 2))
-        grams = [
-            F.concat(F.lit(f"{b}{a} "), F.right(word, F.lit(b)), F.lit(" "), F.left(ahead, F.lit(a)))
-            for b in (1, 2, 3)
-            for a in (1, 2, 3)
-        ]
-        return F.when(F.get(parts, i + 1).isNotNull(), F.array(*grams)).otherwise(
-            F.array().cast("array<string>")
-        )
 
-    return F.array_distinct(F.concat(word_tokens(text), F.flatten(F.transform(parts, around))))
+def _text_id(*cols: str) -> Column:
+    """128 bits that name a text, or a row of several columns."""
+    value = F.col(cols[0]) if len(cols) == 1 else F.to_json(F.struct(*cols))
+    return F.unhex(F.substring(F.sha2(value, 256), 1, 32))
 
 
-def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) -> DataFrame:
+def _found_by_key(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """Keyword hits per row for a large keyword table, by an equi-join on shared keys.
 
-    Only (text hash, key) pairs travel to the join, and each distinct text comes back as one
-    row of candidates, so a text that makes up a third of all rows costs one row per task.
-    The candidates are then verified in the row itself.
+    Keys that no keyword has are dropped in the scan.  Only (text id, key) pairs travel to the
+    join, and each distinct text comes back as one row of candidates, so a text that makes up a
+    third of all rows costs one row per task.  Words need no further test; other candidates are
+    verified in the row itself.  Which side is broadcast, or split, is decided by measured size.
     """
-    rows = df.withColumn("_id", F.sha2(F.col(text), 256))
-    parts = rows.select("_id", text, F.split(text, " ").alias("_parts"))
-    keys = parts.select("_id", F.explode(_text_keys(F.col(text), F.col("_parts"))).alias("_key"))
-    kw = keywords.withColumn("_key", _keyword_key(F.col("keyword")))
-    if small:
-        hits = keys.join(F.broadcast(kw), "_key")
-    else:
-        # A frequent word would gather in one task: spread its rows over the salts, and
-        # give every salt a copy of the keywords.
-        salts = F.array(*[F.lit(i) for i in range(SALTS)])
-        hits = keys.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(
-            kw.withColumn("_salt", F.explode(salts)), ["_key", "_salt"]
-        )
-    entry = F.struct("keyword", "ticker", "partner", "ai")
+    kw = F.col("keyword")
+    exact = kw.rlike(f"^{WORD}+$") | ~kw.rlike(f" |{WORD}")
+    keyed = keywords.withColumns({"_key": _keyword_key(kw), "exact": exact})
+    before = F.instr("_key", " ") - 1
+    shape = F.struct(before.alias("before"), (F.length("_key") - before - 1).alias("after"))
+    # Both sets are bounded: by SLOTS, and by the square of STRETCH.
+    held = keyed.agg(
+        F.collect_set(_slot(F.col("_key"))).alias("slots"), F.collect_set(F.when(before > 0, shape)).alias("shapes")
+    ).first()
+    may_hold = _may_hold(held.slots)
+    shapes = sorted(held.shapes)
+
+    rows = df.withColumn("_id", _text_id(text))
+    own = let(F.col(text), lambda t: F.array_distinct(F.filter(_text_keys(t, shapes), lambda k: may_hold(k))))
+    hits = rows.select("_id", F.explode(own).alias("_key")).join(keyed, "_key")
+    entry = F.struct("keyword", "ticker", "partner", "ai", "exact")
     # Grouped by one column more than joined on: the join then has its own shuffle, whose
     # oversized partitions adaptive execution can split.
     candidates = (
@@ -129,7 +148,12 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) ->
         .agg(F.collect_set(entry).alias("_cands"))
         .drop("_hash")
     )
-    verified = F.filter(F.col("_cands"), lambda c: contains_keyword(F.col(text), c["keyword"]))
+    verified = F.filter(
+        F.col("_cands"),
+        lambda c: F.when(c["exact"], F.lit(True))
+        .when(F.contains(c["keyword"], F.lit(" ")), F.contains(F.col(text), c["keyword"]))
+        .otherwise(contains_keyword(F.col(text), c["keyword"])),
+    )
     joined = rows.join(candidates, "_id", "left")
     return joined.select("*", _once(verified).alias("_found")).drop("_id", "_cands")
 
@@ -137,34 +161,15 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame, small: bool) ->
 def find_keywords(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
     """Add ``_found``: the keyword entries present in the normalised column ``text``.
 
-    ``auto`` looks at the size of the keyword table: literals in the scan up to
-    ``INLINE_ROWS``, a broadcast key join up to ``BROADCAST_ROWS``, a salted shuffle join
-    beyond.  ``inline`` and ``token`` force one of the two forms.
+    ``auto`` (or ``broadcast``) plans a table of up to ``INLINE_ROWS`` rows into the scan as
+    literals and joins a larger one by key; ``token`` always joins.  Both give the same result.
     """
-    if strategy in ("auto", "inline", "broadcast"):
-        rows = keywords.limit(INLINE_ROWS + 1).collect()
-        if not rows:
-            return df.withColumn("_found", F.array().cast(FOUND))
-        if len(rows) <= INLINE_ROWS:
-            return _found_inline(df, text, rows)
-        if strategy != "auto":
-            raise ValueError(f"more than {INLINE_ROWS} keyword rows; use strategy='token'")
-    elif strategy != "token":
+    if strategy not in ("auto", "broadcast", "token"):
         raise ValueError(f"unknown strategy: {strategy}")
-    small = keywords.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    # A keyword of punctuation only shares no word with a text; such oddities go inline.
-    has_key = _keyword_key(F.col("keyword")).isNotNull()
-    odd = keywords.where(~has_key).limit(INLINE_ROWS + 1).collect()
-    if len(odd) > INLINE_ROWS:
-        raise ValueError("too many keywords without a word character")
-    found = _found_by_key(df, text, keywords.where(has_key), small)
-    if not odd:
-        return found
-    found = _found_inline(found.withColumnRenamed("_found", "_found1"), text, odd)
-    both = F.concat(
-        F.coalesce("_found1", F.array().cast(FOUND)), F.coalesce("_found", F.array().cast(FOUND))
-    )
-    return found.withColumn("_found", both).drop("_found1")
+    rows = [] if strategy == "token" else keywords.limit(INLINE_ROWS + 1).collect()
+    if 0 < len(rows) <= INLINE_ROWS:
+        return _found_inline(df, text, rows)
+    return _found_by_key(df, text, keywords)
 
 
 def _with_found(
@@ -235,29 +240,36 @@ def _context_text(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, text)
 
 
-# Characters of a context keyword that serve as its join key.
-NOTE_KEY = 3
-
-
-def _note_keys(text: Column) -> Column:
-    """All stretches of up to ``NOTE_KEY`` characters: a keyword's first ones are among them."""
-    places, sizes = F.sequence(F.lit(1), F.length(text)), F.sequence(F.lit(1), F.lit(NOTE_KEY))
-    grams = F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda n: F.substring(text, i, n))))
-    return F.when(F.length(text) > 0, F.array_distinct(grams))
+# Characters of a context keyword that serve as its join key, if it has as many.
+NOTE_KEY = 6
 
 
 def _context_by_key(h_tickers: DataFrame, notes: DataFrame) -> DataFrame:
     """Context notes by an equi-join on ticker and first characters of the keyword.
 
-    Every distinct (headline, tickers) is looked up once.  Only its id and keys travel to the
-    join; the candidates come back as one row and are verified there.
+    Every distinct (headline, tickers) is looked up once.  Only its id travels to the join, with
+    those keys that notes may have; the candidates come back as one row and are verified there.
     """
-    rows = h_tickers.withColumn("_id", F.sha2(F.to_json(F.struct("headline", "tickers")), 256))
+    keyed = notes.withColumn("_key", F.left("keyword", F.lit(NOTE_KEY)))
+    # Bounded by SLOTS and NOTE_KEY.
+    held = keyed.agg(
+        F.collect_set(_slot(F.col("ticker"), F.col("_key"))).alias("slots"),
+        F.collect_set(F.length("_key")).alias("sizes"),
+    ).first()
+    may_hold = _may_hold(held.slots)
+
+    def stretches(text: Column) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(held.sizes)]
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
+
+    rows = h_tickers.withColumn("_id", _text_id("headline", "tickers"))
     unique = rows.select("_id", F.lower(strip(F.col("headline"))).alias("_h"), "tickers").dropDuplicates(["_id"])
     keys = unique.select("_id", "_h", F.posexplode("tickers").alias("at", "ticker")).select(
-        "_id", "at", "ticker", F.explode(_note_keys(F.col("_h"))).alias("_key")
+        "_id",
+        "at",
+        "ticker",
+        F.explode(F.filter(stretches(F.col("_h")), lambda k: may_hold(F.col("ticker"), k))).alias("_key"),
     )
-    keyed = notes.withColumn("_key", F.left("keyword", F.lit(NOTE_KEY)))
     entry = F.struct("at", "position", "keyword", "context")
     candidates = (
         keys.join(keyed, ["ticker", "_key"])
