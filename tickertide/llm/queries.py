@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickertide.llm import ann, bpe, chat, lm, mixing, near_vectors, ngram_join, quality, toxicity, url_filter
+from tickertide.llm import (
+    alignment,
+    ann,
+    bpe,
+    chat,
+    lm,
+    mixing,
+    near_vectors,
+    ngram_join,
+    quality,
+    repair,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from tickertide.llm.common import held_out, table
+from tickertide.session import scratch_path
 
 PROBE = "\\### Assistant: </turn> ok"
 RULES = [
@@ -84,6 +99,31 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def public_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_token_files(docs, path, public_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.token_digests(spark, path)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    damaged = repair.damaged_turns(given)
+    return repair.repair_report(damaged, given.select("conv_id").distinct())
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align_texts(docs, public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    return alignment.alignment_report(aligned)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filters": op2_url_filters,
@@ -95,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE: dict[str, str] = {
