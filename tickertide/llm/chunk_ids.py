@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from tickertide.llm.common import SLICE_BYTES, _power_tables, mix64
-
-# Chunks a worker remembers; beyond that the less used half goes.
-REMEMBERED = 400_000
+from tickertide.llm.common import _power_tables, mix64
+
+# Bytes of text handled at once.
+SLICE_BYTES = 1 << 19
+# Chunks a worker remembers; beyond that those go that didn't occur again.
+REMEMBERED = 1 << 19
+# Characters after which chunks that are encoded together are a text.
+JOINED_CHARS = 2_000
 # A vocabulary file larger than this isn't a vocabulary.
 VOCABULARY_BYTES = 1 << 26
 
@@ -109,71 +113,122 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-class ChunkIds:
-    """Ids of texts by a table of chunks already seen; hits are compared byte by byte."""
+class _Runs:
+    """A growing list of number runs in one flat array."""
 
-    def __init__(self, code: Coder, streams: int = 1, blanks_only: bool = False, limit: int = REMEMBERED):
-        self.code, self.streams, self.blanks_only, self.limit = code, streams, blanks_only, limit
-        self.keys, self.hits, self.valid = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-        nowhere = np.zeros(0, np.int64)
-        # Each a flat array with where an entry begins in it and its size.
-        self.text = (np.zeros(0, np.uint8), nowhere, nowhere)
-        self.ids = [(np.zeros(0, np.uint32), nowhere, nowhere) for _ in range(streams)]
+    def __init__(self, dtype: type):
+        self.flat, self.end = np.zeros(1 << 16, dtype), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        """Adds chunks; ``keys`` are new, sorted and distinct."""
-        ids, valid = self.code([t.decode() for t in texts])
-        if len(self.keys) + len(keys) > self.limit and len(self.keys):
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.hits = np.insert(self.keys, at, keys), np.insert(self.hits, at, 1)
-        self.valid = np.insert(self.valid, at, valid)
+    def room(self, entries: int) -> None:
+        for name in ("at", "size"):
+            old = getattr(self, name)
+            new = np.zeros(entries, np.int64)
+            new[: min(len(old), entries)] = old[:entries]
+            setattr(self, name, new)
+
+    def put(self, first: int, sizes: np.ndarray, flat: np.ndarray) -> None:
+        while self.end + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.end : self.end + len(flat)] = flat
+        self.at[first : first + len(sizes)] = self.end + np.cumsum(sizes) - sizes
+        self.size[first : first + len(sizes)] = sizes
+        self.end += len(flat)
 
-        def added(old: tuple, sizes: np.ndarray, flat: np.ndarray) -> tuple:
-            starts = np.cumsum(sizes) - sizes + len(old[0])
-            return np.concatenate([old[0], flat]), np.insert(old[1], at, starts), np.insert(old[2], at, sizes)
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.size[entries]
+        return sizes, take_runs(self.flat, self.at[entries], sizes)
 
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.text = added(self.text, sizes, np.frombuffer(b"".join(texts), np.uint8))
-        self.ids = [added(old, *new) for old, new in zip(self.ids, ids, strict=True)]
 
-    def _forget(self) -> None:
-        """Keeps the more used half."""
-        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+class ChunkIds:
+    """Ids of texts by a hash table of chunks already seen; hits are compared byte by byte."""
 
-        def kept(old: tuple) -> tuple:
-            flat, starts, sizes = old
-            sizes = sizes[keep]
-            return take_runs(flat, starts[keep], sizes), np.cumsum(sizes) - sizes, sizes
+    def __init__(self, code: Coder, streams: int = 1, blanks_only: bool = False, limit: int = REMEMBERED):
+        self.code, self.streams, self.blanks_only, self.limit = code, streams, blanks_only, limit
+        self._clear(1 << 12)
+
+    def _clear(self, room: int) -> None:
+        self.n = 0
+        self.slots = np.full(4 * room, -1, dtype=np.int32)
+        self.keys = np.zeros(room, np.uint64)
+        self.valid, self.used = np.zeros(room, bool), np.zeros(room, bool)
+        self.text, self.ids = _Runs(np.uint8), [_Runs(np.uint32) for _ in range(self.streams)]
+        for runs in (self.text, *self.ids):
+            runs.room(room)
+
+    def _lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        mask = np.uint64(len(self.slots) - 1)
+        at = (keys & mask).astype(np.int64)
+        entry = self.slots[at].astype(np.int64)
+        open_ = np.flatnonzero((entry >= 0) & (self.keys[entry] != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & int(mask)
+            entry[open_] = self.slots[at[open_]]
+            found = entry[open_]
+            open_ = open_[(found >= 0) & (self.keys[found] != keys[open_])]
+        return entry
+
+    def _place(self, first: int, last: int) -> None:
+        """Puts entries into free slots."""
+        entry = np.arange(first, last)
+        at = (self.keys[first:last] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(entry):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entry[free]
+            left = self.slots[at] != entry
+            entry, at = entry[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def _room(self, more: int) -> None:
+        """Makes room for entries; beyond the limit those unused since the last time go."""
+        if self.n + more > self.limit and self.n:
+            keep = np.flatnonzero(self.used[: self.n])
+            self._rebuild(keep if len(keep) + more <= self.limit else keep[:0], len(self.keys))
+        size = len(self.keys)
+        while self.n + more > size:
+            size *= 2
+        if size > len(self.keys):
+            self._rebuild(np.arange(self.n), size)
+
+    def _rebuild(self, keep: np.ndarray, room: int) -> None:
+        keys, valid, used = self.keys[keep], self.valid[keep], self.used[keep]
+        runs = [r.of(keep) for r in (self.text, *self.ids)]
+        forgets = len(keep) < self.n
+        self._clear(room)
+        self.n = len(keep)
+        self.keys[: self.n], self.valid[: self.n] = keys, valid
+        self.used[: self.n] = False if forgets else used
+        for r, (sizes, flat) in zip((self.text, *self.ids), runs, strict=True):
+            r.put(0, sizes, flat)
+        self._place(0, self.n)
 
-        self.text = kept(self.text)
-        self.ids = [kept(x) for x in self.ids]
-        self.keys, self.valid, self.hits = self.keys[keep], self.valid[keep], self.hits[keep] // 2
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Adds chunks; ``keys`` are new and distinct."""
+        ids, valid = self.code([t.decode() for t in texts])
+        self._room(len(keys))
+        first, self.n = self.n, self.n + len(keys)
+        self.keys[first : self.n], self.valid[first : self.n], self.used[first : self.n] = keys, valid, False
+        self.text.put(first, np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+        for r, (sizes, flat) in zip(self.ids, ids, strict=True):
+            r.put(first, sizes, flat)
+        self._place(first, self.n)
 
     def _of_chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
         """For each chunk its numbers of ids, the ids of all, and whether it has any."""
         keys = _hashes(data, starts, ends)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        for again in (True, False):
-            at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-            known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-            if known.all():
-                break
-            if not again:
+        entry = self._lookup(keys)
+        self.used[entry[entry >= 0]] = True
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            distinct, first = np.unique(keys[new], return_index=True)
+            self._learn(distinct, [data[starts[i] : ends[i]].tobytes() for i in new[first].tolist()])
+            entry = self._lookup(keys)
+            if (entry < 0).any():
                 return self._afresh(data, starts, ends)
-            new = first[~known]
-            self._learn(distinct[~known], [data[starts[i] : ends[i]].tobytes() for i in new.tolist()])
-        self.hits[at] += np.bincount(which, minlength=len(at))
-        entry = at[which]
-        flat, begin, size = self.text
-        if not np.array_equal(size[entry], ends - starts) or not np.array_equal(
-            take_runs(flat, begin[entry], size[entry]), data
-        ):
+        sizes, text = self.text.of(entry)
+        if not np.array_equal(sizes, ends - starts) or not np.array_equal(text, data):
             return self._afresh(data, starts, ends)
-        out = []
-        for flat, begin, size in self.ids:
-            out.append((size[entry], take_runs(flat, begin[entry], size[entry])))
-        return out, self.valid[entry]
+        return [r.of(entry) for r in self.ids], self.valid[entry]
 
     def _afresh(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
         """The same without the table, for chunks that share a hash or exceed its limit."""
@@ -225,9 +280,19 @@ def worker_coder(kind: str, make: Callable[..., ChunkIds], *vocabularies: bytes)
 
 
 def byte_pair_ids(tokenizer: object) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Numbers of ids and all ids of some texts, by a tokenizer of the tokenizers library."""
+    """Numbers of ids and all ids of some chunks, by a byte-level tokenizer of the tokenizers library.
 
-    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    Chunks that begin with white space are given to it several together, as no token crosses
+    them; the bytes of the tokens tell which are whose.
+    """
+    entries = tokenizer.get_vocab(with_added_tokens=True)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    # A letter of a token stands for a byte, but in special tokens for itself.
+    bytes_of = np.zeros(max(entries.values()) + 1, dtype=np.int64)
+    for token, i in entries.items():
+        bytes_of[i] = len(token.encode()) if token in special else len(token)
+
+    def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
         for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = e.ids
@@ -235,4 +300,25 @@ def byte_pair_ids(tokenizer: object) -> Callable[[list[str]], tuple[np.ndarray,
             flat += ids
         return np.array(sizes, dtype=np.int64), np.array(flat, dtype=np.uint32)
 
+    def code(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts: list[str] = []
+        own: list[str] = []
+        held, joins = 0, False
+        for c in chunks:
+            if own and not (joins and c[0] in " \t\n\r\x0b\x0c" and held < JOINED_CHARS):
+                texts.append("".join(own))
+                own, held = [], 0
+            own.append(c)
+            held += len(c)
+            joins = not c[-1].isspace()
+        if own:
+            texts.append("".join(own))
+        _, flat = encoded(texts)
+        ends = np.cumsum([len(c.encode()) for c in chunks], dtype=np.int64)
+        token_ends = np.cumsum(bytes_of[flat])
+        upto = np.searchsorted(token_ends, ends, side="right")
+        if len(flat) and np.array_equal(token_ends[np.maximum(upto - 1, 0)], ends):
+            return np.diff(upto, prepend=0), flat
+        return encoded(chunks)
+
     return code
