@@ -7,6 +7,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -17,11 +18,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickertide.llm.chunk_ids import ChunkIds, Coded, take_runs, text_slices
 from tickertide.session import scratch_path
 
 # Words compiled into the transducer; all others are merged exactly where they occur.
 LEXICON_WORDS = 50_000
-CACHE_CHUNKS = 300_000
+# Distinct chunks a task counts before it hands some on.
+HELD_CHUNKS = 400_000
 END = "</w>"
 # Fixed values of the vocabulary's normaliser and splitter.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -246,62 +249,73 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids: frequent words by the transducer, others by merging; both remembered a while."""
+    """Texts to ids: frequent words by the transducer, others by merging; chunks are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.v, self.t, self.merger = vocabulary, transducer, Merger(vocabulary)
-        self.cache: dict[str, bytes] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")")
-
-    def _learn(self, chunks: set[str]) -> None:
-        pieces: dict[str, list] = {}
+        self.chunks = ChunkIds(self._code)
+        # Every token with a blank behind it.
+        written = [f"{t} ".encode() for t in vocabulary.tokens]
+        self.written = np.frombuffer(b"".join(written), dtype=np.uint8)
+        self.written_size = np.array([len(w) for w in written], dtype=np.int64)
+        self.written_at = np.cumsum(self.written_size) - self.written_size
+
+    def _code(self, chunks: list[str]) -> Coded:
+        """Numbers of ids and ids of chunks; all their words are looked up in the transducer at once."""
+        pieces: list[list] = []
         words: dict[str, None] = {}
         for c in chunks:
             parts: list = []
             for k, segment in enumerate(self.special.split(c) if "<|" in c else [c]):
                 if k % 2:
                     parts.append(self.v.special[segment])
-                else:
-                    found = PIECES.findall(normalised(segment))
+                    continue
+                for word in chunks_of(segment):
+                    found = PIECES.findall(normalised(word))
                     parts += found
                     words.update(dict.fromkeys(found))
-            pieces[c] = parts
+            pieces.append(parts)
         order = list(words)
         ids: dict[object, tuple[int, ...]] = {}
         for w, n in zip(order, self.t.numbers(order).tolist(), strict=True):
             ids[w] = self.t.ids_of(n) if n >= 0 else self.merger.ids(w)
-        for c, parts in pieces.items():
-            flat = [i for p in parts for i in ((p,) if isinstance(p, int) else ids[p])]
-            self.cache[c] = np.array(flat, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [chunks_of(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        fresh = {c for s in split for c in s if c not in self.cache}
-        self._learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-
-def decode(ids: bytes, tokens: list[str]) -> str:
-    """The tokens of the ids, special ones included, with blanks between."""
-    return " ".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        sizes, flat = [], []
+        for parts in pieces:
+            own = [i for p in parts for i in ((p,) if isinstance(p, int) else ids[p])]
+            sizes.append(len(own))
+            flat += own
+        coded = np.array(sizes, dtype=np.int64), np.array(flat, dtype=np.uint32)
+        return [coded], np.ones(len(chunks), dtype=bool)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a slice of texts and the texts' bounds in them, slice by slice."""
+        for data, offsets, _ in text_slices(texts):
+            (coded,), _ = self.chunks.encode(data, offsets)
+            yield coded
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the tokens, special ones included, with blanks between; and the texts' bounds."""
+        sizes = self.written_size[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        return take_runs(self.written, self.written_at[ids], sizes), ends
 
 
 def count_words(docs: DataFrame, words: int) -> DataFrame:
     """``word, n`` of the most frequent normalised pieces over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: Counter[str] = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                for c in chunks_of(text):
-                    seen[c] = seen.get(c, 0) + 1
-            if len(seen) > 200_000:
-                yield emit(seen)
-                seen = {}
+                seen.update(chunks_of(text))
+                if len(seen) > HELD_CHUNKS:
+                    # Those met once make room; the others stay and go on adding up.
+                    yield emit({c: 1 for c, n in seen.items() if n == 1})
+                    seen = Counter({c: n for c, n in seen.items() if n > 1})
+                    if len(seen) > HELD_CHUNKS // 2:
+                        yield emit(seen)
+                        seen = Counter()
         yield emit(seen)
 
     def emit(seen: dict[str, int]) -> pa.RecordBatch:
@@ -352,12 +366,13 @@ def encode_texts(docs: DataFrame, path: str, digests: bool = False) -> DataFrame
     """
     vocabulary = Vocabulary.read(path)
     name = build_lexicon(docs, vocabulary)
-    tools: list[Encoder] = []
 
     def encoder() -> Encoder:
-        if not tools:
-            tools.append(Encoder(vocabulary, Transducer(SparkFiles.get(name))))
-        return tools[0]
+        # One for the worker and lexicon: what is remembered outlives a task.
+        if _encoders.get("name") != name:
+            _encoders.clear()
+            _encoders.update(name=name, encoder=Encoder(vocabulary, Transducer(SparkFiles.get(name))))
+        return _encoders["encoder"]
 
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kept = [c for c in docs.columns if c not in new]
@@ -366,19 +381,23 @@ def encode_texts(docs: DataFrame, path: str, digests: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for b in batches:
-            at = b.schema.get_field_index("__text")
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                ids = enc.encode(part.column(at).to_pylist())
-                decoded = [decode(i, vocabulary.tokens) for i in ids]
+            lo = 0
+            for ids, bounds in enc.encode(b.column(b.schema.get_field_index("__text"))):
+                part = b.slice(lo, len(bounds) - 1)
+                lo += len(bounds) - 1
+                written, ends = enc.decode(ids, bounds)
+                coded, text = ids.astype("<u4", copy=False).tobytes(), written.tobytes()
+                own = [coded[4 * x : 4 * y] for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                # Without the blank behind the last token.
+                said = [text[x : max(x, y - 1)] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
                 if digests:
                     out = [
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
+                        pa.array(np.diff(bounds)),
+                        pa.array([hashlib.sha256(i).hexdigest() for i in own], pa.string()),
+                        pa.array([hashlib.sha256(d).hexdigest() for d in said], pa.string()),
                     ]
                 else:
-                    out = [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                    out = [pa.array(own, pa.binary()), pa.array(said, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in range(len(kept))), *out], names=[*kept, *new]
                 )
@@ -389,5 +408,8 @@ def encode_texts(docs: DataFrame, path: str, digests: bool = False) -> DataFrame
     return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+_encoders: dict[str, object] = {}
+
+
 def _fields(types: str) -> list[tuple[str, str]]:
     return [tuple(x.split()) for x in types.split(", ")]
