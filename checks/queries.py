@@ -829,9 +829,7 @@ def stream_ingest_headlines(spark, d):
     for _ in range(2):
         b.raw_headlines(spark, d).select(*RAW_COLUMNS).write.mode("append").parquet(src)
     ingest.stream_ingest_headlines(spark, src, out, mark).awaitTermination()
-    return spark.read.schema(b.raw_headlines(spark, d).select(*RAW_COLUMNS).schema).parquet(out).select(
-        "headline", "url"
-    )
+    return ingest.read_raw_table(spark, out).select("headline", "url")
 
 
 @query

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickertide.functions.dates import landed_day, landed_file_name
 from tickertide.operators.dedup import dedup_headline_url, first_keep_dedup
-from tickertide.operators.joins import anti_join_new_rows
 from tickertide.schemas import RAW, RAW_COLUMNS, SCORE_KEYS, SCORES
-from tickertide.session import cut_lineage
 from tickertide.sources.headlines import existing_paths, read_headlines_csv
+from tickertide.sources.keyed import insert_new, read_keyed
 
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
@@ -165,9 +164,7 @@ def to_score_rows(processed: DataFrame) -> DataFrame:
 
 
 def read_score_table(spark: SparkSession, path: str) -> DataFrame:
-    if not existing_paths(spark, path):
-        return spark.createDataFrame([], SCORES)
-    return spark.read.schema(SCORES).parquet(path)
+    return read_keyed(spark, path, SCORES)
 
 
 def insert_or_ignore(
@@ -176,18 +173,14 @@ def insert_or_ignore(
     """Append the batch rows whose key is not stored yet; return how many were added.
 
     The first duplicate within the batch wins, by column ``ord`` where it is given.  Running
-    the same batch again adds nothing, so a retried batch is harmless.
+    the same batch again adds nothing, so a retried batch is harmless, and writers that overlap
+    store each key once (see ``tickertide.sources.keyed``).
     """
     rows = to_score_rows(batch)
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.monotonically_increasing_id())
-    # Both joins below read it; what led to it runs once.
-    first = cut_lineage(first_keep_dedup(rows, list(keys), "ord").drop("ord"), "batch")
-    fresh = anti_join_new_rows(first, read_score_table(spark, table_path), list(keys))
-    # Counted while writing, so the anti-join runs once.
-    added = Observation("inserted")
-    fresh.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(table_path)
-    return int(added.get["n"])
+    first = first_keep_dedup(rows, list(keys), "ord").select(*SCORES.names)
+    return insert_new(spark, table_path, first, keys)
 
 
 def read_scores_ordered(spark: SparkSession, path: str) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickertide.operators.joins import anti_join_new_rows
 from tickertide.operators.matching import match_tickers
 from tickertide.schemas import MATCHED_COLUMNS, RAW, RAW_COLUMNS
-from tickertide.session import cut_lineage
-from tickertide.sources.headlines import CSV_OPTIONS, existing_paths
+from tickertide.sources.headlines import CSV_OPTIONS
+from tickertide.sources.keyed import insert_new, read_keyed
 from tickertide.sources.writers import insert_or_ignore
 
 
@@ -37,6 +36,11 @@ def dedup_stream(raw: DataFrame, delay: str = "3 days") -> DataFrame:
     )
 
 
+def read_raw_table(spark: SparkSession, path: str) -> DataFrame:
+    """The raw table that ``stream_ingest_headlines`` writes."""
+    return read_keyed(spark, path, RAW)
+
+
 def stream_ingest_headlines(
     spark: SparkSession,
     path: str,
@@ -49,21 +53,14 @@ def stream_ingest_headlines(
     """Landed files to the raw table, each (headline, url) once however far apart it repeats.
 
     Repeats within ``delay`` are dropped in the stream; each micro-batch then adds only rows
-    whose key is not stored.  A batch that is run again finds its rows stored.
+    whose key is not stored, reading the keys of those buckets alone that it falls into (see
+    ``tickertide.sources.keyed``; ``read_raw_table`` reads the result).  A batch that is run again
+    finds its rows stored.
     """
     stream = dedup_stream(read_stream(spark, path, format), delay)
-    # A text that keeps null and blank apart.
-    key = F.to_json(F.struct("headline", "url"))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        rows = cut_lineage(batch.withColumn("_key", key), "batch")
-        if rows.isEmpty():
-            return
-        if existing_paths(session, out_path):
-            stored = session.read.schema(RAW).parquet(out_path).withColumn("_key", key)
-            rows = anti_join_new_rows(rows, stored, ["_key"])
-        rows.select(*RAW_COLUMNS).write.mode("append").parquet(out_path)
+        insert_new(batch.sparkSession, out_path, batch.select(*RAW_COLUMNS), ("headline", "url"))
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if available_now:
