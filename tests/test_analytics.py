@@ -123,9 +123,8 @@ def test_corr_by_ticker_lists_absent_tickers(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 51, 1000, 6000])
 def test_buckets_equal_qcut(spark, n, small, monkeypatch):
     if not small:
-        monkeypatch.setattr(stats, "SPAN_ROWS", 8)
-        monkeypatch.setattr(stats, "HALF_WIDTH", 0.02)
-        monkeypatch.setattr(stats, "ACCURACY", 200)
+        # Never read before all 64 bits are found.
+        monkeypatch.setattr(stats, "SPAN_ROWS", 0)
     rng = np.random.default_rng(n)
     for values in (rng.normal(size=n), np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.4, 0.0, rng.random(n))):
         edges = np.quantile(values, [0.2, 0.4, 0.6, 0.8])
@@ -143,6 +142,9 @@ def test_quantiles_of_constant_and_skewed_columns(spark):
         return stats.quantile_edges(spark.createDataFrame([(v,) for v in values], "x double"), "x")
 
     assert edges([7.5] * 9000) == [7.5] * 4
+    assert edges([-0.0, 0.0] * 50) == [0.0] * 4
+    assert edges([float("-inf")] * 5000 + [-5e-324] * 5000 + [1e308] * 5000) == [float("-inf"), -5e-324, -5e-324, 1e308]
+    assert edges([]) == []
     rng = np.random.default_rng(3)
     skewed = [1.0] * 7000 + np.exp(rng.normal(size=9000) * 5).tolist() + [float("inf")] * 10
     np.testing.assert_allclose(edges(skewed), np.quantile(skewed, [0.2, 0.4, 0.6, 0.8]), rtol=1e-12)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tickertide.operators import dedup, matching
+from tickertide.operators import automaton, dedup, matching
 from tickertide.schemas import AI_TERMS, CONTEXTS, LEXICON, PARTNER_ROLES
 from tickertide.sources.lexicon import load_lexicon, tables_from_mappings
 
@@ -75,7 +75,7 @@ def test_inline_match_has_no_shuffle_and_searches_once(spark):
     matched = dedup.ai_only_filter(matching.match_tickers(h, lex, ai))
     plan = matched._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
-    assert plan.count("regexp_extract_all") == 1
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
 
 
 def test_match_of_union_is_union_of_matches(spark):
@@ -111,7 +111,8 @@ def test_headline_context(spark, monkeypatch):
         "GB200": None,
     }
     assert {r.headline: r.context for r in matching.headline_context(rows, contexts).collect()} == want
-    monkeypatch.setattr(matching, "INLINE_ROWS", 2)
+    # Notes beyond the automaton's size are joined by key.
+    monkeypatch.setattr(automaton, "AUTOMATON_LETTERS", 2)
     assert {r.headline: r.context for r in matching.headline_context(rows, contexts).collect()} == want
 
 
@@ -185,3 +186,33 @@ def test_empty_lexicon_matches_nothing(spark):
     h = spark.createDataFrame([("alpha",)], "headline string")
     assert matching.match_tickers(h, tables.lexicon, tables.ai_terms).count() == 0
     assert matching.ai_flag(h, tables.ai_terms).first().is_ai_related is False
+
+
+def test_automaton_finds_every_keyword_of_a_large_table(spark):
+    """More keywords than any plan could hold as literals, overlapping and nested ones among them."""
+    rng = random.Random(8)
+    letters = "abcé_1-. "
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 6))).strip() for _ in range(3000)} - {""}
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))).split()) for _ in range(200)]
+    texts = [" ".join(rng.sample(texts, 8)) for _ in range(60)] + ["", "a" * 50_000]
+    entries = spark.createDataFrame([(w, len(w)) for w in words] * 2, "keyword string, size int")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").repartition(3)
+    found = rows.select("i", automaton.keyword_finder(entries)(F.col("t")).alias("f")).collect()
+    assert {r.i: sorted((e.keyword, e.size) for e in r.f) for r in found} == {
+        i: sorted((w, len(w)) for w in words if t is not None and plain_found(t, w)) for i, t in enumerate([*texts, None])
+    }
+
+
+def plain_found(text, word):
+    if " " in word:
+        return word in text
+    return re.search(rf"\b{re.escape(word)}\b", text) is not None
+
+
+def test_tables_beyond_the_bound_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "AUTOMATON_LETTERS", 20)
+    h = spark.createDataFrame(headlines(), "i int, headline string")
+    lex, ai = spark.createDataFrame(LEX, LEXICON), spark.createDataFrame(AI, AI_TERMS)
+    out = matching.match_tickers(h, lex, ai)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert got(out) == expected(headlines())

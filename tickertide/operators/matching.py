@@ -12,22 +12,20 @@ from tickertide.functions.text import (
     WORD,
     contains_keyword,
     is_blank,
-    keywords_present,
     let,
-    literal_array,
     normalize_headline,
     strip,
     word_tokens,
 )
+from tickertide.operators import automaton
 from tickertide.schemas import PARTNER_ROLES
 
-# A table of keywords or notes up to this many rows is planned into the scan as literals.
-INLINE_ROWS = 512
 # Marks that tell which keys a large table may hold: at most this many bytes in the plan.
 SLOTS = 1 << 18
 # Characters on each side of a phrase's blank that serve as its key.
 STRETCH = 3
 
+
 def _keyword_rows(lex: DataFrame | None, ai_terms: DataFrame | None) -> DataFrame:
     """Both keyword tables in one layout, lower-case; a keyword may have several rows."""
     frames = []
@@ -55,17 +53,6 @@ def _once(col: Column) -> Column:
     return F.explode(F.array(col))
 
 
-def _found_inline(df: DataFrame, text: str, rows: list[Row]) -> DataFrame:
-    """Keyword hits per row with the keyword table as literals: no join and no shuffle."""
-    words = sorted({r.keyword for r in rows})
-    distinct = sorted({tuple(r) for r in rows}, key=repr)
-    entries = literal_array([dict(zip(rows[0].asDict(), r)) for r in distinct])
-    # Two steps: the hits of a text are few, and are found once for all tickers.
-    hits = df.select("*", _once(keywords_present(F.col(text), words)).alias("_hits"))
-    found = F.filter(entries, lambda e: F.array_contains(F.col("_hits"), e["keyword"]))
-    return hits.withColumn("_found", F.when(F.size("_hits") > 0, found)).drop("_hits")
-
-
 def _slot(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int")
 
@@ -161,14 +148,14 @@ def _found_by_key(df: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
 def find_keywords(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
     """Add ``_found``: the keyword entries present in the normalised column ``text``.
 
-    ``auto`` (or ``broadcast``) plans a table of up to ``INLINE_ROWS`` rows into the scan as
-    literals and joins a larger one by key; ``token`` always joins.  Both give the same result.
+    ``auto`` (or ``broadcast``) searches each text once with an automaton of all keywords, without
+    a shuffle, as long as their measured size stays within ``AUTOMATON_LETTERS``; beyond that, and
+    for ``token``, keywords are joined by key.  Both give the same result.
     """
     if strategy not in ("auto", "broadcast", "token"):
         raise ValueError(f"unknown strategy: {strategy}")
-    rows = [] if strategy == "token" else keywords.limit(INLINE_ROWS + 1).collect()
-    if 0 < len(rows) <= INLINE_ROWS:
-        return _found_inline(df, text, rows)
+    if strategy != "token" and automaton.fits(keywords):
+        return df.withColumn("_found", automaton.keyword_finder(keywords)(F.col(text)))
     return _found_by_key(df, text, keywords)
 
 
@@ -195,15 +182,18 @@ def match_tickers(
     is_ai = F.exists("_found", lambda e: e["ai"])
     named = F.filter("_found", lambda e: ~e["ai"])
     tickers = F.array_sort(F.array_distinct(F.transform(named, lambda e: e["ticker"])))
-    partners = F.transform(F.filter("_found", lambda e: e["partner"]), lambda e: e["ticker"])
+    partners = F.array_distinct(F.transform(F.filter("_found", lambda e: e["partner"]), lambda e: e["ticker"]))
     # The flags are part of the unfolded rows, so a later filter on them stays above and
-    # does not search the text again.
-    rows = F.transform(
-        tickers,
-        lambda t: F.struct(
-            t.alias("ticker"),
-            is_ai.alias("is_ai_related"),
-            F.array_contains(partners, t).alias("is_proxy_partnership"),
+    # does not search the text again; they are worked out once for all tickers of a text.
+    rows = let(
+        F.struct(is_ai.alias("ai"), partners.alias("partners"), tickers.alias("tickers")),
+        lambda s: F.transform(
+            s["tickers"],
+            lambda t: F.struct(
+                t.alias("ticker"),
+                s["ai"].alias("is_ai_related"),
+                F.array_contains(s["partners"], t).alias("is_proxy_partnership"),
+            ),
         ),
     )
     return found.select(*h.columns, F.inline(F.when(is_ai, rows) if ai_only else rows))
@@ -287,33 +277,21 @@ def headline_context(h_tickers: DataFrame, contexts: DataFrame, strategy: str =
     """Add ``context``: the notes of all context keywords of the row's tickers, or null.
 
     Keywords are raw substrings, and a note is repeated for every keyword that leads to it.
-    Notes come in the order of the row's tickers, then of their position.  Up to
-    ``INLINE_ROWS`` notes are planned into the scan; more (or ``strategy="token"``) are
-    joined by key, with the same result.
+    Notes come in the order of the row's tickers, then of their position.  Keywords are found by
+    an automaton, in one pass over a headline; notes beyond its measured size (or
+    ``strategy="token"``) are joined by key, with the same result.
     """
     text = F.lower(strip(F.col("headline")))
     notes = contexts.where("keyword <> '' and context <> ''").withColumn("keyword", F.lower("keyword"))
-    if strategy == "token":
+    notes = notes.select("keyword", "ticker", "position", "context")
+    if strategy == "token" or not automaton.fits(notes):
         return _context_by_key(h_tickers, notes)
-    rows = notes.orderBy("ticker", "position", "keyword", "context").limit(INLINE_ROWS + 1).collect()
-    if not rows:
-        return h_tickers.withColumn("context", F.lit(None).cast("string"))
-    if len(rows) <= INLINE_ROWS:
-        table = literal_array(
-            [{"ticker": r.ticker, "keyword": r.keyword, "context": r.context} for r in rows]
-        )
+    found = h_tickers.withColumn("_notes", automaton.keyword_finder(notes, words=False)(text))
 
-        def of_ticker(ticker: Column) -> Column:
-            hits = F.filter(
-                table, lambda n: (n["ticker"] == ticker) & F.contains(F.col("_h"), n["keyword"])
-            )
-            return F.transform(hits, lambda n: n["context"])
-
-        parts = F.flatten(F.transform("tickers", of_ticker))
-        return (
-            h_tickers.withColumn("_h", text)
-            .withColumn("_parts", parts)
-            .withColumn("context", _context_text(F.col("_parts")))
-            .drop("_h", "_parts")
-        )
-    return _context_by_key(h_tickers, notes)
+    def of_ticker(ticker: Column) -> Column:
+        own = F.filter("_notes", lambda n: n["ticker"] == ticker)
+        ordered = F.transform(own, lambda n: F.struct(n["position"], n["keyword"], n["context"]))
+        return F.transform(F.array_sort(ordered), lambda n: n["context"])
+
+    parts = F.flatten(F.transform("tickers", of_ticker))
+    return found.withColumn("context", _context_text(parts)).drop("_notes")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tickertide.functions.scores import clamp, hit_flag, no_nan, quintile_label
 from tickertide.functions.text import sql_value
 from tickertide.operators.daily import sentiment_change
 from tickertide.schemas import HORIZON_LABELS, RETURN_COLUMNS
+from tickertide.session import cut_lineage
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -98,92 +101,88 @@ def corr_delta_block(
     return _complete(table, [(_label(r), d) for r, d in grid], names)
 
 
-# Rank error of a sketch, and the share of a span's rows kept on each side of a wanted rank.
-ACCURACY = 10_000
-HALF_WIDTH = 0.001
-# A span of at most so many rows is read value by value.
+# Bits of a value's image that one pass counts.
+DIGIT = 16
+# Values of one digit are read, not counted on, once no more rows than this share it.
 SPAN_ROWS = 4096
 
 
-@dataclass(frozen=True)
-class Span:
-    """The values strictly between two bounds (None: no bound), and how many rows lie below them.
+def _image(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros have one."""
+    bits = (values + 0.0).view(np.uint64)
+    sign = np.uint64(1 << 63)
+    return np.where(bits & sign, ~bits, bits | sign)
 
-    Equal bounds stand for that one value.
-    """
-
-    low: float | None
-    high: float | None
-    below: int
-    rows: int
 
-    @property
-    def exact(self) -> bool:
-        return self.low is not None and self.low == self.high
+def _value(image: int) -> float:
+    """The double of an image; images beyond the infinities give these."""
+    sign = 1 << 63
+    bits = image ^ sign if image & sign else image ^ ((1 << 64) - 1)
+    value = float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+    return value if value == value else float("inf" if image & sign else "-inf")
 
-    def holds(self) -> Column:
-        inside = F.lit(True)
-        if self.low is not None:
-            inside = inside & (F.col("x") > F.lit(self.low))
-        if self.high is not None:
-            inside = inside & (F.col("x") < F.lit(self.high))
-        return inside
 
+def _digit_counts(values: DataFrame, prefixes: list[int], shift: int) -> dict[int, np.ndarray]:
+    """For each prefix of images how many rows have each next digit, by one pass.
 
-def _narrowed(values: DataFrame, spans: dict[int, Span]) -> dict[int, Span]:
-    """One step towards each rank: two sketched values split its span, and the rank's part stays.
-
-    The two values themselves are parts of their own, so a value that fills a third of the
-    rows is found as such, and what lies between them is a fraction of a percent.
+    A task sends at most 65,536 numbers for each prefix, and that is also what reaches the driver.
+    """
+    size = 1 << DIGIT
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(prefixes), size), dtype=np.int64)
+        for batch in batches:
+            image = _image(batch.column(0).to_numpy(zero_copy_only=False))
+            digit = ((image >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
+            # Shifting by all 64 bits isn't defined.
+            high = (image >> np.uint64(shift)) >> np.uint64(DIGIT)
+            for k, prefix in enumerate(prefixes):
+                totals[k] += np.bincount(digit[high == np.uint64(prefix)], minlength=size)
+        place = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(place // size), pa.array(place % size), pa.array(totals.ravel()[place])],
+            names=["k", "digit", "n"],
+        )
+
+    counted = values.mapInArrow(count, "k long, digit long, n long").groupBy("k", "digit").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()
+    out = np.zeros((len(prefixes), size), dtype=np.int64)
+    out[found["k"].to_numpy(), found["digit"].to_numpy()] = found["n"].to_numpy()
+    return dict(zip(prefixes, out))
+
+
+def _ranked(values: DataFrame, ranks_of: Callable[[int], list[int]]) -> tuple[int, dict[int, float]]:
+    """Number of rows of column ``x``, and its values at the places that ``ranks_of`` names for it.
+
+    Radix selection: each pass fixes 16 more bits of all wanted values together, so four passes
+    do for any number of rows and any distribution; fewer once what is left can be read.
     """
-    x = F.col("x")
-    sketches = []
-    for rank, span in spans.items():
-        at = (rank - span.below) / span.rows
-        around = [max(0.0, at - HALF_WIDTH), min(1.0, at + HALF_WIDTH)]
-        sketches.append(F.percentile_approx(F.when(span.holds(), x), around, ACCURACY).alias(f"r{rank}"))
-    ends = values.agg(*sketches).first()
-    counts = []
-    for rank, span in spans.items():
-        a, b = ends[f"r{rank}"]
-        for i, part in enumerate((x < a, x == a, (x > a) & (x < b), (x == b) & F.lit(b > a))):
-            counts.append(F.count_if(span.holds() & part).alias(f"r{rank}_{i}"))
-    sizes = values.agg(*counts).first()
-    out = {}
-    for rank, span in spans.items():
-        a, b = ends[f"r{rank}"]
-        rows = [sizes[f"r{rank}_{i}"] for i in range(4)]
-        below = span.below
-        bounds = [(span.low, a), (a, a), (a, b), (b, b), (b, span.high)]
-        for (low, high), n in zip(bounds, [*rows, span.rows - sum(rows)]):
-            if rank < below + n:
-                out[rank] = Span(low, high, below, n)
-                break
-            below += n
-    return out
-
-
-def _values_at(values: DataFrame, total: int, ranks: list[int]) -> dict[int, float]:
-    """The values of column ``x`` at the given places of its ascending order."""
-    spans = {rank: Span(None, None, 0, total) for rank in ranks}
-    while wide := {r: s for r, s in spans.items() if s.rows > SPAN_ROWS and not s.exact}:
-        spans |= _narrowed(values, wide)
-    found = {r: s.low for r, s in spans.items() if s.exact}
-    rest = {r: s for r, s in spans.items() if not s.exact}
-    if not rest:
-        return found
-    inside = reduce(lambda a, b: a | b, [s.holds() for s in rest.values()])
+    # Per rank: the bits found so far, and how many rows lie below them.
+    at: dict[int, tuple[int, int]] = {}
+    shift, total, rows = 64, 0, {}
+    while shift and (shift == 64 or max(rows.values()) > SPAN_ROWS):
+        shift -= DIGIT
+        counts = _digit_counts(values, sorted({p for p, _ in at.values()}) or [0], shift)
+        if not at:
+            total = int(counts[0].sum())
+            if not total:
+                return 0, {}
+            at = {rank: (0, 0) for rank in ranks_of(total)}
+        for rank, (prefix, below) in at.items():
+            upto = np.cumsum(counts[prefix])
+            digit = int(np.searchsorted(upto, rank - below, side="right"))
+            rows[rank] = int(counts[prefix][digit])
+            at[rank] = ((prefix << DIGIT) + digit, below + int(upto[digit]) - rows[rank])
+    if not shift:
+        return total, {rank: _value(prefix) for rank, (prefix, _) in at.items()}
+    spans = {p: (_value(p << shift), _value(((p + 1) << shift) - 1)) for p, _ in at.values()}
+    inside = reduce(lambda a, b: a | b, [F.col("x").between(F.lit(lo), F.lit(hi)) for lo, hi in spans.values()])
     # At most SPAN_ROWS rows for each rank.
-    counted = values.where(inside).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
-    for rank, span in rest.items():
-        end = span.below
-        for row in sorted(counted, key=lambda r: r.x):
-            if (span.low is None or row.x > span.low) and (span.high is None or row.x < span.high):
-                end += row.n
-                if rank < end:
-                    found[rank] = row.x
-                    break
-    return found
+    left = np.sort(values.where(inside).toArrow()["x"].to_numpy() + 0.0)
+    found = {}
+    for rank, (prefix, below) in at.items():
+        found[rank] = float(left[np.searchsorted(left, spans[prefix][0]) + rank - below])
+    return total, found
 
 
 def _number(value: float) -> str:
@@ -193,23 +192,25 @@ def _number(value: float) -> str:
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Inner edges of ``q`` equal buckets, exact with linear interpolation.
 
-    The built-in exact percentile holds all distinct values in one task.  Here every edge is
-    narrowed down: a sketch brackets its rank, one count tells which rows lie in the bracket,
-    and so on until a fixed number of rows is left, which is read.  Each step keeps a fraction of a
-    percent, so 10^12 rows take four.  All of it is partial aggregates: no task ranks rows.
+    The built-in exact percentile holds all distinct values in one task.  Here the column is
+    written once, and its values at the edges' ranks are found by radix selection: at most four
+    passes over eight bytes a row, in which no task ranks rows.
 
-    Like ``approxQuantile`` this runs at once; each pass returns a handful of numbers.
+    Like ``approxQuantile`` this runs at once; each pass returns a bounded table of counts.
     """
     values = df.select(no_nan(F.col(col)).cast("double").alias("x")).where(F.col("x").isNotNull())
-    total = values.count()
-    if not total:
-        return []
-    # Ranks, in whole numbers, of the two values each edge lies between.
-    places = [divmod(k * (total - 1), q) for k in range(1, q)]
-    at = _values_at(values, total, sorted({r for low, rest in places for r in (low, low + (rest > 0))}))
+
+    def places(total: int) -> list[tuple[int, int]]:
+        # Ranks, in whole numbers, of the two values each edge lies between.
+        return [divmod(k * (total - 1), q) for k in range(1, q)]
+
+    def ranks(total: int) -> list[int]:
+        return sorted({r for low, rest in places(total) for r in (low, low + (rest > 0))})
+
+    total, at = _ranked(cut_lineage(values, "column"), ranks)
     return [
-        at[low] + (at[low + (rest > 0)] - at[low]) * (rest / q) for low, rest in places
-    ]
+        at[low] + (at[low + (rest > 0)] - at[low]) * (rest / q) for low, rest in places(total)
+    ] if total else []
 
 
 def bucketed(df: DataFrame, col: str, q: int = 5, strict: bool = False) -> DataFrame:
@@ -247,7 +248,7 @@ def quintile_excess(
 ) -> DataFrame:
     """Mean excess returns per bucket of the sentiment level.
 
-    ``daily_q`` is read three times; materialise it first where it is costly.
+    ``daily_q`` is read twice; materialise it first where it is costly.
     """
     rows = daily_q.select(sent_col, *excess_cols)
     return _bucket_means(bucketed(rows, sent_col, q, strict), excess_cols)

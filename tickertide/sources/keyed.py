@@ -27,7 +27,8 @@ from pyspark.sql.types import IntegerType, StructType
 
 from tickertide.session import cut_lineage
 
-BUCKETS = 64
+# Choose about a bucket for each gigabyte of key columns where a table grows large.
+BUCKETS = 16
 # Batches after which an insert merges them into one.
 MERGE_AT = 32
 ATTEMPTS = 50
