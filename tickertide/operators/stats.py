@@ -208,9 +208,13 @@ def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
         return sorted({r for low, rest in places(total) for r in (low, low + (rest > 0))})
 
     total, at = _ranked(cut_lineage(values, "column"), ranks)
-    return [
-        at[low] + (at[low + (rest > 0)] - at[low]) * (rest / q) for low, rest in places(total)
-    ] if total else []
+
+    def edge(low: int, rest: int) -> float:
+        start, end = at[low], at[low + (rest > 0)]
+        # Between equal infinities there is no difference to take a share of.
+        return start if start == end else start + (end - start) * (rest / q)
+
+    return [edge(*place) for place in places(total)] if total else []
 
 
 def bucketed(df: DataFrame, col: str, q: int = 5, strict: bool = False) -> DataFrame:
