@@ -26,6 +26,7 @@ LEXICON_WORDS = 50_000
 # Distinct chunks a task counts before it hands some on.
 HELD_CHUNKS = 400_000
 END = "</w>"
+NO_MERGE = 1 << 40
 # Fixed values of the vocabulary's normaliser and splitter.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Letters of Unicode 16 and lower cases of Unicode 16 and 17, which Python lacks.
@@ -102,24 +103,17 @@ class Merger:
         letters = self.letters
         parts = [letters[b] for b in word.encode()]
         parts[-1] += END
-        ranks = self.v.ranks
-        while len(parts) > 1:
-            best, pair = None, None
-            for p in zip(parts, parts[1:], strict=False):
-                r = ranks.get(p)
-                if r is not None and (best is None or r < best):
-                    best, pair = r, p
-            if pair is None:
-                break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == pair[0] and parts[i + 1] == pair[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank = self.v.ranks.get
+        # The rank of each part with the next one; a merge changes its two neighbours' alone.
+        ranks = [rank(p, NO_MERGE) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NO_MERGE:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NO_MERGE)
         return tuple(self.v.ids[p] for p in parts)
 
 
