@@ -1,5 +1,6 @@
 """Files in and out, feeds, prices and the score table."""
 
+import csv
 import json
 
 import pytest
@@ -190,3 +191,34 @@ def test_normalize_feed_limits_and_defaults(spark):
         "source": "Google News RSS", "fetched_at": "F", "headline": "t", "posted_at": "NOW", "reporter": "Outlet", "url": "l",
     }
     assert RAW.names == RAW_COLUMNS
+
+
+def test_jsonl_files_keep_their_own_columns_and_order(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    first = [{"url": f"u{i}", "headline": 'a "q"\nb', "zeta": i, "file": "x"} for i in range(50)]
+    second = [{"source": "s", "url": None}, {"beta": "b", "source": "t"}]
+    (src / "one.jsonl").write_text("".join(json.dumps(r) + "\n" for r in first) + "\n[1]\nbad\n")
+    (src / "two.jsonl").write_text("".join(json.dumps(r) + "\n" for r in second))
+    (src / "none.jsonl").write_text("\n")
+    writers.jsonl_files_to_csv(spark, str(src), str(out))
+
+    def read(name):
+        rows = []
+        for part in sorted((out / f"source_file={name}.csv").glob("part-*")):
+            with open(part, newline="") as handle:
+                head, *more = csv.reader(handle)
+            rows += more
+        return head, rows
+
+    assert sorted(p.name for p in out.glob("source_file=*")) == ["source_file=one.csv", "source_file=two.csv"]
+    assert read("one") == (["headline", "url", "file", "zeta"], [['a "q"\nb', f"u{i}", "x", str(i)] for i in range(50)])
+    assert read("two") == (["source", "url", "beta"], [["s", "", ""], ["t", "", "b"]])
+
+
+def test_jsonl_files_of_one_name_are_refused(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text('{"url": "u"}\n')
+    with pytest.raises(ValueError, match="called x"):
+        writers.jsonl_files_to_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "out"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickertide.functions.dates import landed_day, landed_file_name
 from tickertide.operators.dedup import dedup_headline_url, first_keep_dedup
 from tickertide.schemas import RAW, RAW_COLUMNS, SCORE_KEYS, SCORES
+from tickertide.session import cut_lineage
 from tickertide.sources.headlines import existing_paths, read_headlines_csv
 from tickertide.sources.keyed import insert_new, read_keyed
 
@@ -48,6 +51,49 @@ def jsonl_to_csv(
     rows.write.mode("overwrite").options(**CSV_WRITE).csv(out_dir)
 
 
+def jsonl_files_to_csv(spark: SparkSession, in_paths: str | list[str], out_dir: str) -> None:
+    """Each JSON-lines file to CSV of its own, with the columns that the file itself has.
+
+    ``x.jsonl`` becomes the folder ``out_dir/source_file=x.csv``, whose part files in name order hold the
+    rows in the file's order: canonical columns first, then the others sorted; canonical columns
+    that no line has stay away.  (Where a field has the folder's name, that gets an underscore.)  Lines that aren't objects are left out, as are files without any.
+    Files are grouped by their columns, and every group is one distributed write, which splits a
+    large file over tasks; the driver gets the different layouts, not the files.
+    """
+    place = F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    lines = spark.read.text(existing_paths(spark, in_paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("name"),
+        place.alias("place"),
+        F.from_json("value", "map<string,string>").alias("m"),
+    )
+    rows = cut_lineage(lines.where(F.col("m").isNotNull()), "lines")
+    names = rows.select("path", "name").distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    if twice := names.limit(1).collect():
+        raise ValueError(f"several input files are called {twice[0].name}")
+    keys = rows.select("path", F.explode(F.map_keys("m")).alias("key")).distinct()
+    layouts = keys.groupBy("path").agg(F.to_json(F.array_sort(F.collect_set("key"))).alias("layout"))
+    laid = cut_lineage(rows.join(layouts, "path"), "lines")
+    for (layout,) in laid.select("layout").distinct().collect():
+        found = json.loads(layout)
+        cols = [c for c in RAW_COLUMNS if c in found] + [c for c in found if c not in RAW_COLUMNS]
+        values = [F.try_element_at("m", F.lit(c)).alias(c) for c in cols]
+        folder = "source_file"
+        while folder in [c.lower() for c in cols]:
+            folder = f"_{folder}"
+        (
+            laid.where(F.col("layout") == layout)
+            .orderBy("name", "place")
+            .select(*values, F.concat("name", F.lit(".csv")).alias(folder))
+            .write.mode("append")
+            .options(**CSV_WRITE)
+            .partitionBy(folder)
+            .csv(out_dir)
+        )
+
+
 def daily_merge(existing: DataFrame, batch: DataFrame, ord: str | None = None) -> DataFrame:
     """Old rows of a day, then the batch: first row per (headline, url), sorted.
 
