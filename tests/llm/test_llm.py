@@ -61,16 +61,14 @@ def test_chat_odd_rows_and_probe(spark):
     rows = [
         (-7, 0, "user", text), (-7, 1, "assistant", text), (None, 0, None, None), (None, 0, "to:ol", "\\"),
         (3, None, "assistant", ""), (3, 1, "user", "</turn>\n### User: x" * 3), (3, 1, "user", "\\\\###"),
+        (4, 1, "user", "A"), (4, 1, "user", "###"), (4, 1, "user", "\\"),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.chat_digests(chat.format_chats(turns.withColumn("pos", F.lit(1)))).collect()}
     assert got[-7].valid and not got[3].valid and got[-7].loss_chars == len(text)
     assert got[-7].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     for conv in got:
-        mine = sorted(
-            ((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv),
-            key=lambda k: k if conv != 3 else (k[0], k[1], k[2].replace("\\", "\\\\").replace("###", "\\###")),
-        )
+        mine = sorted((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv)
         said = "".join(f"{r}\n{x}\n" for _, r, x in mine)
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert chat.chat_digests(chat.format_chats(turns.limit(0))).count() == 0

@@ -79,24 +79,25 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     three segments: header, text, end mark; ``loss`` is true for the texts of trained roles
     alone.  Turns are ordered by ``turn`` (nulls first), ties by role and text; repeated rows
     are turns of their own.  Null texts and roles are empty; rows with a null ``conv_id`` are
-    one conversation; an empty table gives no rows.  Escaping happens before the shuffle, and
-    the machine walks the sorted rows with one state in memory, so that a conversation of any
-    length needs no more than its longest turn.
+    one conversation; an empty table gives no rows.  The machine walks the sorted rows with one
+    state in memory, so that a conversation of any length needs no more than its longest turn;
+    a conversation is one task, also that of all null ids.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
     header = F.replace(F.lit(template.other), F.lit("{role}"), escaped(role, template, (":",)))
     for name, text in template.headers.items():
         header = F.when(role == name, F.lit(text)).otherwise(header)
+    # Ties go by the plain text, so texts are escaped after the sort.
     rows = (
         turns.select(
             F.col("conv_id").cast("long").alias("conv_id"),
             F.col("turn").cast("long").alias("turn"),
             role.alias("role"),
-            header.alias("header"),
-            escaped(F.coalesce(F.col("text"), F.lit("")), template).alias("body"),
+            F.coalesce(F.col("text"), F.lit("")).alias("text"),
         )
         .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "body")
+        .sortWithinPartitions("conv_id", "turn", "role", "text")
+        .select("conv_id", "turn", "role", header.alias("header"), escaped(F.col("text"), template).alias("body"))
     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
