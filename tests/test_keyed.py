@@ -120,3 +120,10 @@ def test_other_keys_than_the_tables_are_not_mixed(spark, tmp_path):
     keyed.insert_new(spark, path, frame(spark, "a"), KEYS)
     keyed.insert_new(spark, path, frame(spark, ["a", ("a", "q")], 5), ("k",))
     assert stored(spark, path) == [("a", "p", 0), ("a", "q", 5)]
+
+
+def test_plain_files_are_not_taken_for_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame(spark, "a").write.parquet(path)
+    with pytest.raises(ValueError, match="without a log"):
+        keyed.insert_new(spark, path, frame(spark, "a"), KEYS)

@@ -50,9 +50,15 @@ def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
 
 
 def table_state(spark: SparkSession, path: str) -> State:
-    """The table's newest version; version 0 where there is none."""
+    """The table's newest version; version 0 where there is none.
+
+    A folder of plain Parquet files is no keyed table: it is refused, not taken for an empty one.
+    """
     fs, log = _hadoop(spark, f"{path}/_log")
     if not fs.exists(log):
+        _, place = _hadoop(spark, path)
+        if fs.exists(place) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(place)):
+            raise ValueError(f"{path} holds Parquet files without a log: insert their rows into a new table")
         return State()
     names = [f.getPath().getName() for f in fs.listStatus(log)]
     versions = [int(n) for n in names if n.isdigit()]
