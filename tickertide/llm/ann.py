@@ -216,9 +216,11 @@ def nearest(vectors: DataFrame, asked: Column | None = None, top: int = TOP) ->
     gives no rows.
 
     Every vector is put into the partition that the classifier holds likeliest.  A query visits
-    its likeliest partitions, as many as an audit against all rows calls for, and reranks all
-    that they hold.  Partitions and queries are compared in pieces of bounded size, so copies of
-    one vector, however many, are spread over tasks.
+    its likeliest partitions, as many as an audit against all rows calls for, and further ones
+    until they hold ``top`` rows of another id (or all rows are visited), and reranks all that
+    they hold.  Partitions and the queries that visit them are compared in pieces of bounded
+    size, so copies of one vector, however many, are spread over tasks; a partition's rows are
+    copied once for each block of its own visitors.
     """
     spark = vectors.sparkSession
     asked = (F.col("vec_id") % 20 == 0) if asked is None else asked
@@ -257,29 +259,49 @@ def nearest(vectors: DataFrame, asked: Column | None = None, top: int = TOP) ->
     def home(v: pa.Array) -> pa.Array:
         return pa.array(router.logits(matrix(v)).argmax(axis=1).astype(np.int32) if len(v) else [], pa.int32())
 
-    def route(v: pa.Array) -> pa.Array:
-        order = np.argsort(-router.logits(matrix(v)), axis=1, kind="stable")[:, :probes] if len(v) else np.zeros((0, probes))
-        return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
-
     indexed = cut_lineage(rows.withColumn("part", F.arrow_udf(home, "int")("vec")), "indexed")
-    # At most 256 rows.
-    chunks = indexed.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    queries = rows.where(asked)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    # At most 256 numbers.
+    sizes = np.zeros(parts, dtype=np.int64)
+    for r in indexed.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+
+    def route(v: pa.Array, own: pa.Array) -> pa.Array:
+        if not len(v):
+            return pa.array([], pa.list_(pa.int32()))
+        order = np.argsort(-router.logits(matrix(v)), axis=1, kind="stable")
+        # Rows of the query's own id are no candidates.
+        short = np.cumsum(sizes[order], axis=1) < top + np.array(own)[:, None]
+        visits = np.minimum(np.maximum(short.sum(axis=1) + 1, probes), parts)
+        return pa.array([o[:k].astype(np.int32).tolist() for o, k in zip(order, visits, strict=True)], pa.list_(pa.int32()))
+
+    asking_rows = rows.where(asked)
+    own = asking_rows.groupBy("vec_id").agg(F.count("*").alias("own"))
+    routed = cut_lineage(
+        asking_rows.join(own, "vec_id").select(
+            "vec_id", "key", "vec", F.arrow_udf(route, "array<int>")("vec", "own").alias("parts")
+        ),
+        "routed",
+    )
+    # At most 256 rows: chunks of a partition's rows, blocks of its visitors.
+    visitors = routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect()
+    plan = spark.createDataFrame(
+        [(r["part"], -(-int(sizes[r["part"]]) // CHUNK), -(-r["count"] // QUERY_BLOCK)) for r in visitors if sizes[r["part"]]],
+        "part int, chunks int, blocks int",
+    )
     left = (
-        queries.withColumn("part", F.explode(F.arrow_udf(route, "array<int>")("vec")))
-        .join(F.broadcast(chunks), "part")
+        routed.withColumn("part", F.explode("parts"))
+        .join(F.broadcast(plan), "part")
         .select(
-            "vec_id", "key", "vec", "part", block.alias("block"),
+            "vec_id", "key", "vec", "part",
+            F.pmod(F.xxhash64("vec_id", "key"), F.col("blocks")).cast("int").alias("block"),
             F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"),
         )
     )
     right = (
-        indexed.join(F.broadcast(chunks), "part")
+        indexed.join(F.broadcast(plan), "part")
         .select(
             "vec_id", "key", "vec", "part",
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
             F.pmod(F.xxhash64("vec_id", "key"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"),
         )
     )
