@@ -22,7 +22,9 @@ TABLES, CELL, PIECE = 6, 64, 128
 MAX_STEPS = 5
 # Vectors of a component compared in one piece.
 BLOCK = 512
-AUDIT_VECTORS, AUDIT_RECALL, MAX_ROUNDS = 1000, 0.999, 4
+# The audit's sample grows to AUDIT_LARGEST vectors of each kind while it holds no link.
+AUDIT_VECTORS, AUDIT_LARGEST, AUDIT_RECALL = 1000, 8000, 0.999
+LEAST_ROUNDS_UNMEASURED, MAX_ROUNDS = 2, 8
 CODE_BITS = 30
 
 LISTS = "id long, nbrs array<long>, sims array<float>"
@@ -241,9 +243,16 @@ def _verified(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def audit_recall(nodes: DataFrame, verified: DataFrame, sample: int = AUDIT_VECTORS) -> float:
-    """Share of the true links of a sample of vectors that were found; the sample meets all rows."""
-    got = nodes.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "grp", "x").toArrow()
+def audit_recall(nodes: DataFrame, lists: DataFrame, verified: DataFrame, sample: int = AUDIT_VECTORS) -> float | None:
+    """Share of the true links of a sample of vectors that were found; the sample meets all rows.
+
+    Half of the sample is drawn from all vectors, half from those with a candidate neighbour,
+    so that rare links are met too.  ``None``: the sample has no true link, nothing is measured.
+    """
+    spread = [F.xxhash64("id", F.lit(5)), F.col("id")]
+    listed = nodes.join(lists.where(F.size("nbrs") > 0).select("id"), "id", "left_semi")
+    drawn = [d.select("id", "grp", "x").orderBy(*spread).limit(sample) for d in (nodes, listed)]
+    got = drawn[0].union(drawn[1]).dropDuplicates(["id"]).toArrow()
     sets = {}
     for grp in set(got["grp"].to_pylist()):
         rows = [k for k, g in enumerate(got["grp"].to_pylist()) if g == grp]
@@ -268,7 +277,15 @@ def audit_recall(nodes: DataFrame, verified: DataFrame, sample: int = AUDIT_VECT
     true = true.groupBy("id").agg(F.sum("links").alias("there")).where("there > 0")
     mine = verified.groupBy("id").agg(F.sum("links").alias("links"))
     r = true.join(mine, "id", "left").agg(F.sum("there").alias("t"), F.sum("links").alias("f")).first()
-    return (r["f"] or 0) / r["t"] if r["t"] else 1.0
+    return (r["f"] or 0) / r["t"] if r["t"] else None
+
+
+def measured_recall(nodes: DataFrame, lists: DataFrame, verified: DataFrame) -> float | None:
+    """``audit_recall`` with a sample that grows while it holds no true link."""
+    sample = AUDIT_VECTORS
+    while (recall := audit_recall(nodes, lists, verified, sample)) is None and sample < AUDIT_LARGEST:
+        sample = min(sample * 8, AUDIT_LARGEST)
+    return recall
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -283,7 +300,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     linked copies; other columns are ignored; an empty table gives no rows.
 
     Copies of a vector are one node of the graph.  After NN-descent an audit compares a sample
-    with all rows; below AUDIT_RECALL another round with new hyperplanes is added.
+    with all rows; below AUDIT_RECALL another round with new hyperplanes is added.  Where even
+    the largest sample has no true link, links are too rare to measure: the starting graph is
+    then drawn twice at least.  If MAX_ROUNDS don't reach the aim, that is an error.
     """
     given = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vec")
@@ -309,8 +328,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     for round_ in range(MAX_ROUNDS):
         lists = neighbour_graph(nodes, round_, lists)
         verified = _verified(lists, nodes)
-        if audit_recall(nodes, verified) >= AUDIT_RECALL:
+        recall = measured_recall(nodes, lists, verified)
+        if recall is None and round_ + 1 >= LEAST_ROUNDS_UNMEASURED or recall is not None and recall >= AUDIT_RECALL:
             break
+    else:
+        raise RuntimeError(f"audit: {recall:.4f} of the true links found after {MAX_ROUNDS} rounds, {AUDIT_RECALL} wanted")
     found = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")))
     degrees = verified.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = (
