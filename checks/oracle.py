@@ -11,7 +11,7 @@ from checks.bindings import (
     POSITIVE,
 )
 from checks.queries import NOW, TICKERS
-from tickertide.functions.text import NAMED_ENTITIES, PROMPT_HEAD, PROMPT_TAIL
+from tickertide.functions.text import PROMPT_HEAD, PROMPT_TAIL
 from tickertide.schemas import (
     AVERAGE_COLUMNS,
     DELTA_COLUMNS,
@@ -245,6 +245,32 @@ def fixed_ts(col: str) -> str:
     )
 
 
+# Named character references in the given pages (fixed values); "&amp;" comes last.
+NAMED_ENTITIES = {
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&apos;": "'",
+    "&nbsp;": "\u00a0",
+    "&copy;": "©",
+    "&reg;": "®",
+    "&trade;": "™",
+    "&middot;": "·",
+    "&bull;": "•",
+    "&hellip;": "…",
+    "&mdash;": "—",
+    "&ndash;": "–",
+    "&lsquo;": "‘",
+    "&rsquo;": "’",
+    "&ldquo;": "“",
+    "&rdquo;": "”",
+    "&laquo;": "«",
+    "&raquo;": "»",
+    "&euro;": "€",
+    "&pound;": "£",
+}
+
+
 def snippet(col: str) -> str:
     text = f"regexp_replace({col}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<template\\b.*?</template\\s*>', chr(1), 'g')"
     text = f"regexp_replace({text}, '</?[A-Za-z!?][^>]*>', chr(1), 'g')"
@@ -476,8 +502,8 @@ ORACLE["parse_score"] = f"""WITH found AS (SELECT conv_id, turn,
     TRY_CAST(list_last(regexp_extract_all({ANSWER}, '-?\\d+\\.?\\d*')) AS DOUBLE) AS v FROM conversations)
   SELECT conv_id, turn, round(CASE WHEN v > 1 THEN 1.0 WHEN v < -1 THEN -1.0 ELSE v END, 6) + 0.0 AS score FROM found"""
 ORACLE["prob_score"] = f"""WITH parts AS (SELECT vec_id, exp(embedding[1]::DOUBLE) AS p, exp(embedding[2]::DOUBLE) AS n,
-    exp(embedding[3]::DOUBLE) AS z FROM embeddings)
-  SELECT vec_id, {r6('(p - n) / (p + n + z)', 'score')} FROM parts"""
+    list_sum([exp(v::DOUBLE) for v in embedding]) AS total FROM embeddings)
+  SELECT vec_id, {r6('(p - n) / total', 'score')} FROM parts"""
 ORACLE["model_deltas"] = f"""WITH {PROCESSED}, deltas AS (SELECT ord,
     {', '.join(f'{c} - sentiment_finbert AS {n}' for n, c in zip(DELTA_COLUMNS, SENTIMENT_COLUMNS[1:]))} FROM processed)
   SELECT ord, {', '.join(r6(c) for c in DELTA_COLUMNS)},

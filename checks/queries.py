@@ -696,9 +696,11 @@ def parse_score(spark, d):
 
 @query
 def prob_score(spark, d):
-    logits = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
+    """Every component of a vector is the logit of a class."""
     rows = b.table(spark, d, "embeddings")
-    score = scores.prob_score(logits, ["Positive", "negative", "neutral"])
+    classes = rows.select(F.max(F.size("embedding"))).first()[0] or 2
+    labels = ["Positive", "negative", *[f"class {k}" for k in range(2, classes)]]
+    score = scores.prob_score(F.col("embedding").cast("array<double>"), labels)
     return rounded(rows.select("vec_id", score.alias("score")), "score")
 
 

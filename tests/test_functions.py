@@ -1,11 +1,14 @@
 """Column functions on hand-made rows."""
 
 import math
+from html.parser import HTMLParser
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickertide.functions import dates, scores, text
+from tickertide.functions.markup import visible_text
 from tickertide.operators.daily import contrarian_rows, null_audit
 
 NOW = "2026-03-01T00:00:00Z"
@@ -178,3 +181,69 @@ def test_model_deltas_null_propagates(spark):
 def test_null_audit(spark):
     rows = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
     assert {r["column"]: r.nulls for r in null_audit(rows).collect()} == {"a": 1, "b": 2}
+
+
+class Nodes(HTMLParser):
+    """Text nodes outside scripts, styles and comments, by Python's own parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.nodes, self.hidden, self.fresh = [], 0, True
+
+    def handle_starttag(self, tag, attrs):
+        self.fresh, self.hidden = True, self.hidden + (tag in ("script", "style", "template"))
+
+    def handle_endtag(self, tag):
+        self.fresh, self.hidden = True, self.hidden - (tag in ("script", "style", "template"))
+
+    def handle_comment(self, data):
+        self.fresh = True
+
+    def handle_decl(self, decl):
+        self.fresh = True
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.nodes[len(self.nodes) if self.fresh else -1 :] = [data if self.fresh else self.nodes[-1] + data]
+            self.fresh = False
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="given tables absent")
+def test_visible_text_equals_pythons_parser_on_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for page in pages:
+        parser = Nodes()
+        parser.feed(page.html)
+        parser.close()
+        assert visible_text(page.html).strip() == " ".join(parser.nodes).strip(), page.page_id
+    assert pages
+
+
+def test_visible_text_of_malformed_markup(spark):
+    cases = {
+        '<a title="1 > 2">x</a>': "x",
+        "<a title='>' href=it's>x</a> y": "x  y",
+        "<p>a<!-- b > c --->d": "a d",
+        "a<!-->b<!--->c": "a b c",
+        "a<!-- never closed <p>b</p>": "a",
+        "a<script>if (x < 3) '</p>'": "a",
+        "a<SCRIPT>x</scripty></Script >b": "a b",
+        "<style>p{}</style><title>A &amp; <b></title>c": "A & <b> c",
+        "<template><p>no</p><template>no</template>no</template>yes": "yes",
+        "</template>yes": "yes",
+        "1 < 2 <3 a<": "1 < 2 <3 a<",
+        "cut <a href='http://": "cut ",
+        "<?php x ?>a<!DOCTYPE html>b</ bogus>c": "a b c",
+        "&eacute;&Auml &notin; &#8217;&#x41; &#0; &nosuch; &ampamp;<br>": "éÄ ∉ ’A � &nosuch; &amp;",
+        "<": "<",
+        "<>": "<>",
+        "": "",
+    }
+    for html, want in cases.items():
+        assert visible_text(html) == want, html
+    # Linear: nothing is searched again from every "<".
+    assert visible_text("<a " * 200_000) == ""
+    assert len(visible_text("< " * 200_000)) == 400_000
+    assert visible_text("<b>x</b>" * 50_000).count("x") == 50_000
+    got = apply(spark, [None, "", " <p> a ", "<b> </b>", "x &amp; y"], text.strip_html_snippet)
+    assert got == [None, "", "a", "", "x &amp; y"]

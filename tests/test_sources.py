@@ -1,6 +1,7 @@
 """Files in and out, feeds, prices and the score table."""
 
 import csv
+import gzip
 import json
 
 import pytest
@@ -222,3 +223,27 @@ def test_jsonl_files_of_one_name_are_refused(spark, tmp_path):
         (tmp_path / folder / "x.jsonl").write_text('{"url": "u"}\n')
     with pytest.raises(ValueError, match="called x"):
         writers.jsonl_files_to_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "out"))
+
+
+def test_csv_heads_are_read_alone(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in [1] a b"
+    folder.mkdir()
+    # Quoted line breaks in the header, also across the first read; blank lines and a mark before it.
+    long_name = "x" * 20_000
+    (folder / "a.csv").write_text('﻿\n\nheadline,"note\nmore",url\none,n,u1\n')
+    (folder / "b.csv").write_text(f'headline,"{long_name}\nend",url\ntwo,n,u2\n')
+    (folder / "c.csv").write_text("headline,url")
+    (folder / "d.csv").write_text("\n \n")
+    with gzip.open(folder / "e.csv.gz", "wt") as f:
+        f.write("url,headline\nu3,three\n")
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    groups = headlines._files_by_header(spark, [path], False)
+    assert set(groups) == {("headline", "note\nmore", "url"), ("headline", f"{long_name}\nend", "url"), ("headline", "url"), ("url", "headline")}
+    got = headlines.read_headlines_csv(spark, path).orderBy("url").collect()
+    assert [(r.headline, r.url) for r in got] == [("one", "u1"), ("two", "u2"), ("three", "u3")]
+    # No job of Spark's own looks for headers.
+    monkeypatch.setattr(headlines, "HEAD_BYTES", 16)
+    spark.sparkContext.setJobGroup("heads", "")
+    assert headlines._files_by_header(spark, [path], False) == groups
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickertide.functions.markup import html_text
+
 # Character classes.  WORD is what Python's \w accepts, common letters named first for speed;
 # SPACE is what str.split() splits on.
 WORD = r"[a-z0-9_\p{L}\p{N}]"
@@ -143,72 +145,14 @@ def keywords_present(text: Column, keywords: list[str]) -> Column:
     return let(text, found)
 
 
-def _decode_numeric_entities(text: Column) -> Column:
-    """Replace ``&#8217;`` and ``&#x2019;`` by their character."""
-
-    def decode(piece: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(dec != "", F.hex(dec.cast("long"))).when(hexa != "", hexa)
-        point = F.conv(code, 16, 10).cast("long")
-        valid = ((point > 0) & (point < 0xD800)) | ((point > 0xDFFF) & (point <= 0x10FFFF))
-        rest = F.regexp_replace(piece, r"^&#[xX]?[0-9a-fA-F]+;", "")
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, rest)).otherwise(piece)
-
-    def decode_all(t: Column) -> Column:
-        # Split before every reference; each piece but the first then starts with one.
-        pieces = F.split(t, r"(?=&#[0-9]{1,7};)|(?=&#[xX][0-9a-fA-F]{1,6};)")
-        joined = F.array_join(F.transform(pieces, decode), "")
-        return F.when(F.contains(t, F.lit("&#")), joined).otherwise(t)
-
-    return let(text, decode_all)
-
-
-# Named character references that are decoded (fixed values); "&amp;" comes last, in html_text.
-NAMED_ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\u00a0",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&trade;": "™",
-    "&middot;": "·",
-    "&bull;": "•",
-    "&hellip;": "…",
-    "&mdash;": "—",
-    "&ndash;": "–",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&euro;": "€",
-    "&pound;": "£",
-}
-
-
-def html_text(col: Column) -> Column:
-    """Visible text of an HTML column: text nodes joined by one blank."""
-    # One marker per tag, comment or non-text element; a run of markers is one blank.
-    text = F.regexp_replace(col, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", "\x01")
-    text = F.regexp_replace(text, r"</?[A-Za-z!?][^>]*>", "\x01")
-    text = F.regexp_replace(text, "\x01+", " ")
-    for name, char in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.replace(_decode_numeric_entities(text), F.lit("&amp;"), F.lit("&"))
-    return strip(text)
-
-
 def strip_html_snippet(col: Column, n: int | None = 500) -> Column:
     """Feed summary as plain text, cut to ``n`` characters (``None``: uncut).
 
-    Markup is only interpreted where the summary holds a ``<``.
+    Markup and character references are only interpreted where the summary holds a ``<``; only
+    such summaries go through the tokenizer (``functions/markup.py``).
     """
-    text = F.when(F.contains(col, F.lit("<")), html_text(col)).otherwise(strip(col))
+    marked = F.contains(col, F.lit("<"))
+    text = strip(F.when(marked, html_text(F.when(marked, col))).otherwise(col))
     return text if n is None else F.substring(text, 1, n)
 
 

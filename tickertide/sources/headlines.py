@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -24,6 +26,9 @@ CSV_OPTIONS = {
     "enforceSchema": False,
 }
 
+# Bytes read first to find a file's header, and files read at a time.
+HEAD_BYTES, HEAD_READERS = 8192, 32
+
 FILE_COLUMNS = ["file_time", "file_path", "file_row"]
 
 
@@ -73,25 +78,49 @@ def _union(spark: SparkSession, frames: list[DataFrame], with_file: bool) -> Dat
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _head(spark: SparkSession, path: str) -> tuple[str, ...] | None:
+    """First record of a CSV file that isn't blank; reads the file's first bytes, more only if needed.
+
+    Compressed files are unpacked by their suffix.  A quoted line break belongs to the record.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    place = hadoop.fs.Path(spark._jvm.java.net.URI(path))
+    conf = spark._jsc.hadoopConfiguration()
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    raw = place.getFileSystem(conf).open(place)
+    stream = raw if codec is None else codec.createInputStream(raw)
+    data = b""
+    try:
+        while True:
+            size = max(HEAD_BYTES, len(data))
+            more = bytes(stream.readNBytes(size))
+            data += more
+            whole = len(more) < size
+            text = data.decode("utf-8-sig", errors="replace" if whole else "ignore")
+            records = csv.reader(io.StringIO(text, newline=""))
+            filled = (r for r in records if "".join(r).strip())
+            head = next(filled, None)
+            # A record is complete when another one follows it, or nothing is left.
+            if whole or head is not None and next(filled, None) is not None:
+                return None if head is None else tuple(head)
+    finally:
+        stream.close()
+
+
 def _files_by_header(spark: SparkSession, paths: list[str], recursive: bool) -> dict[tuple[str, ...], list[str]]:
-    """Single files by their header line, found in one job; the driver gets one line per file.
+    """Single files by their header.  Heads alone are read, by HEAD_READERS threads of the driver.
 
-    Lines of a file that is split are numbered in file order within each task; the line at the
-    file's first split and lowest number is its header.
+    Spark's reader lists the files on the driver in any case; this adds one short read for each.
     """
     if not paths:
         return {}
-    lines = spark.read.option("recursiveFileLookup", recursive).text(paths).where("trim(value) <> ''")
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    first = (
-        lines.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
-        .groupBy("path")
-        .agg(F.min_by("value", "at").alias("header"))
-    )
+    files = sorted(spark.read.option("recursiveFileLookup", recursive).text(paths).inputFiles())
+    with ThreadPoolExecutor(HEAD_READERS) as pool:
+        heads = list(pool.map(lambda path: _head(spark, path), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(first.collect(), key=lambda r: r.path):
-        header = next(csv.reader([row.header.removeprefix("\ufeff")]))
-        groups.setdefault(tuple(header), []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row.path)))
+    for path, header in zip(files, heads, strict=True):
+        if header is not None:
+            groups.setdefault(header, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path)))
     return groups
 
 
