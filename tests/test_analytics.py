@@ -1,5 +1,9 @@
 """Dedupe, joins, windows and statistics against pandas."""
 
+import os
+import time
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +13,7 @@ from tickertide.operators import daily, dedup, joins, matching, returns, scoring
 from tickertide.plans.study import return_study
 from tickertide.schemas import AI_TERMS, LEXICON
 from tickertide.session import cut_lineage
+from tickertide.sources.keyed import insert_new, read_keyed
 
 
 def to_spark(spark, frame, schema):
@@ -275,3 +280,70 @@ def test_return_study_tables(spark):
 def test_cut_lineage_reads_written_rows(spark):
     df = cut_lineage(spark.range(5), "t")
     assert df.count() == 5 and "Scan parquet" in plan_of(df)
+
+
+def test_a_hanging_model_gives_null_within_the_deadline(spark):
+    def load():
+        def score(headline, context):
+            if headline == "hangs":
+                time.sleep(600)
+            if headline == "fails":
+                raise ValueError(headline)
+            return len(headline) / 10
+
+        return score
+
+    rows = spark.createDataFrame([("hangs",), ("fails",), ("abc",)], "headline string").coalesce(1)
+    start = time.monotonic()
+    scorer = scoring.model_scorer(load, deadline=0.5, pause=0.2)
+    got = scoring.score_backends(rows, {"phi3": scorer}).collect()
+    assert {r.headline: r.sentiment_llm_phi3 for r in got} == {"hangs": None, "fails": None, "abc": 0.3}
+    assert 0.7 < time.monotonic() - start < 60
+
+
+def test_answers_are_stored_and_asked_once(spark, tmp_path, monkeypatch):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def load():
+        def score(headline, context):
+            with open(log / str(os.getpid()), "a") as f:
+                f.write(f"{headline}/{context}\n")
+            return None if headline == "unread" else len(headline) / 100
+
+        return score
+
+    def asked():
+        return sorted(line for p in log.iterdir() for line in p.read_text().splitlines())
+
+    texts = [(f"headline {k % 40}", "note" if k % 2 else None) for k in range(80)]
+    rows = spark.createDataFrame([*texts, ("unread", None), ("", None), (None, None)], "headline string, context string")
+    backends = {"phi3": scoring.model_scorer(load)}
+    store = str(tmp_path / "answers")
+    inserts = []
+
+    def dies_at_the_third(*args):
+        inserts.append(args)
+        if len(inserts) == 3:
+            raise RuntimeError("lost")
+        return insert_new(*args)
+
+    monkeypatch.setattr(scoring, "insert_new", dies_at_the_third)
+    with pytest.raises(RuntimeError):
+        scoring.score_backends(rows, backends, store=store, slices=4)
+    first, kept = asked(), read_keyed(spark, store, scoring.ANSWERS).count()
+    # Two slices are stored, the third was asked when the run died.
+    assert 0 < kept < len(first) < 43
+    # The rest only; rows that share a text share its answer, null and empty texts differ.
+    monkeypatch.setattr(scoring, "insert_new", insert_new)
+    got = scoring.score_backends(rows, backends, store=store, slices=4).collect()
+    times = Counter(asked())
+    assert len(got) == 83 and len(times) == 43 and max(times.values()) == 2
+    assert sum(n == 2 for n in times.values()) <= len(first) - kept
+    scores = {(r.headline, r.context): r.sentiment_llm_phi3 for r in got}
+    assert scores["headline 7", "note"] == 0.1 and scores["unread", None] is None and scores["", None] == 0.0
+    # Nothing is left to ask but what failed.
+    scoring.score_backends(rows, backends, store=store, slices=4).collect()
+    assert set((Counter(asked()) - times).elements()) == {"unread/None", "None/None"}
+    more = scoring.score_unique_join(rows.select("headline"), backends, store=store)
+    assert more.where("headline = 'headline 8'").first().sentiment_llm_phi3 == 0.1
