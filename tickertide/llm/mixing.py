@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
@@ -161,15 +163,52 @@ def shard_counts(slots: list[int], shard: int, shards: int) -> tuple[np.ndarray,
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """An exact draw of any size; numpy's own up to 10^9."""
     if draws <= 0 or good <= 0:
         return 0
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
-    # Beyond numpy's range the normal limit holds to far more digits than it matters.
+    if bad <= 0:
+        return draws
     n = good + bad
-    mean = draws * good / n
-    var = mean * (bad / n) * ((n - draws) / max(n - 1, 1))
-    return int(np.clip(round(rng.normal(mean, var**0.5)), max(0, draws - bad), min(good, draws)))
+    if draws > n - draws:
+        return good - _hypergeometric(rng, good, bad, n - draws)
+    if good > bad:
+        return draws - _hypergeometric(rng, bad, good, draws)
+    return _by_ratio_of_uniforms(rng, good, bad, draws)
+
+
+def _by_ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """Hypergeometric draw by rejection (ratio of uniforms); needs good <= bad, draws <= half.
+
+    Logarithms have 50 digits: in doubles they would lose the small differences that decide.
+    """
+    n = good + bad
+    share = good / n
+    spread = (draws * share * (1 - share) * (n - draws) / (n - 1) + 0.5) ** 0.5
+    width = 2 * (2 / math.e) ** 0.5 * spread + 3 - 2 * (3 / math.e) ** 0.5
+    centre = draws * share + 0.5
+    mode = (draws + 1) * (good + 1) // (n + 2)
+
+    def log_weight(k: int) -> Decimal:
+        return -sum(_log_factorial(c) for c in (k, good - k, draws - k, bad - draws + k))
+
+    with localcontext(prec=50):
+        top = log_weight(mode)
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            k = math.floor(centre + width * (v - 0.5) / u)
+            if 0 <= k <= min(good, draws) and 2 * math.log(u) <= log_weight(k) - top:
+                return k
+
+
+def _log_factorial(n: int) -> Decimal:
+    """Stirling's series; small numbers exactly."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    tail = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return (x + Decimal("0.5")) * x.ln() - x + Decimal(math.tau).ln() / 2 + tail
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, dict, dict]:
