@@ -49,12 +49,13 @@ def label_sample(
 ) -> DataFrame:
     """``doc_id, text, <target>`` of at most ``rows`` labelled documents, picked by a hash of the id.
 
-    The picked label rows are bounded by ``rows``, so they are broadcast and no text moves.
+    The picked label rows are bounded by ``rows``, so they are broadcast and no text moves.  Of
+    several labels of a document the smallest counts, so reruns agree.
     """
     picked = (
         labels.where(learnable & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(target).cast("int").alias(target))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.col(target).cast("int")).alias(target))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
