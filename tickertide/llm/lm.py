@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickertide.llm.common import held_out
-from tickertide.session import cut_lineage
+from tickertide.session import cut_lineage, scratch_path
 
 HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 96
 HEAD_WORDS = HEAD_CLASSES * CLASS_WORDS - 1  # the end of a text takes one place
@@ -32,10 +32,10 @@ SCORE_WINDOW, SCORE_TEXTS = 48, 8192
 PIECE = 4096
 # Documents that run through the network side by side, in scoring and in training.
 LANES, TRAIN_LANES = 512, 128
-# The network's weights are fitted on at least so many training tokens (all, if there are
-# fewer), and on at least the given share of them, which grows with the corpus.
-FIT_TOKENS, FIT_SHARE = 2_000_000, 1 / 40
+# All training texts are dealt to so many rounds; each is learned from once, in its round.
 ROUNDS = 4
+# A shard of a round holds about so many tokens.
+SHARD_TOKENS = 350_000
 # Counts of the most frequent words are sent to every task; the others are joined.
 KNOWN_WORDS = 150_000
 
@@ -88,11 +88,12 @@ class Vocabulary:
 
     def start_bias(self) -> tuple[np.ndarray, np.ndarray]:
         """Log frequencies of the classes, and of the members within their head class."""
-        members = np.zeros(HEAD_CLASSES * CLASS_WORDS)
-        members[0] = self.ends
+        # Places that a small vocabulary leaves empty get next to nothing.
+        members = np.full(HEAD_CLASSES * CLASS_WORDS, 1e-20)
+        members[0] = self.ends + 0.5
         for w, place in self.head.items():
-            members[place] = self.known[w]
-        members = members.reshape(HEAD_CLASSES, CLASS_WORDS) + 0.5
+            members[place] = self.known[w] + 0.5
+        members = members.reshape(HEAD_CLASSES, CLASS_WORDS)
         classes = np.concatenate([members.sum(axis=1), self.tail_tokens + 0.5])
         return np.log(classes / classes.sum()), np.log(members / members.sum(axis=1, keepdims=True))
 
@@ -151,13 +152,17 @@ class Network:
     def __getstate__(self) -> dict:
         return {n: getattr(self, n) for n in self.NAMES}
 
-    def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each of the steps of ``ids`` (steps x lanes) from state ``h``."""
+    def run(self, ids: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """States after each of the steps of ``ids`` (steps x lanes) from state ``h``.
+
+        With ``keep`` also the gates, candidates and recurrent inputs of all steps.
+        """
         x = (self.emb @ self.wx + self.b)[ids]
+        s = STATE
         states = np.empty((len(ids) + 1, *h.shape), np.float32)
         states[0] = h
-        cache = []
-        s = STATE
+        gates = np.empty((len(ids), len(h), 2 * s), x.dtype) if keep else None
+        cands, pulls = (np.empty((2, len(ids), len(h), s), x.dtype)) if keep else (None, None)
         for t in range(len(ids)):
             a = h @ self.wh
             g = x[t, :, : 2 * s] + a[:, : 2 * s]
@@ -169,9 +174,9 @@ class Network:
             c = np.tanh(x[t, :, 2 * s :] + r * a[:, 2 * s :])
             new = h + z * (c - h)
             if keep:
-                cache.append((h, z, r, c, a[:, 2 * s :]))
+                gates[t], cands[t], pulls[t] = g, c, a[:, 2 * s :]
             states[t + 1] = h = new
-        return states, cache
+        return states, (gates, cands, pulls)
 
     def log_probs(self, h: np.ndarray, klass: np.ndarray, member: np.ndarray) -> np.ndarray:
         """log P(class | h), and + log P(member | class, h) for head words."""
@@ -188,45 +193,54 @@ class Network:
                      rate: float, memory: dict) -> np.ndarray:
         """One step of truncated backpropagation over a window; returns the state to carry on."""
         steps, lanes = ids.shape
-        states, cache = self.run(ids, h, keep=True)
+        states, (gates, c, a) = self.run(ids, h, keep=True)
         # The state before a token predicts it.
         before = states[:-1].reshape(-1, STATE)
         live = np.flatnonzero(on.ravel())
         n = max(len(live), 1)
+        # By class, so that a head class's tokens are one slice.
+        live = live[np.argsort(klass.ravel()[live].astype(np.int16), kind="stable")]
         hb, kb, mb = before[live], klass.ravel()[live], member.ravel()[live]
         grads = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         p = _softmax(hb @ self.wc + self.bc)
         p[np.arange(len(live)), kb] -= 1
         grads["wc"], grads["bc"] = hb.T @ p / n, p.sum(axis=0) / n
         dh = p @ self.wc.T
-        order = np.argsort(kb, kind="stable")
-        cuts = np.searchsorted(kb[order], np.arange(HEAD_CLASSES + 1))
+        cuts = np.searchsorted(kb, np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if len(mine):
+            mine = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
                 q = _softmax(hb[mine] @ self.wm[k] + self.bm[k])
-                q[np.arange(len(mine)), mb[mine]] -= 1
+                q[np.arange(len(q)), mb[mine]] -= 1
                 grads["wm"][k], grads["bm"][k] = hb[mine].T @ q / n, q.sum(axis=0) / n
                 dh[mine] += q @ self.wm[k].T
         into = np.zeros_like(before)
         into[live] = dh / n
         into = into.reshape(steps, lanes, STATE)
+        # What a step's gradient is multiplied by on its way to candidate, gates and state.
+        z, r, h0 = gates[..., :STATE], gates[..., STATE:], states[:-1]
+        to_c, to_z, to_r = z * (1 - c * c), (c - h0) * z * (1 - z), a * r * (1 - r)
+        stay = 1 - z
         back = np.zeros((lanes, STATE), np.float32)
-        dx = np.empty((steps, lanes, 3 * STATE), np.float32)
+        da, dx = np.empty((2, steps, lanes, 3 * STATE), np.float32)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, c, a = cache[t]
-            dc = back * z * (1 - c * c)
-            dz = back * (c - h0) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["wh"] += h0.T @ da
-            back = back * (1 - z) + da @ self.wh.T + into[t]
-        flat = dx.reshape(-1, 3 * STATE)
-        used = ids.ravel()
-        vectors = self.emb[used]
-        grads["wx"], grads["b"] = vectors.T @ flat, flat.sum(axis=0)
-        np.add.at(grads["emb"], used, flat @ self.wx.T)
+            own = da[t]
+            dc = np.multiply(back, to_c[t], out=dx[t, :, 2 * STATE :])
+            np.multiply(back, to_z[t], out=own[:, :STATE])
+            np.multiply(dc, to_r[t], out=own[:, STATE : 2 * STATE])
+            np.multiply(dc, r[t], out=own[:, 2 * STATE :])
+            back = back * stay[t] + own @ self.wh.T + into[t]
+        dx[..., : 2 * STATE] = da[..., : 2 * STATE]
+        grads["wh"] = h0.reshape(-1, STATE).T @ da.reshape(-1, 3 * STATE)
+        flat, used = dx.reshape(-1, 3 * STATE), ids.ravel().astype(np.int16)
+        grads["b"] = flat.sum(axis=0)
+        # Gradients of a token's input are summed before they go through the weights.
+        order = np.argsort(used, kind="stable")
+        used = used[order]
+        starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+        sums, rows = np.add.reduceat(flat[order], starts, axis=0), used[starts]
+        grads["wx"] = self.emb[rows].T @ sums
+        grads["emb"][rows] = sums @ self.wx.T
         self._adam(grads, rate, memory)
         return states[-1]
 
@@ -236,22 +250,28 @@ class Network:
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         for k, g in grads.items():
-            g = g * scale
+            g *= scale
             m, v = memory.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m = 0.9 * m + 0.1 * g
-            v = 0.99 * v + 0.01 * g * g
-            memory[k] = (m, v)
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            m += 0.1 * (g - m)
+            g *= g
+            v += 0.01 * (g - v)
+            step = np.sqrt(v)
+            step *= 1 / math.sqrt(1 - 0.99**t)
+            step += 1e-8
+            np.divide(m, step, out=step)
+            step *= rate / (1 - 0.9**t)
             setattr(self, k, (getattr(self, k) - step).astype(np.float32))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    # Logits beyond 80 would overflow; none that training reaches is near.
+    np.clip(x, -80, 80, out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    # Logits beyond 80 would overflow; none that training reaches is near.
     np.clip(x, -80, 80, out=x)
     own = x[np.arange(len(x)), at].astype(np.float64)
     np.exp(x, out=x)
@@ -340,51 +360,76 @@ def network_scores(texts: list[np.ndarray], net: Network) -> np.ndarray:
     return out
 
 
-def _train(texts: list[np.ndarray], net: Network, rate: float) -> int:
+def _train(texts: list[np.ndarray], net: Network, rate: float, memory: dict) -> int:
     h = np.zeros((TRAIN_LANES, STATE), np.float32)
-    memory: dict = {}
     tokens = 0
-    for ids, _, fresh, on in _lanes(texts, WINDOW, TRAIN_LANES):
+    for ids, lane, fresh, on in _lanes(texts, WINDOW, TRAIN_LANES):
         h[fresh] = 0
+        used = np.flatnonzero(lane >= 0)
+        ids, on = ids[:, used], on[:, used]
         klass, member = _targets(ids)
-        h = net.train_window(ids, klass, member, on, h, rate, memory)
+        h[used] = net.train_window(ids, klass, member, on, h[used], rate, memory)
         tokens += int(on.sum())
     return tokens
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Network:
-    """Rounds of local training on each shard, averaged by tokens.
+def train_network(docs: DataFrame, vocabulary: Vocabulary) -> Network:
+    """Backpropagation through every text of ``docs.text`` once, in ROUNDS rounds.
 
-    Weights have a fixed size (under 1 MB), whatever the corpus.  A shard is a task's share of
-    the texts; in each round it trains on them from the same weights.
+    The texts are dealt by a hash to rounds and shards and written down, so a round reads its
+    own part only and reruns see the same shards.  A shard trains from the last round's weights;
+    the shards' weights are averaged by tokens, in shard order.  Weights have a fixed size (under
+    1 MB), whatever the corpus.  Copies of a text fall into shards of their own by row number of
+    their task, so a text that many rows repeat is spread as well.
     """
     net = Network(vocabulary)
     coder = Coder(vocabulary)
-    dealt = docs.select("text").repartition(shards)
+    shards = max(1, min(math.ceil(vocabulary.tokens / ROUNDS / SHARD_TOKENS), 4096))
+    hashed = F.pmod(F.xxhash64(F.lit(3), "text", F.monotonically_increasing_id()), F.lit(ROUNDS * shards))
+    path = scratch_path(docs.sparkSession, "dealt")
+    (
+        docs.select("text", hashed.alias("h"))
+        .select("text", (F.col("h") % shards).cast("int").alias("shard"), F.floor(F.col("h") / shards).cast("int").alias("round"))
+        .write.partitionBy("round")
+        .parquet(path)
+    )
+    dealt = docs.sparkSession.read.schema("text string, shard int, round int").parquet(path)
     for k in range(ROUNDS):
         rate = 0.02 * 0.5**k
 
         def fit(batches: Iterator[pa.RecordBatch], net: Network = net, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            tokens, own = 0, net
-            for b in batches:
-                texts = [coder.encode(tokens_of(t))[1] for t in b.column(0).to_pylist()]
-                tokens += _train(texts, own, rate)
-            if tokens:
+            own, memory, tokens, shard = net, {}, 0, -1
+
+            def result() -> pa.RecordBatch:
                 flat = np.concatenate([w.ravel() for w in own.weights()])
                 pieces = [flat[k : k + PIECE].astype("<f4").tobytes() for k in range(0, len(flat), PIECE)]
-                yield pa.RecordBatch.from_arrays(
+                return pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(len(pieces))),
+                        pa.array(np.full(len(pieces), shard)),
                         pa.array(pieces, pa.binary()),
                         pa.array(np.full(len(pieces), tokens)),
                     ],
-                    names=["part", "weights", "tokens"],
+                    names=["part", "shard", "weights", "tokens"],
                 )
 
+            start = net.weights()
+            for b in batches:
+                shards_of = b.column(1).to_numpy()
+                for lo, hi in _runs(shards_of):
+                    if shards_of[lo] != shard:
+                        if tokens:
+                            yield result()
+                        own, memory, tokens, shard = Network.__new__(Network).load(start), {}, 0, int(shards_of[lo])
+                    texts = [coder.encode(tokens_of(t))[1] for t in b.column(0).slice(lo, hi - lo).to_pylist()]
+                    tokens += _train(texts, own, rate, memory)
+            if tokens:
+                yield result()
+
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for b in batches:
-                for part, weights, tokens in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                for part, _, weights, tokens in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                     own = sums.setdefault(part, [0.0, 0])
                     own[0] = own[0] + np.frombuffer(weights, "<f4").astype(np.float64) * tokens
                     own[1] += tokens
@@ -398,8 +443,13 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Netwo
 
         # One small row per shard and piece; the averages together are one set of weights.
         means = (
-            dealt.mapInArrow(fit, "part long, weights binary, tokens long")
+            dealt.where(F.col("round") == k)
+            .select("text", "shard")
+            .repartition(shards, "shard")
+            .sortWithinPartitions("shard", F.xxhash64("text"))
+            .mapInArrow(fit, "part long, shard long, weights binary, tokens long")
             .repartition("part")
+            .sortWithinPartitions("part", "shard")
             .mapInArrow(average, "part long, weights binary")
             .toArrow()
             .sort_by("part")
@@ -413,6 +463,11 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> Netwo
     return net
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else [0]
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def lm_scores(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text.
 
@@ -430,10 +485,7 @@ def lm_scores(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
     counts = cut_lineage(count_tokens(training), "counts")
     texts = training.count()
     voc = build_vocabulary(counts, texts)
-    share = min(1.0, max(FIT_SHARE, FIT_TOKENS / max(voc.tokens, 1)))
-    picked = training.where(F.pmod(F.xxhash64(F.lit(3), "text", "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    shards = max(1, min(math.ceil(voc.tokens * share / 350_000), 4096))
-    net = train_network(picked, voc, shards)
+    net = train_network(training, voc)
     n, v = voc.tokens, voc.words
     head, coder = voc.head, Coder(voc)
     log_total = math.log10(n + v + 1) if n + v + 1 > 0 else 0.0
