@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickertide.llm.common import label_sample, mix64, remainder, word_slices
+from tickertide.llm.common import label_sample, mix64, remainder, row_key, word_slices
+from tickertide.session import cut_lineage
 
 # At most so many labelled documents are used to fit the grammar; scoring covers all.
 FIT_ROWS = 60_000
-# At most so many of them that are toxic are searched for insults.
+# At most so many different toxic texts of them are searched for insults.
 TOXIC_ROWS = 8_000
-MAX_PATTERNS = 5_000
+# A task hands on its pattern counts when it holds so many.
+COUNTED = 200_000
 THRESHOLD = 0.5
 
 # Fixed word lists of the grammar.
@@ -233,7 +235,7 @@ class Grammar:
 
 
 def patterns_of(word: str) -> list[str]:
-    """The word itself and its beginnings of four letters and more."""
+    """The whole word, and its beginnings of four to twelve letters."""
     return [word + "$", *(word[:k] for k in range(4, min(len(word), 12) + 1))]
 
 
@@ -256,64 +258,80 @@ def _sketches(texts: pa.Array, perms: int = 8) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, perms), np.uint64)
 
 
-def learn_insults(sample: DataFrame, least: float = 0.004, odds: float = 4.0) -> dict[str, float]:
-    """Words and word beginnings that mark toxic texts: pattern -> log odds.
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        marks = pa.array(_sketches(b.column(1)).astype(np.int64).tolist(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), marks], names=["key", "marks"])
 
-    ``sample`` has ``text, toxic``.  Of toxic texts that are near copies of each other one
-    counts.  A pattern needs a share ``least`` of them (5 at least) and ``odds`` in its favour;
-    one whose beginning is already taken adds nothing and is left out.
-    """
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = _sketches(b.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([sorted(_words(t or "")) for t in b.column(0).to_pylist()], pa.list_(pa.string())),
-                    pa.array([m.astype(np.int64).tolist() for m in marks], pa.list_(pa.int64())),
-                ],
-                names=["words", "marks"],
-            )
-
-    toxic = sample.where("toxic = 1").select("text").orderBy(F.xxhash64("text"), "text").limit(TOXIC_ROWS)
-    seen: Counter = Counter()
-    known: set[tuple[int, int]] = set()
-    n = 0
-    # At most TOXIC_ROWS word lists.
-    for row in toxic.mapInArrow(words, "words array<string>, marks array<bigint>").toLocalIterator():
-        marks = set(enumerate(row["marks"]))
-        if len(marks & known) >= 4:
-            continue
-        known |= marks
-        n += 1
-        seen.update({p for w in row["words"] for p in patterns_of(w)})
-    floor = max(5, least * n)
-    wanted = {p for p, c in seen.most_common(200_000) if c >= floor}
-    if not wanted:
-        return {}
+def count_patterns(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """``p, n``: in how many of ``texts.text`` each pattern (of ``wanted``) occurs; '' counts all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = Counter(), 0
+        seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                docs += 1
-                total.update({p for w in _words(t or "") for p in patterns_of(w) if p in wanted})
-        total[""] = docs
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], names=["p", "n"]
+                seen[""] += 1
+                found = {p for w in _words(t or "") for p in patterns_of(w)}
+                seen.update(found if wanted is None else found & wanted)
+                if len(seen) > COUNTED:
+                    yield emit(seen)
+                    seen = Counter()
+        yield emit(seen)
+
+    def emit(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"]
         )
 
-    clean = sample.where("toxic = 0").select("text").mapInArrow(count, "p string, n long")
-    against = {r["p"]: r["n"] for r in clean.groupBy("p").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return texts.select("text").mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+def learn_insults(
+    sample: DataFrame, least: float = 0.004, odds: float = 4.0, toxic_rows: int = TOXIC_ROWS
+) -> dict[str, float]:
+    """Words and word beginnings that mark toxic texts: pattern -> log odds.
+
+    ``sample`` has ``text, toxic``.  At most ``toxic_rows`` different toxic texts are searched; of
+    those that are near copies of each other one counts.  A pattern needs a share ``least`` of them
+    (5 at least) and ``odds`` in its favour; one whose beginning is already taken adds nothing and
+    is left out.  Patterns are counted in the tasks.  The driver holds eight numbers for each toxic
+    text, and the patterns above the least share: at most 1 / ``least`` times the mean number of
+    different patterns in a toxic text, however many texts there are.
+    """
+    toxic = (
+        sample.where("toxic = 1")
+        .select("text")
+        .distinct()
+        .orderBy(F.xxhash64("text"), "text")
+        .limit(toxic_rows)
+        .select(row_key(F.col("text")).alias("key"), "text")
+    )
+    rows = sorted(toxic.mapInArrow(_sketch_rows, "key string, marks array<bigint>").collect())
+    known, kept = np.zeros((len(rows), 8), np.int64), []
+    for row in rows:
+        # Four marks of eight shared with one text that is kept: about half of the words.
+        marks = np.array(row["marks"])
+        if not ((known[: len(kept)] == marks).sum(axis=1) >= 4).any():
+            known[len(kept)] = marks
+            kept.append((row["key"],))
+    n = len(kept)
+    # At most toxic_rows keys.
+    chosen = F.broadcast(sample.sparkSession.createDataFrame(kept, "key string"))
+    counts = count_patterns(toxic.join(chosen, "key", "left_semi")).where(F.col("p") != "")
+    seen = {r["p"]: r["n"] for r in counts.where(F.col("n") >= max(5, least * n)).collect()}
+    if not seen:
+        return {}
+    against = {r["p"]: r["n"] for r in count_patterns(sample.where("toxic = 0"), set(seen)).collect()}
     m = against.pop("", 0)
     weights = {
-        p: math.log((seen[p] + 0.5) / (n + 1)) - math.log((against.get(p, 0) + 0.5) / (m + 1)) for p in wanted
+        p: math.log((c + 0.5) / (n + 1)) - math.log((against.get(p, 0) + 0.5) / (m + 1)) for p, c in seen.items()
     }
     taken: dict[str, float] = {}
-    for p in sorted(wanted, key=lambda p: (len(p.rstrip("$")), p)):
+    for p in sorted(weights, key=lambda p: (len(p.rstrip("$")), p)):
         if weights[p] >= odds and not any(p[:k] in taken for k in range(4, len(p))):
             taken[p] = min(weights[p], 10.0)
-    return dict(sorted(taken.items(), key=lambda x: (-x[1], x[0]))[:MAX_PATTERNS])
+    return dict(sorted(taken.items(), key=lambda x: (-x[1], x[0])))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
@@ -337,10 +355,13 @@ def train_toxicity(
     """Learns insults and clause weights from at most ``rows`` learnable labelled documents.
 
     By default those whose crc32(doc_id as text) mod 5 is not 0.  Null labels and ids are left
-    out.  Without labels no insult is known and every text scores 0.5 or less.
+    out; of contradicting labels the smallest counts; repeated documents and null or empty texts
+    are learned from like others; other columns are ignored.  Without labels or documents no
+    insult is known and every text scores 0.5 or less.
     """
     learnable = remainder("doc_id", 5) != 0 if learnable is None else learnable
-    sample = label_sample(docs, labels, "toxic", learnable, rows).select("text", "toxic")
+    # At most ``rows`` documents: written once, so the passes below don't search the whole corpus again.
+    sample = cut_lineage(label_sample(docs, labels, "toxic", learnable, rows).select("text", "toxic"), "toxic-sample")
     insults = learn_insults(sample)
     lexicon = Lexicon(insults)
 
