@@ -216,3 +216,31 @@ def test_tables_beyond_the_bound_are_joined(spark, monkeypatch):
     out = matching.match_tickers(h, lex, ai)
     assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
     assert got(out) == expected(headlines())
+
+
+def test_a_table_beyond_the_bound_moves_no_row_per_keyword(spark, monkeypatch):
+    """Keywords that share their surroundings of a blank: every text would meet all of them in a join on keys."""
+    monkeypatch.setattr(automaton, "AUTOMATON_LETTERS", 60)
+    monkeypatch.setattr(matching, "_found_by_key", None)
+    words = ["alpha", "beta", "x-1", "é", "gen_x", "of the", "+", "ai"]
+    lex = [(w[0], f"{w} of the {v}", r) for w in words for v in words for r in ("partners", "identity")]
+    lex += [(w[:1].upper(), w, "identity") for w in words] + [("Z", "", "identity"), ("Z", None, "x")]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words + ["of", "the"], k=rng.randint(1, 12)))) for i in range(150)]
+    rows += [(150, "  ALPHA  of the\tbeta "), (151, ""), (152, None)] + [(153, "alpha of the beta ai")] * 40
+    h = spark.createDataFrame(rows, "i int, headline string").repartition(3)
+    entries, ai = spark.createDataFrame(lex, LEXICON), spark.createDataFrame([("ai", "x"), ("the al", "x")], AI_TERMS)
+    want = []
+    for i, text in rows:
+        text = " ".join((text or "").lower().split())
+        is_ai = any(found(text, k) for k in ("ai", "the al"))
+        hits = {(t, r) for t, k, r in lex if k and found(text, k)}
+        want += [(i, t, is_ai, (t, "partners") in hits) for t in {t for t, _ in hits}]
+    out = matching.match_tickers(h, entries, ai)
+    assert got(out) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
+    texts = {i: " ".join((t or "").lower().split()) for i, t in rows}
+    assert {r.i: r.is_ai_related for r in matching.ai_flag(h, ai).collect()} == {
+        i: found(t, "ai") or found(t, "the al") for i, t in texts.items()
+    }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -13,9 +16,19 @@ from pyspark.sql.types import ArrayType, StructType
 # Letters of all keywords together that an automaton may have: about 100 MB in each worker.
 AUTOMATON_LETTERS = 2_000_000
 
+# Where only the keywords' owners are found, a letter takes 14 bytes: so many times as many.
+OWNED = 4
+
 # The worker's automata by name; a new one takes the place of the oldest.
 _built: dict[str, object] = {}
 KEPT = 4
+# The one slice of a larger table that a worker holds.
+_slice: dict[str, object] = {}
+
+
+def _letters(entries: DataFrame) -> int:
+    letters = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 1 for c in entries.columns), F.lit(0))
+    return entries.agg(F.sum(letters).alias("n")).first().n or 0
 
 
 def fits(entries: DataFrame) -> bool:
@@ -23,8 +36,14 @@ def fits(entries: DataFrame) -> bool:
 
     Measured, not assumed: one aggregate over the table.
     """
-    letters = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 1 for c in entries.columns), F.lit(0))
-    return (entries.agg(F.sum(letters).alias("n")).first().n or 0) <= AUTOMATON_LETTERS
+    return _letters(entries) <= AUTOMATON_LETTERS
+
+
+def slices_for(entries: DataFrame) -> int:
+    """Into how many automata a table must be dealt whose owners alone are found, by measured size."""
+    keyword, *owner = entries.columns
+    letters = _letters(entries.select(keyword).distinct()) + _letters(entries.select(*owner).distinct())
+    return max(1, math.ceil(letters / (OWNED * AUTOMATON_LETTERS)))
 
 
 def _is_word(letter: str) -> bool:
@@ -100,3 +119,88 @@ def keyword_finder(entries: DataFrame, words: bool = True) -> Callable[[Column],
 
     # Not copied into filters: the text is searched once.
     return find.asNondeterministic()
+
+
+class _Owners:
+    """Automaton of a table's keywords; a find gives the numbers of the rows' other columns.
+
+    Keywords alike in owners and boundary rule share one entry, so a keyword costs its letters only.
+    """
+
+    def __init__(self, entries: pa.Table):
+        import ahocorasick
+
+        keyword, *owner = entries.column_names
+        numbers: dict[tuple, int] = {}
+        of: dict[str, set[int]] = {}
+        for row in zip(*(entries[c].to_pylist() for c in entries.column_names), strict=True):
+            of.setdefault(row[0], set()).add(numbers.setdefault(row[1:], len(numbers)))
+        types = [entries.schema.field(c) for c in owner]
+        self.rows = pa.StructArray.from_arrays(
+            [pa.array([n[k] for n in numbers], f.type) for k, f in enumerate(types)], fields=types
+        )
+        codes: dict[tuple, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if of else None
+        while of:
+            word, own = of.popitem()
+            rule = None if " " in word else (len(word), (not _is_word(word[0]), not _is_word(word[-1])))
+            self.automaton.add_word(word, codes.setdefault((rule, frozenset(own)), len(codes)))
+        self.codes = list(codes)
+        if self.automaton is not None:
+            self.automaton.make_automaton()
+
+    def found(self, text: str | None) -> list[int]:
+        """Numbers of the owners of all keywords in the text, ascending."""
+        if not text or self.automaton is None:
+            return []
+        seen, out = set(), set()
+        for last, code in self.automaton.iter(text):
+            if code not in seen:
+                rule, own = self.codes[code]
+                if rule is None or _stands(text, last + 1 - rule[0], last + 1, rule[1]):
+                    seen.add(code)
+                    out |= own
+        return sorted(out)
+
+    def of_texts(self, texts: pa.Array) -> pa.Array:
+        found = [self.found(text) for text in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = pa.array([n for own in found for n in own], pa.int64())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.rows.take(flat))
+
+
+def _owners(kept: dict[str, object], most: int, name: str, entries: object) -> _Owners:
+    if name not in kept:
+        while len(kept) >= most:
+            kept.pop(next(iter(kept)))
+        kept[name] = _Owners(entries.value)
+    return kept[name]
+
+
+def _sent(entries: DataFrame) -> tuple[str, object]:
+    return uuid.uuid4().hex, entries.sparkSession.sparkContext.broadcast(entries.distinct().toArrow())
+
+
+def owner_finder(entries: DataFrame) -> Callable[[Column], Column]:
+    """Like ``keyword_finder``, but for the distinct rows of the columns after the keyword."""
+    name, sent = _sent(entries)
+
+    @F.arrow_udf(ArrayType(StructType(entries.schema.fields[1:])))
+    def find(texts: pa.Array) -> pa.Array:
+        return _owners(_built, KEPT, name, sent).of_texts(texts)
+
+    return find.asNondeterministic()
+
+
+def owners_by_id(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``_id, _own`` of those ``texts`` (id, text) that hold a keyword of ``entries``, a slice of a table."""
+    name, sent = _sent(entries)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _owners(_slice, 1, name, sent).of_texts(b.column(1))
+            hit = pa.compute.greater(pa.compute.list_value_length(own), 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), own], names=["_id", "_own"]).filter(hit)
+
+    kind = ArrayType(StructType(entries.schema.fields[1:]))
+    return texts.mapInArrow(find, StructType().add("_id", texts.schema[0].dataType).add("_own", kind))

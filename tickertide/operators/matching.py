@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tickertide.functions.text import (
 )
 from tickertide.operators import automaton
 from tickertide.schemas import PARTNER_ROLES
+from tickertide.session import cut_lineage
 
 # Marks that tell which keys a large table may hold: at most this many bytes in the plan.
 SLOTS = 1 << 18
@@ -159,11 +161,50 @@ def find_keywords(df: DataFrame, text: str, keywords: DataFrame, strategy: str =
     return _found_by_key(df, text, keywords)
 
 
+def _owners_in_slices(df: DataFrame, text: str, keywords: DataFrame, slices: int) -> DataFrame:
+    """Owners per row for a keyword table of any size: its slices are searched for one after another.
+
+    Texts stay where they are: what moves is an id and the owners found, per text and slice, not
+    a row per keyword that a text holds.  A worker has one slice in memory, whatever the table's size.
+    """
+    rows = df.withColumn("_id", _text_id(text))
+    texts = cut_lineage(rows.select("_id", text).where(F.col(text) != ""), "texts")
+    dealt = keywords.withColumn("_slice", F.pmod(F.xxhash64("keyword"), F.lit(slices)))
+    dealt = cut_lineage(dealt.distinct(), "keywords")
+    parts = [
+        automaton.owners_by_id(texts, dealt.where(F.col("_slice") == k).drop("_slice")) for k in range(slices)
+    ]
+    # A text that many rows repeat gives each slice the same array: a set keeps one.
+    found = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("_id", F.xxhash64("_id").alias("_hash"))
+        .agg(F.array_distinct(F.flatten(F.collect_set("_own"))).alias("_found"))
+        .drop("_hash")
+    )
+    return rows.join(found, "_id", "left").drop("_id")
+
+
+def find_owners(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Add ``_found``: the distinct ticker, partner and ai of the keywords present in ``text``.
+
+    As ``find_keywords``, but the keywords themselves are left out, so that a table beyond the
+    bound needs no join on keys: its slices are searched for, each by an automaton.
+    """
+    if strategy == "token":
+        return find_keywords(df, text, keywords, strategy)
+    if strategy not in ("auto", "broadcast"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    slices = automaton.slices_for(keywords)
+    if slices == 1:
+        return df.withColumn("_found", automaton.owner_finder(keywords)(F.col(text)))
+    return _owners_in_slices(df, text, keywords, slices)
+
+
 def _with_found(
     df: DataFrame, lex: DataFrame | None, ai_terms: DataFrame | None, strategy: str
 ) -> DataFrame:
     texts = df.withColumn("_text", normalize_headline(F.col("headline")))
-    return find_keywords(texts, "_text", _keyword_rows(lex, ai_terms), strategy).drop("_text")
+    return find_owners(texts, "_text", _keyword_rows(lex, ai_terms), strategy).drop("_text")
 
 
 def match_tickers(
