@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickertide.sources import keyed
@@ -127,3 +128,34 @@ def test_plain_files_are_not_taken_for_an_empty_table(spark, tmp_path):
     frame(spark, "a").write.parquet(path)
     with pytest.raises(ValueError, match="without a log"):
         keyed.insert_new(spark, path, frame(spark, "a"), KEYS)
+
+
+def test_an_insert_moves_digests_and_new_rows_only(spark, tmp_path):
+    """Stored and repeated rows stay where they are, however long their keys; older batches have no digests."""
+    path = str(tmp_path / "t")
+    names = [(f"{'long text ' * 200}{i}", "p") for i in range(40)] + [(None, "p"), ("", "p"), ("1:a", None), ("1:a", "-")]
+    assert keyed.insert_new(spark, path, frame(spark, names), KEYS) == 44
+    state = keyed.table_state(spark, path)
+    found = keyed._stored_digests(spark, path, StructType.fromDDL(SCHEMA), state, list(range(16)))
+    scanned = found._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert "k:string" not in scanned and found.distinct().count() == 44
+    older = state.batches[0].split("-")[1]
+    spark.read.parquet(f"{path}/batch={state.batches[0]}").drop(keyed.DIGEST).write.partitionBy("bucket").parquet(
+        f"{path}/batch={older}"
+    )
+    assert keyed._commit(spark, path, keyed.State(2, state.buckets, state.keys, (older,)))
+    twice = frame(spark, [*names, ("new", "p"), ("new", "p")], 3).withColumn("ord", F.monotonically_increasing_id())
+    twice = twice.withColumn("v", F.when(F.col("k") == "new", F.col("ord") % 2).otherwise(F.col("v")).cast("int"))
+    first = twice.where("k = 'new'").orderBy("ord").first()
+    assert keyed.insert_new(spark, path, twice, KEYS, order="ord") == 1
+    assert ("new", "p", first.v) in stored(spark, path) and len(stored(spark, path)) == 45
+
+
+def test_a_merge_writes_the_batches_of_one_level(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for k in range(6):
+        keyed.insert_new(spark, path, frame(spark, [f"n{k}"], k), KEYS, buckets=2, merge_at=2)
+    # Six inserts: four rows merged twice, two merged once; the four aren't written by the last merge.
+    names = keyed.table_state(spark, path).batches
+    assert sorted(keyed._level(n) for n in names) == [1, 2]
+    assert stored(spark, path) == [(f"n{k}", "p", k) for k in range(6)]

@@ -51,13 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later jobs then start from files that outlive any executor, and a frame that feeds
-    several aggregates (for example the aligned series) is computed once.
+    several aggregates (for example the aligned series) is computed once.  ``options`` are the
+    writer's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,9 @@ Layout below the table's folder::
     batch=<name>/bucket=<n>/part-*.parquet    rows; bucket is the key's hash modulo the number of buckets
     _log/<version>                            JSON: number of buckets, key columns, names of the live batches
 
-A reader takes the batches that the highest version lists.  An insert reads the key columns of
-those buckets alone that its rows fall into, writes a new batch and then the next version.  A
+A reader takes the batches that the highest version lists.  Rows are stored with a digest of their
+key; an insert reads the digests of those buckets alone that its rows fall into, writes a new batch
+and then the next version.  Keys of older batches without digests are read themselves.  A
 version can be written once only; whoever comes second finds it taken, drops its batch and starts
 again from the new version.  So each key is stored once however many writers there are, and a run
 that dies leaves an unlisted batch, which no reader sees.
@@ -18,8 +19,7 @@ import json
 import os
 import time
 import uuid
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +29,12 @@ from tickertide.session import cut_lineage
 
 # Choose about a bucket for each gigabyte of key columns where a table grows large.
 BUCKETS = 16
-# Batches after which an insert merges them into one.
+# Batches of a level (rows inserted, merged once, twice ...) after which an insert merges them into
+# one of the next, so that a row is written anew once a level and not by every merge.
 MERGE_AT = 32
+# Digests of so many rows at most are sent to the tasks that scan the stored ones.
+SENT_ROWS = 500_000
+DIGEST = "_key_digest"
 ATTEMPTS = 50
 
 
@@ -131,23 +135,48 @@ def stored_keys(
     return rows.where(F.col("bucket").isin(buckets)).select(*state.keys, "bucket")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equal keys, null equal to null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def key_digest(keys: tuple[str, ...]) -> Column:
+    """128 bits that name a key; a null differs from any value."""
+    parts = [F.col(k).cast("string") for k in keys]
+    sized = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.unhex(F.substring(F.sha2(F.concat(*sized), 256), 1, 32))
 
 
-def _not_stored(rows: DataFrame, stored: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows whose key isn't stored; the batch is the side that is built, the table is only scanned."""
-    names = [*keys, "bucket"]
-    wanted = rows.select(*names)
-    hits = stored.join(wanted, _same(stored, wanted, names), "left_semi").select(*names)
-    return rows.join(hits, _same(rows, hits, names), "left_anti")
+def _name(level: int = 0) -> str:
+    return f"k{level}-{uuid.uuid4().hex}"
+
+
+def _level(name: str) -> int | None:
+    """How often a batch's rows were merged; None for a batch without digests."""
+    return int(name[1:].split("-")[0]) if name.startswith("k") else None
+
+
+def _stored_digests(
+    spark: SparkSession, path: str, schema: StructType, state: State, buckets: list[int]
+) -> DataFrame:
+    """Key digests of the stored rows of some buckets."""
+    own = tuple(n for n in state.batches if _level(n) is not None)
+    older = tuple(n for n in state.batches if _level(n) is None)
+    rows = _rows_of(spark, path, StructType().add(DIGEST, "binary"), replace(state, batches=own))
+    found = rows.where(F.col("bucket").isin(buckets)).select(DIGEST)
+    if older:
+        keys = stored_keys(spark, path, schema, replace(state, batches=older), buckets)
+        found = found.unionAll(keys.select(key_digest(state.keys)))
+    return found
+
+
+def _unstored(firsts: DataFrame, stored: DataFrame, rows: int) -> DataFrame:
+    """Of ``rows`` digests at most those that aren't stored; the table is only scanned."""
+    wanted = firsts.select(DIGEST)
+    wanted = F.broadcast(wanted) if rows <= SENT_ROWS else wanted
+    hits = stored.join(wanted, DIGEST, "left_semi").distinct()
+    return firsts.join(hits, DIGEST, "left_anti")
 
 
 def _write(rows: DataFrame, path: str, name: str) -> int:
     """Writes a batch; returns its rows.  A bucket with most rows is split, small ones share tasks."""
     place = f"{path}/batch={name}"
-    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(place)
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(place)
     # From the files' footers.
     return rows.sparkSession.read.schema(rows.schema).parquet(place).count()
 
@@ -159,36 +188,52 @@ def insert_new(
     keys: tuple[str, ...],
     buckets: int = BUCKETS,
     merge_at: int = MERGE_AT,
+    order: str | None = None,
 ) -> int:
     """Adds the rows whose key the table doesn't have; returns their number.
 
-    ``rows`` have distinct keys (null is a value).  ``buckets`` and ``keys`` are fixed by the first
+    ``rows`` have distinct keys (null is a value), or a column ``order``, which isn't stored: of
+    the rows of a key the first in that order counts.  ``buckets`` and ``keys`` are fixed by the first
     insert.  At most ``ATTEMPTS`` other writers may get in between.
+
+    What is compared, between the rows and with the table, are digests; whole rows are written
+    once aside, and those that are new move once, to their buckets.
     """
     state = table_state(spark, path)
     keys, buckets = (state.keys, state.buckets) if state.version else (tuple(keys), buckets)
-    schema = rows.schema
+    schema = StructType([f for f in rows.schema.fields if f.name != order])
     # What led to the batch runs once, however often a version is taken by another writer.
-    batch = cut_lineage(rows.withColumn("bucket", bucket_of(keys, buckets)), "batch")
+    marked = rows.withColumns(
+        {"bucket": bucket_of(keys, buckets), DIGEST: key_digest(keys), "_row": F.monotonically_increasing_id()}
+    )
+    batch = cut_lineage(marked, "batch", compression="zstd")
     # At most one number for each bucket.
-    touched = sorted(r.bucket for r in batch.select("bucket").distinct().collect())
+    counted = batch.groupBy("bucket").count().collect()
+    touched, size = sorted(r["bucket"] for r in counted), sum(r["count"] for r in counted)
     if not touched:
         return 0
+    firsts = batch.select(DIGEST, "_row")
+    if order is not None:
+        rank = F.min(F.struct(order, "_row")).alias("first")
+        firsts = batch.groupBy(DIGEST).agg(rank).select(DIGEST, F.col("first._row").alias("_row"))
     for attempt in range(ATTEMPTS):
         if state.version and (state.keys, state.buckets) != (keys, buckets):
             raise ValueError(f"{path} has keys {state.keys} in {state.buckets} buckets")
         known = State(state.version, buckets, keys, state.batches)
-        fresh = batch
+        new = firsts
         if state.batches:
-            fresh = _not_stored(batch, stored_keys(spark, path, schema, known, touched), keys)
-        name = uuid.uuid4().hex
-        added = _write(fresh, path, name)
-        if not added:
-            _drop_batch(spark, path, name)
+            new = _unstored(firsts, _stored_digests(spark, path, schema, known, touched), size)
+        new = cut_lineage(new.select("_row"), "new")
+        adding = new.count()
+        if not adding:
             return 0
+        fresh = batch
+        if adding < size:
+            fresh = batch.join(F.broadcast(new) if adding <= SENT_ROWS else new, "_row", "left_semi")
+        name = _name()
+        added = _write(fresh.select(*schema.names, DIGEST, "bucket"), path, name)
         if _commit(spark, path, State(state.version + 1, buckets, keys, (*state.batches, name))):
-            if len(state.batches) + 1 >= merge_at:
-                merge_batches(spark, path, schema)
+            _merge_levels(spark, path, schema, merge_at)
             return added
         _drop_batch(spark, path, name)
         time.sleep(min(1.0, 0.01 * 2**attempt))
@@ -196,18 +241,37 @@ def insert_new(
     raise RuntimeError(f"{path}: {ATTEMPTS} attempts were overtaken by other writers")
 
 
-def merge_batches(spark: SparkSession, path: str, schema: StructType) -> bool:
-    """Writes all live batches as one; False if another writer came in between.
+def _merge_levels(spark: SparkSession, path: str, schema: StructType, merge_at: int) -> None:
+    """Merges the batches of every level that has ``merge_at`` of them, lowest first."""
+    level = 0
+    while True:
+        names = table_state(spark, path).batches
+        own = tuple(n for n in names if (_level(n) or 0) == level)
+        if len(own) >= max(merge_at, 2):
+            if not merge_batches(spark, path, schema, own):
+                return
+        elif not any((_level(n) or 0) > level for n in names):
+            return
+        level += 1
+
+
+def merge_batches(
+    spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] | None = None
+) -> bool:
+    """Writes live batches (all, or those of ``names``) as one; False if another writer came in between.
 
     The old batches are no longer listed but stay for those who read them; ``remove_unlisted``
     deletes them later.
     """
     state = table_state(spark, path)
-    if len(state.batches) < 2:
+    own = tuple(n for n in state.batches if names is None or n in names)
+    if len(own) < 2:
         return True
-    name = uuid.uuid4().hex
-    _write(_rows_of(spark, path, schema, state), path, name)
-    if _commit(spark, path, State(state.version + 1, state.buckets, state.keys, (name,))):
+    name = _name(1 + max(_level(n) or 0 for n in own))
+    rows = _rows_of(spark, path, schema, replace(state, batches=own))
+    _write(rows.withColumn(DIGEST, key_digest(state.keys)), path, name)
+    kept = tuple(n for n in state.batches if n not in own)
+    if _commit(spark, path, State(state.version + 1, state.buckets, state.keys, (name, *kept))):
         return True
     _drop_batch(spark, path, name)
     return False

@@ -225,8 +225,7 @@ def insert_or_ignore(
     rows = to_score_rows(batch)
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.monotonically_increasing_id())
-    first = first_keep_dedup(rows, list(keys), "ord").select(*SCORES.names)
-    return insert_new(spark, table_path, first, keys)
+    return insert_new(spark, table_path, rows, keys, order="ord")
 
 
 def read_scores_ordered(spark: SparkSession, path: str) -> DataFrame:
