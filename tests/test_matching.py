@@ -244,3 +244,31 @@ def test_a_table_beyond_the_bound_moves_no_row_per_keyword(spark, monkeypatch):
     assert {r.i: r.is_ai_related for r in matching.ai_flag(h, ai).collect()} == {
         i: found(t, "ai") or found(t, "the al") for i, t in texts.items()
     }
+
+
+@pytest.mark.parametrize("letters", [None, 8])
+def test_notes_by_key_move_no_text(spark, monkeypatch, letters):
+    """Long texts stay where they are; repeated notes, repeated tickers and repeated rows count as given."""
+    if letters:
+        monkeypatch.setattr(automaton, "AUTOMATON_LETTERS", letters)
+    notes = [("A", "Alpha beta", "a1", 1), ("A", "beta", "a0", 0), ("B", "beta", "b", 0), ("B", "beta", "b", 0), ("C", "zz", "c", 0)]
+    notes += [(None, "beta", "n", 0), ("A", "alphabet", "never", 5)]
+    contexts = spark.createDataFrame(notes, CONTEXTS)
+    texts = [f" Alpha BETA {'filler words ' * 300}", "alpha", "alphabeta", None]
+    rows = [(i, t, g) for i, t in enumerate(texts) for g in (["A"], ["B", "A"], ["B", "B"], ["C", None], [], None)] * 2
+    h = spark.createDataFrame(rows, "i int, headline string, tickers array<string>")
+    out = matching.headline_context(h, contexts, "token").select("i", "tickers", "context")
+
+    def want(text, tickers):
+        hits = [
+            (at, pos, k.lower(), c)
+            for at, t in enumerate(tickers or []) for g, k, c, pos in notes
+            if t is not None and g == t and text is not None and k.lower() in text.lower()
+        ]
+        return f"This news relates to {'; '.join(h[3] for h in sorted(hits))}." if hits else None
+
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str((i, g, want(t, g))) for i, t, g in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert moved and not any("headline" in line for line in moved)

@@ -39,11 +39,14 @@ def fits(entries: DataFrame) -> bool:
     return _letters(entries) <= AUTOMATON_LETTERS
 
 
-def slices_for(entries: DataFrame) -> int:
-    """Into how many automata a table must be dealt whose owners alone are found, by measured size."""
+def slices_for(entries: DataFrame, times: int = OWNED) -> int:
+    """Into how many automata a table must be dealt whose owners alone are found, by measured size.
+
+    ``times`` the usual letters fit; 1 where the keywords have owners of their own.
+    """
     keyword, *owner = entries.columns
     letters = _letters(entries.select(keyword).distinct()) + _letters(entries.select(*owner).distinct())
-    return max(1, math.ceil(letters / (OWNED * AUTOMATON_LETTERS)))
+    return max(1, math.ceil(letters / (times * AUTOMATON_LETTERS)))
 
 
 def _is_word(letter: str) -> bool:
@@ -127,7 +130,7 @@ class _Owners:
     Keywords alike in owners and boundary rule share one entry, so a keyword costs its letters only.
     """
 
-    def __init__(self, entries: pa.Table):
+    def __init__(self, entries: pa.Table, words: bool):
         import ahocorasick
 
         keyword, *owner = entries.column_names
@@ -143,7 +146,7 @@ class _Owners:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if of else None
         while of:
             word, own = of.popitem()
-            rule = None if " " in word else (len(word), (not _is_word(word[0]), not _is_word(word[-1])))
+            rule = None if not words or " " in word else (len(word), (not _is_word(word[0]), not _is_word(word[-1])))
             self.automaton.add_word(word, codes.setdefault((rule, frozenset(own)), len(codes)))
         self.codes = list(codes)
         if self.automaton is not None:
@@ -169,11 +172,11 @@ class _Owners:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.rows.take(flat))
 
 
-def _owners(kept: dict[str, object], most: int, name: str, entries: object) -> _Owners:
+def _owners(kept: dict[str, object], most: int, name: str, entries: object, words: bool) -> _Owners:
     if name not in kept:
         while len(kept) >= most:
             kept.pop(next(iter(kept)))
-        kept[name] = _Owners(entries.value)
+        kept[name] = _Owners(entries.value, words)
     return kept[name]
 
 
@@ -181,24 +184,24 @@ def _sent(entries: DataFrame) -> tuple[str, object]:
     return uuid.uuid4().hex, entries.sparkSession.sparkContext.broadcast(entries.distinct().toArrow())
 
 
-def owner_finder(entries: DataFrame) -> Callable[[Column], Column]:
+def owner_finder(entries: DataFrame, words: bool = True) -> Callable[[Column], Column]:
     """Like ``keyword_finder``, but for the distinct rows of the columns after the keyword."""
     name, sent = _sent(entries)
 
     @F.arrow_udf(ArrayType(StructType(entries.schema.fields[1:])))
     def find(texts: pa.Array) -> pa.Array:
-        return _owners(_built, KEPT, name, sent).of_texts(texts)
+        return _owners(_built, KEPT, name, sent, words).of_texts(texts)
 
     return find.asNondeterministic()
 
 
-def owners_by_id(texts: DataFrame, entries: DataFrame) -> DataFrame:
+def owners_by_id(texts: DataFrame, entries: DataFrame, words: bool = True) -> DataFrame:
     """``_id, _own`` of those ``texts`` (id, text) that hold a keyword of ``entries``, a slice of a table."""
     name, sent = _sent(entries)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _owners(_slice, 1, name, sent).of_texts(b.column(1))
+            own = _owners(_slice, 1, name, sent, words).of_texts(b.column(1))
             hit = pa.compute.greater(pa.compute.list_value_length(own), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), own], names=["_id", "_own"]).filter(hit)
 

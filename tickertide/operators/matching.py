@@ -161,7 +161,9 @@ def find_keywords(df: DataFrame, text: str, keywords: DataFrame, strategy: str =
     return _found_by_key(df, text, keywords)
 
 
-def _owners_in_slices(df: DataFrame, text: str, keywords: DataFrame, slices: int) -> DataFrame:
+def _owners_in_slices(
+    df: DataFrame, text: str, keywords: DataFrame, slices: int, words: bool = True
+) -> DataFrame:
     """Owners per row for a keyword table of any size: its slices are searched for one after another.
 
     Texts stay where they are: what moves is an id and the owners found, per text and slice, not
@@ -172,7 +174,7 @@ def _owners_in_slices(df: DataFrame, text: str, keywords: DataFrame, slices: int
     dealt = keywords.withColumn("_slice", F.pmod(F.xxhash64("keyword"), F.lit(slices)))
     dealt = cut_lineage(dealt.distinct(), "keywords")
     parts = [
-        automaton.owners_by_id(texts, dealt.where(F.col("_slice") == k).drop("_slice")) for k in range(slices)
+        automaton.owners_by_id(texts, dealt.where(F.col("_slice") == k).drop("_slice"), words) for k in range(slices)
     ]
     # A text that many rows repeat gives each slice the same array: a set keeps one.
     found = (
@@ -271,47 +273,41 @@ def _context_text(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, text)
 
 
-# Characters of a context keyword that serve as its join key, if it has as many.
-NOTE_KEY = 6
-
-
 def _context_by_key(h_tickers: DataFrame, notes: DataFrame) -> DataFrame:
-    """Context notes by an equi-join on ticker and first characters of the keyword.
+    """Context notes by an equi-join on ticker and keyword.
 
-    Every distinct (headline, tickers) is looked up once.  Only its id travels to the join, with
-    those keys that notes may have; the candidates come back as one row and are verified there.
+    The keywords in a headline come from one pass over it (in slices, where they are very many), and
+    only a row's id travels to the join, with those pairs that notes may have.  Texts don't move.
     """
-    keyed = notes.withColumn("_key", F.left("keyword", F.lit(NOTE_KEY)))
-    # Bounded by SLOTS and NOTE_KEY.
-    held = keyed.agg(
-        F.collect_set(_slot(F.col("ticker"), F.col("_key"))).alias("slots"),
-        F.collect_set(F.length("_key")).alias("sizes"),
-    ).first()
-    may_hold = _may_hold(held.slots)
-
-    def stretches(text: Column) -> Column:
-        found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(held.sizes)]
-        return F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
-
-    rows = h_tickers.withColumn("_id", _text_id("headline", "tickers"))
-    unique = rows.select("_id", F.lower(strip(F.col("headline"))).alias("_h"), "tickers").dropDuplicates(["_id"])
-    keys = unique.select("_id", "_h", F.posexplode("tickers").alias("at", "ticker")).select(
-        "_id",
-        "at",
-        "ticker",
-        F.explode(F.filter(stretches(F.col("_h")), lambda k: may_hold(F.col("ticker"), k))).alias("_key"),
+    columns = ["ticker", "position", "keyword", "context"]
+    keyed = notes.groupBy(columns).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    # Bounded by SLOTS.
+    slots = keyed.agg(F.collect_set(_slot(F.col("ticker"), F.col("keyword"))).alias("slots")).first().slots
+    may_hold = _may_hold(slots)
+    words = notes.select("keyword", F.col("keyword").alias("word")).distinct()
+    slices = automaton.slices_for(words, 1)
+    text = F.lower(strip(F.col("headline")))
+    if slices == 1:
+        found = h_tickers.withColumn("_found", automaton.owner_finder(words, words=False)(text))
+    else:
+        found = _owners_in_slices(h_tickers.withColumn("_h", text), "_h", words, slices, words=False).drop("_h")
+
+    row_id = _text_id("headline", "tickers").alias("_id")
+    own = F.transform("_found", lambda f: f["word"])
+    keys = found.select(row_id, own.alias("_own"), F.posexplode("tickers").alias("at", "ticker")).select(
+        "_id", "at", "ticker", F.explode(F.filter("_own", lambda k: may_hold(F.col("ticker"), k))).alias("keyword")
     )
-    entry = F.struct("at", "position", "keyword", "context")
+    entry = F.struct("at", "position", "keyword", "context", "times")
+    # Rows alike have the same notes: a set keeps them once.
     candidates = (
-        keys.join(keyed, ["ticker", "_key"])
+        keys.join(keyed, ["ticker", "keyword"])
         .groupBy("_id", F.xxhash64("_id").alias("_hash"))
-        .agg(F.collect_list(entry).alias("_cands"))
+        .agg(F.collect_set(entry).alias("_notes"))
         .drop("_hash")
     )
-    joined = rows.join(candidates, "_id", "left").withColumn("_h", F.lower(strip(F.col("headline"))))
-    hits = F.filter(F.array_sort("_cands"), lambda c: F.contains(F.col("_h"), c["keyword"]))
-    context = _context_text(F.transform(hits, lambda c: c["context"]))
-    return joined.withColumn("context", context).drop("_id", "_h", "_cands")
+    joined = h_tickers.withColumn("_id", row_id).join(candidates, "_id", "left")
+    parts = F.flatten(F.transform(F.array_sort("_notes"), lambda c: F.array_repeat(c["context"], c["times"])))
+    return joined.withColumn("context", _context_text(parts)).drop("_id", "_notes")
 
 
 def headline_context(h_tickers: DataFrame, contexts: DataFrame, strategy: str = "auto") -> DataFrame:
