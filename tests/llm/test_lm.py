@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickertide.llm import lm
@@ -125,3 +126,60 @@ def test_every_training_text_is_learned_from_once(spark, monkeypatch):
     again = lm.train_network(docs, voc)
     assert all((a == b).all() for a, b in zip(net.weights(), again.weights(), strict=True))
     assert any((a != b).any() for a, b in zip(net.weights(), lm.Network(voc).weights(), strict=True))
+
+
+def test_long_texts_do_not_run_on_alone(monkeypatch):
+    """A long text that comes last still shares its windows with the others; all tokens are learned from."""
+    rng = np.random.default_rng(0)
+    sizes = [*rng.integers(1, 60, 2000), 50 * lm.WINDOW]
+    texts = [rng.integers(0, 2144, k).astype(np.int16) for k in sizes]
+    seen = []
+
+    def window(self, ids, klass, member, on, h, rate, memory):
+        seen.append(ids[on])
+        return h
+
+    monkeypatch.setattr(lm.Network, "train_window", window)
+    net = lm.Network.__new__(lm.Network)
+    assert lm._train(texts, net, 0.1, {}) == sum(sizes)
+    assert sorted(np.concatenate(seen)) == sorted(np.concatenate(texts))
+    assert len(seen) <= 55
+
+
+def test_words_of_batches_are_the_tokens():
+    texts = [None, "", " a  B\t", "\n", "x\x1cy \x0b z\x0c", "Ä Ö q ÀB", "\x00 \x00A", "a\x85b"]
+    texts += [f"P{chr(c)}q R" for c in range(1, 400)]
+    words, sizes = lm.words_of(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in lm.tokens_of(t)]
+    assert sizes.tolist() == [len(lm.tokens_of(t)) for t in texts]
+
+
+def test_slices_and_repeated_rare_words(spark, monkeypatch):
+    """Batches cut into slices give the counts and scores of one."""
+    docs = spark.createDataFrame(
+        [(k, f"the rare{k % 7} rare{k % 7} word{k % 3} {'new' * (k % 4)} ") for k in range(60)] + [(None, None), (3, "")],
+        "doc_id long, text string",
+    )
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 4)
+
+    def rows():
+        # Keys of a text repeat where texts do, so rows are compared as a multiset.
+        return sorted(tuple(-1 if x is None else round(x, 4) for x in r) for r in lm.lm_scores(docs).collect())
+
+    whole = rows()
+    monkeypatch.setattr(lm, "SLICE_BYTES", 50)
+    assert rows() == whole
+
+
+def test_logits_beyond_the_range_of_exponentials():
+    """Weights whose logits overflow give finite losses and steps."""
+    voc = lm.Vocabulary({b"a": 5}, {b"a": 64}, 10, 3, 2, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
+    net = lm.Network(voc)
+    net.wc, net.bc = net.wc * 0, net.bc + 500
+    ids = np.array([[64, 0], [0, 2050]])
+    klass, member = lm._targets(ids)
+    states, _ = net.run(ids, np.zeros((2, lm.STATE), np.float32))
+    got = net.log_probs(states[:-1].reshape(-1, lm.STATE), klass.ravel(), member.ravel())
+    assert np.isfinite(got).all() and (got < 0).all()
+    net.train_window(ids, klass, member, np.ones_like(ids, bool), np.zeros((2, lm.STATE), np.float32), 0.01, {})
+    assert all(np.isfinite(w).all() for w in net.weights())

@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,17 @@ PIECE = 4096
 LANES, TRAIN_LANES = 512, 128
 # All training texts are dealt to so many rounds; each is learned from once, in its round.
 ROUNDS = 4
-# A shard of a round holds about so many tokens.
-SHARD_TOKENS = 350_000
+# A shard of a round holds about so many tokens: its longest texts then take about as many windows
+# as all lanes need for the rest.  In shards of a quarter of that most windows held a few lanes only.
+SHARD_TOKENS = 1_400_000
+# Rows whose logits are held at once when scoring; they stay in the processor's cache.
+BLOCK = 2048
+# Rows of a training window whose class logits are held at once.
+TRAIN_BLOCK = 256
 # Counts of the most frequent words are sent to every task; the others are joined.
 KNOWN_WORDS = 150_000
+# Bytes of text split into words at once; a longer text is handled alone.
+SLICE_BYTES = 1 << 23
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -45,11 +53,32 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (as in ``tokens_of``) of all texts, one text after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # White space at either end of a text leaves an empty word there.
+    some = pc.binary_length(words).to_numpy() > 0
+    if not some.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        words = words.filter(pa.array(some))
+    return words.cast(pa.binary()), sizes
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    for lo, hi in _runs(ends // SLICE_BYTES):
+        yield texts.slice(lo, hi - lo)
+
+
 def tail_class(word: bytes) -> int:
     """Classes of rare words: by their first letters, which differ between languages."""
-    head = word[:3]
-    odd = any(c > 127 for c in word)
-    return (int.from_bytes(head, "big") * 0x9E3779B1 >> 7) % (TAIL_CLASSES // 2) * 2 + odd
+    return _head_class(word[:3]) + (not word.isascii())
+
+
+@lru_cache(maxsize=50_000)
+def _head_class(head: bytes) -> int:
+    return (int.from_bytes(head, "big") * 0x9E3779B1 >> 7) % (TAIL_CLASSES // 2) * 2
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -58,9 +87,10 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for w in tokens_of(text):
-                    seen[w] = seen.get(w, 0) + 1
+            for texts in _slices(b.column(0)):
+                found = words_of(texts)[0].value_counts()
+                for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                    seen[w] = seen.get(w, 0) + n
             if len(seen) > 200_000:
                 yield emit(seen)
                 seen = {}
@@ -157,36 +187,65 @@ class Network:
 
         With ``keep`` also the gates, candidates and recurrent inputs of all steps.
         """
-        x = (self.emb @ self.wx + self.b)[ids]
-        s = STATE
+        # Gates and candidate lie apart, so that every array below is one block.
+        table, wh = np.matmul(self.emb, _by_gate(self.wx)), _by_gate(self.wh)
+        table += self.b.reshape(3, 1, STATE)
+        shape = (len(ids), *h.shape)
         states = np.empty((len(ids) + 1, *h.shape), np.float32)
         states[0] = h
-        gates = np.empty((len(ids), len(h), 2 * s), x.dtype) if keep else None
-        cands, pulls = (np.empty((2, len(ids), len(h), s), x.dtype)) if keep else (None, None)
+        gates = np.empty((2, *shape), table.dtype) if keep else None
+        cands, pulls = np.empty((2, *shape), table.dtype) if keep else (None, None)
         for t in range(len(ids)):
-            a = h @ self.wh
-            g = x[t, :, : 2 * s] + a[:, : 2 * s]
+            x = table.take(ids[t], axis=1)
+            a = np.matmul(h, wh)
+            g = x[:2]
+            g += a[:2]
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            z, r = g[:, :s], g[:, s:]
-            c = np.tanh(x[t, :, 2 * s :] + r * a[:, 2 * s :])
-            new = h + z * (c - h)
+            z, r = g
+            c = np.multiply(r, a[2])
+            c += x[2]
+            np.tanh(c, out=c)
             if keep:
-                gates[t], cands[t], pulls[t] = g, c, a[:, 2 * s :]
-            states[t + 1] = h = new
+                gates[:, t], cands[t], pulls[t] = g, c, a[2]
+            c -= h
+            c *= z
+            c += h
+            states[t + 1] = h = c
         return states, (gates, cands, pulls)
 
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of classes and members, biases as their last row; whether logits may be exponentiated as they are."""
+        wc = np.concatenate([self.wc, self.bc[None]])
+        wm = np.concatenate([self.wm, self.bm[:, None]], axis=1)
+        return wc, wm, _tame(wc) and _tame(wm)
+
     def log_probs(self, h: np.ndarray, klass: np.ndarray, member: np.ndarray) -> np.ndarray:
         """log P(class | h), and + log P(member | class, h) for head words."""
-        out = _log_softmax_at(h @ self.wc + self.bc, klass)
-        order = np.argsort(klass, kind="stable")
-        cuts = np.searchsorted(klass[order], np.arange(HEAD_CLASSES + 1))
+        wc, wm, tame = self._outputs()
+        order = np.argsort(klass.astype(np.int16), kind="stable")
+        kb, mb = klass[order], member[order]
+        hb = _with_ones(h, order)
+        cuts = np.searchsorted(kb, np.arange(HEAD_CLASSES + 1)).tolist()
+        got = np.empty(len(h))
+        room = np.empty(BLOCK * max(wc.shape[1], CLASS_WORDS), hb.dtype)
+
+        def logs(weights: np.ndarray, at: np.ndarray, lo: int, hi: int) -> Iterator[tuple[slice, np.ndarray]]:
+            for k in range(lo, hi, BLOCK):
+                part = slice(k, min(k + BLOCK, hi))
+                x = room[: (part.stop - k) * weights.shape[1]].reshape(-1, weights.shape[1])
+                np.matmul(hb[part], weights, out=x)
+                yield part, _log_softmax_at(x, at[part], tame)
+
+        for part, found in logs(wc, kb, 0, len(h)):
+            got[part] = found
         for k in range(HEAD_CLASSES):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if len(mine):
-                out[mine] += _log_softmax_at(h[mine] @ self.wm[k] + self.bm[k], member[mine])
+            for part, found in logs(wm[k], mb, cuts[k], cuts[k + 1]):
+                got[part] += found
+        out = np.empty(len(h))
+        out[order] = got
         return out
 
     def train_window(self, ids: np.ndarray, klass: np.ndarray, member: np.ndarray, on: np.ndarray, h: np.ndarray,
@@ -198,110 +257,186 @@ class Network:
         before = states[:-1].reshape(-1, STATE)
         live = np.flatnonzero(on.ravel())
         n = max(len(live), 1)
-        # By class, so that a head class's tokens are one slice.
-        live = live[np.argsort(klass.ravel()[live].astype(np.int16), kind="stable")]
-        hb, kb, mb = before[live], klass.ravel()[live], member.ravel()[live]
-        grads = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        p = _softmax(hb @ self.wc + self.bc)
-        p[np.arange(len(live)), kb] -= 1
-        grads["wc"], grads["bc"] = hb.T @ p / n, p.sum(axis=0) / n
-        dh = p @ self.wc.T
-        cuts = np.searchsorted(kb, np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            mine = slice(cuts[k], cuts[k + 1])
-            if cuts[k] < cuts[k + 1]:
-                q = _softmax(hb[mine] @ self.wm[k] + self.bm[k])
-                q[np.arange(len(q)), mb[mine]] -= 1
-                grads["wm"][k], grads["bm"][k] = hb[mine].T @ q / n, q.sum(axis=0) / n
-                dh[mine] += q @ self.wm[k].T
+        # By class and member, so that a head class's tokens are one slice, and a word's within it.
+        place = (klass * CLASS_WORDS + member).ravel()[live].astype(np.int16)
+        order = np.argsort(place, kind="stable")
+        live, place = live[order], place[order]
+        kb, mb = np.divmod(place, CLASS_WORDS)
+        firsts, starts = _starts(kb), _starts(place)
+        hb = _with_ones(before, live)
+        wc, wm, tame = self._outputs()
+        # Exponentials are divided by their sums only where few numbers are left of them; the ones of
+        # the true classes and members are taken off in the sums.
+        dh, gc = np.empty((len(live), STATE), hb.dtype), np.zeros(wc.shape, hb.dtype)
+        back_c = np.concatenate([wc[:STATE], np.ones_like(wc[:1])]).T
+        for k in range(0, len(live), TRAIN_BLOCK):
+            mine = slice(k, k + TRAIN_BLOCK)
+            p = _exp(hb[mine] @ wc, tame)
+            d = p @ back_c
+            over = 1 / d[:, STATE:]
+            np.multiply(d[:, :STATE], over, out=dh[mine])
+            gc += (hb[mine] * over).T @ p
+        dh -= wc.T[kb, :STATE]
+        gc[:, kb[firsts]] -= np.add.reduceat(hb, firsts, axis=0).T
+        cuts = np.searchsorted(kb, np.arange(HEAD_CLASSES + 1)).tolist()
+        heads = cuts[-1]
+        gm = np.zeros(wm.shape, hb.dtype)
+        if heads:
+            slices = [(k, slice(cuts[k], cuts[k + 1])) for k in range(HEAD_CLASSES) if cuts[k] < cuts[k + 1]]
+            q = np.empty((heads, CLASS_WORDS), hb.dtype)
+            for k, mine in slices:
+                np.matmul(hb[mine], wm[k], out=q[mine])
+            _exp(q, tame)
+            over = 1 / (q @ np.ones((CLASS_WORDS, 1), q.dtype))
+            scaled, dm = hb[:heads] * over, np.empty((heads, STATE), hb.dtype)
+            for k, mine in slices:
+                np.matmul(scaled[mine].T, q[mine], out=gm[k])
+                np.matmul(q[mine], self.wm[k].T, out=dm[mine])
+            dm *= over
+            dm -= self.wm.transpose(0, 2, 1)[kb[:heads], mb[:heads]]
+            dh[:heads] += dm
+            mine = starts[: np.searchsorted(starts, heads)]
+            gm[kb[mine], :, mb[mine]] -= np.add.reduceat(hb[:heads], mine, axis=0)
+        grads = {"wc": gc[:STATE] / n, "bc": gc[STATE] / n, "wm": gm[:, :STATE] / n, "bm": gm[:, STATE] / n}
         into = np.zeros_like(before)
         into[live] = dh / n
         into = into.reshape(steps, lanes, STATE)
         # What a step's gradient is multiplied by on its way to candidate, gates and state.
-        z, r, h0 = gates[..., :STATE], gates[..., STATE:], states[:-1]
-        to_c, to_z, to_r = z * (1 - c * c), (c - h0) * z * (1 - z), a * r * (1 - r)
+        (z, r), h0 = gates, states[:-1]
         stay = 1 - z
+        to_c, to_z, to_r = z * (1 - c * c), (c - h0) * z * stay, a * r * (1 - r)
         back = np.zeros((lanes, STATE), np.float32)
-        da, dx = np.empty((2, steps, lanes, 3 * STATE), np.float32)
+        da, dc = np.empty((3, steps, lanes, STATE), np.float32), np.empty((steps, lanes, STATE), np.float32)
+        wh, wx = _by_gate(self.wh).transpose(0, 2, 1), _by_gate(self.wx).transpose(0, 2, 1)
         for t in range(steps - 1, -1, -1):
-            own = da[t]
-            dc = np.multiply(back, to_c[t], out=dx[t, :, 2 * STATE :])
-            np.multiply(back, to_z[t], out=own[:, :STATE])
-            np.multiply(dc, to_r[t], out=own[:, STATE : 2 * STATE])
-            np.multiply(dc, r[t], out=own[:, 2 * STATE :])
-            back = back * stay[t] + own @ self.wh.T + into[t]
-        dx[..., : 2 * STATE] = da[..., : 2 * STATE]
-        grads["wh"] = h0.reshape(-1, STATE).T @ da.reshape(-1, 3 * STATE)
-        flat, used = dx.reshape(-1, 3 * STATE), ids.ravel().astype(np.int16)
-        grads["b"] = flat.sum(axis=0)
-        # Gradients of a token's input are summed before they go through the weights.
-        order = np.argsort(used, kind="stable")
-        used = used[order]
-        starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
-        sums, rows = np.add.reduceat(flat[order], starts, axis=0), used[starts]
-        grads["wx"] = self.emb[rows].T @ sums
-        grads["emb"][rows] = sums @ self.wx.T
+            np.multiply(back, to_c[t], out=dc[t])
+            np.multiply(back, to_z[t], out=da[0, t])
+            np.multiply(dc[t], to_r[t], out=da[1, t])
+            np.multiply(dc[t], r[t], out=da[2, t])
+            back = back * stay[t]
+            for own in np.matmul(da[:, t], wh):
+                back += own
+            back += into[t]
+        grads["wh"] = _side_by_side(np.matmul(h0.reshape(-1, STATE).T, da.reshape(3, -1, STATE)))
+        # Candidates meet their inputs unweighted.
+        da[2] = dc
+        flat, used = da.reshape(3, -1, STATE), ids.ravel()
+        grads["b"] = np.matmul(np.ones((1, flat.shape[1]), flat.dtype), flat).ravel()
+        grads["wx"] = _side_by_side(np.matmul(self.emb.take(used, axis=0).T, flat))
+        # What follows the end of a text has no gradient, so the live tokens' are all.
+        words = np.matmul(flat, wx).sum(axis=0).take(live, axis=0)
+        grads["emb"] = np.zeros_like(self.emb)
+        grads["emb"][used[live[starts]]] = np.add.reduceat(words, starts, axis=0)
         self._adam(grads, rate, memory)
         return states[-1]
 
     def _adam(self, grads: dict, rate: float, memory: dict) -> None:
         memory["t"] = memory.get("t", 0) + 1
         t = memory["t"]
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
-        for k, g in grads.items():
-            g *= scale
-            m, v = memory.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            g *= g
-            v += 0.01 * (g - v)
-            step = np.sqrt(v)
-            step *= 1 / math.sqrt(1 - 0.99**t)
-            step += 1e-8
-            np.divide(m, step, out=step)
-            step *= rate / (1 - 0.9**t)
-            setattr(self, k, (getattr(self, k) - step).astype(np.float32))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    # Logits beyond 80 would overflow; none that training reaches is near.
-    np.clip(x, -80, 80, out=x)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
-
-
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    np.clip(x, -80, 80, out=x)
+        g = np.concatenate([grads[k].ravel() for k in self.NAMES])
+        g *= min(1.0, 1.0 / max(math.sqrt(float(g @ g)), 1e-9))
+        m, v = memory.setdefault("moments", (np.zeros_like(g), np.zeros_like(g)))
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        g *= 0.01
+        v *= 0.99
+        v += g
+        step = np.sqrt(v, out=g)
+        step *= 1 / math.sqrt(1 - 0.99**t)
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= rate / (1 - 0.9**t)
+        flat = np.concatenate([w.ravel() for w in self.weights()])
+        flat -= step
+        self.load(_unpack(flat, self.weights()))
+
+
+def _unpack(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """Views of ``flat`` in the shapes of ``like``, one after the other."""
+    cuts = np.cumsum([w.size for w in like])[:-1]
+    return [part.reshape(w.shape) for part, w in zip(np.split(flat, cuts), like, strict=True)]
+
+
+def _by_gate(w: np.ndarray) -> np.ndarray:
+    """Columns of gates z and r and of the candidate apart: 3 x rows x STATE."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, STATE).transpose(1, 0, 2))
+
+
+def _side_by_side(w: np.ndarray) -> np.ndarray:
+    return w.transpose(1, 0, 2).reshape(w.shape[1], -1)
+
+
+def _with_ones(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows ``at`` of ``h`` with a last column of ones, which meets the biases."""
+    out = np.ones((len(at), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h[at]
+    return out
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+
+
+def _tame(weights: np.ndarray) -> bool:
+    """Whether exponentials of all logits of states within [-1, 1] stay finite, and some above zero."""
+    reach, bias = np.abs(weights[..., :-1, :]).sum(axis=-2), weights[..., -1, :]
+    return bool((bias + reach).max() < 60 and (bias - reach).max(axis=-1).min() > -60)
+
+
+def _exp(x: np.ndarray, tame: bool) -> np.ndarray:
+    """Exponentials in place; a row's are scaled by a common factor unless ``tame``."""
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at].astype(np.float64)
-    np.exp(x, out=x)
-    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+    return own - np.log(_exp(x, True) @ np.ones(x.shape[1], x.dtype))
+
+
+@dataclass
+class Coded:
+    """Texts as places; what is kept word by word lies one text after the other."""
+
+    sizes: np.ndarray  # words of each text
+    index: np.ndarray  # of each word in the known ones (-1: not there)
+    places: np.ndarray  # of each word
+    lost: np.ndarray  # where words are not known
+    rare: pa.DictionaryArray  # those words
+
+    def texts(self) -> list[np.ndarray]:
+        """The places of each text with its end (0)."""
+        ends = np.cumsum(self.sizes + 1)
+        out = np.zeros(len(self.places) + len(ends), np.int16)
+        word = np.ones(len(out), bool)
+        word[ends - 1] = False
+        out[word] = self.places
+        return np.split(out, ends[:-1])
 
 
 class Coder:
-    """Tokens to places: one look-up a token; what follows from it is done for whole texts."""
+    """Texts to places: one look-up a word, for many texts at once."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
         known = vocabulary.known
-        self.index = {w: k for k, w in enumerate(known)}
+        self.words = pa.array(list(known), pa.binary())
         self.logs = np.log10(np.array(list(known.values()), dtype=np.float64) + 1)
         base = HEAD_CLASSES * CLASS_WORDS
-        self.place = np.array([vocabulary.head.get(w, base + tail_class(w)) for w in known], dtype=np.int32)
-
-    def __reduce__(self):
-        return Coder, (self.vocabulary,)
+        self.place = np.array([vocabulary.head.get(w, base + tail_class(w)) for w in known], dtype=np.int16)
 
-    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Index in ``known`` (-1: not there) of each token; input places of all and the text end (0)."""
-        index = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
-        places = np.zeros(len(tokens) + 1, dtype=np.int32)
-        if len(self.place):
-            places[:-1] = self.place[index]
-        base = HEAD_CLASSES * CLASS_WORDS
-        for k in np.flatnonzero(index < 0).tolist():
-            places[k] = base + tail_class(tokens[k])
-        return index, places
+    def encode(self, texts: pa.Array) -> Coded:
+        words, sizes = words_of(texts)
+        index = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        places = self.place[index] if len(self.place) else np.zeros(len(words), np.int16)
+        lost = np.flatnonzero(index < 0)
+        rare = words.take(pa.array(lost)).dictionary_encode()
+        classes = np.array([tail_class(w) for w in rare.dictionary.to_pylist()], dtype=np.int16)
+        places[lost] = HEAD_CLASSES * CLASS_WORDS + classes[rare.indices.to_numpy()]
+        return Coded(sizes, index, places, lost, rare)
 
 
 def _targets(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,28 +451,28 @@ def _lanes(texts: list[np.ndarray], window: int, lanes: int) -> Iterator[tuple[n
     A lane takes the next text when its own ends, so texts of any length share one stream and a
     text's state is carried from window to window.  Texts start at the start of a window.
     """
-    todo = iter(range(len(texts)))
+    if not texts:
+        return
+    flat = np.concatenate(texts)
+    ends = np.cumsum([len(t) for t in texts])
     lane = np.full(lanes, -1)
-    at = np.zeros(lanes, dtype=np.int64)
+    at, end = np.zeros((2, lanes), dtype=np.int64)
+    given = 0
     while True:
-        fresh = np.zeros(lanes, dtype=bool)
-        for k in np.flatnonzero(lane < 0):
-            lane[k] = next(todo, -1)
-            at[k], fresh[k] = 0, True
+        free = np.flatnonzero(lane < 0)
+        fresh = lane < 0
+        take = free[: len(texts) - given]
+        lane[take] = np.arange(given, given + len(take))
+        given += len(take)
+        end[take] = ends[lane[take]]
+        at[take] = end[take] - [len(texts[k]) for k in lane[take]]
         if (lane < 0).all():
             return
-        busy = np.flatnonzero(lane >= 0)
-        ids = np.zeros((window, lanes), dtype=np.int32)
-        on = np.zeros((window, lanes), dtype=bool)
-        for k in busy:
-            part = texts[lane[k]][at[k] : at[k] + window]
-            ids[: len(part), k] = part
-            on[: len(part), k] = True
-        yield ids, lane.copy(), fresh, on
-        at[busy] += window
-        for k in busy:
-            if at[k] >= len(texts[lane[k]]):
-                lane[k] = -1
+        places = at + np.arange(window)[:, None]
+        on = places < end
+        yield np.where(on, flat[np.minimum(places, len(flat) - 1)], 0), lane.copy(), fresh, on
+        at += window
+        lane[at >= end] = -1
 
 
 def network_scores(texts: list[np.ndarray], net: Network) -> np.ndarray:
@@ -353,17 +488,28 @@ def network_scores(texts: list[np.ndarray], net: Network) -> np.ndarray:
         h[used] = states[-1]
         klass, member = _targets(ids)
         live = np.flatnonzero(on.ravel())
-        got = net.log_probs(states[:-1].reshape(-1, STATE)[live], klass.ravel()[live], member.ravel()[live])
-        np.add.at(total, lane[used][live % len(used)], got)
+        got = np.zeros(on.size)
+        got[live] = net.log_probs(states[:-1].reshape(-1, STATE)[live], klass.ravel()[live], member.ravel()[live])
+        total[lane[used]] += got.reshape(on.shape).sum(axis=0)
     out = np.zeros(len(texts))
     out[order] = total
     return out
 
 
+def _long_first(texts: list[np.ndarray], lanes: int) -> list[np.ndarray]:
+    """Texts above half a lane's share of the tokens first, the longest ahead; the others as given.
+
+    Started late, a long text would run on in windows that all other lanes have left.
+    """
+    half = sum(len(t) for t in texts) / lanes / 2
+    long = sorted((t for t in texts if len(t) > half), key=len, reverse=True)
+    return long + [t for t in texts if len(t) <= half]
+
+
 def _train(texts: list[np.ndarray], net: Network, rate: float, memory: dict) -> int:
     h = np.zeros((TRAIN_LANES, STATE), np.float32)
     tokens = 0
-    for ids, lane, fresh, on in _lanes(texts, WINDOW, TRAIN_LANES):
+    for ids, lane, fresh, on in _lanes(_long_first(texts, TRAIN_LANES), WINDOW, TRAIN_LANES):
         h[fresh] = 0
         used = np.flatnonzero(lane >= 0)
         ids, on = ids[:, used], on[:, used]
@@ -398,9 +544,11 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary) -> Network:
         rate = 0.02 * 0.5**k
 
         def fit(batches: Iterator[pa.RecordBatch], net: Network = net, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            own, memory, tokens, shard = net, {}, 0, -1
+            texts, shard = [], -1
 
             def result() -> pa.RecordBatch:
+                own = Network.__new__(Network).load(start)
+                tokens = _train(texts, own, rate, {})
                 flat = np.concatenate([w.ravel() for w in own.weights()])
                 pieces = [flat[k : k + PIECE].astype("<f4").tobytes() for k in range(0, len(flat), PIECE)]
                 return pa.RecordBatch.from_arrays(
@@ -418,12 +566,12 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary) -> Network:
                 shards_of = b.column(1).to_numpy()
                 for lo, hi in _runs(shards_of):
                     if shards_of[lo] != shard:
-                        if tokens:
+                        if texts:
                             yield result()
-                        own, memory, tokens, shard = Network.__new__(Network).load(start), {}, 0, int(shards_of[lo])
-                    texts = [coder.encode(tokens_of(t))[1] for t in b.column(0).slice(lo, hi - lo).to_pylist()]
-                    tokens += _train(texts, own, rate, memory)
-            if tokens:
+                        texts, shard = [], int(shards_of[lo])
+                    for part in _slices(b.column(0).slice(lo, hi - lo)):
+                        texts += coder.encode(part).texts()
+            if texts:
                 yield result()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,11 +603,8 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary) -> Network:
             .sort_by("part")
         )
         if len(means):
-            flat, at, weights = np.frombuffer(b"".join(means["weights"].to_pylist()), "<f4"), 0, []
-            for w in net.weights():
-                weights.append(flat[at : at + w.size].reshape(w.shape).copy())
-                at += w.size
-            net = Network(vocabulary).load(weights)
+            flat = np.frombuffer(b"".join(means["weights"].to_pylist()), "<f4")
+            net = Network(vocabulary).load(_unpack(flat, net.weights()))
     return net
 
 
@@ -486,44 +631,47 @@ def lm_scores(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
     texts = training.count()
     voc = build_vocabulary(counts, texts)
     net = train_network(training, voc)
-    n, v = voc.tokens, voc.words
-    head, coder = voc.head, Coder(voc)
+    n, v, ends, coder = voc.tokens, voc.words, voc.ends, Coder(voc)
     log_total = math.log10(n + v + 1) if n + v + 1 > 0 else 0.0
-    log_tail = np.log(np.maximum(voc.tail_tokens, 0) + voc.tail_words + 1)
-    end_base = math.log10(voc.ends + 1)
+    end_base = math.log10(ends + 1)
+    # By known word, and 0 for the others: all logs, and those of the words outside the head, which
+    # are the first of the known ones.  By place: what a tail word's share of its class divides by.
+    logs = np.append(coder.logs, 0.0)
+    tail_logs = np.where(np.arange(len(logs)) < len(voc.head), 0.0, logs)
+    shares = np.zeros(HEAD_CLASSES * CLASS_WORDS + TAIL_CLASSES)
+    shares[-TAIL_CLASSES:] = np.log10(np.maximum(voc.tail_tokens, 0) + voc.tail_words + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(1).to_pylist()
-            for lo in range(0, len(values), SCORE_TEXTS):
-                texts, sizes, knowns, bases, extra, rare = [], [], [], [], [], []
-                for t in values[lo : lo + SCORE_TEXTS]:
-                    tokens = tokens_of(t)
-                    index, places = coder.encode(tokens)
-                    texts.append(places)
-                    have = index[index >= 0]
-                    logs = coder.logs[have]
-                    miss: dict[bytes, int] = {}
-                    for k in np.flatnonzero(index < 0).tolist():
-                        miss[tokens[k]] = miss.get(tokens[k], 0) + 1
-                    at = places - HEAD_CLASSES * CLASS_WORDS
-                    # The head words are the first of the known ones.
-                    extra.append(logs[have >= len(head)].sum() - log_tail[at[at >= 0]].sum() / math.log(10))
-                    sizes.append(len(tokens) + 1)
-                    knowns.append(len(have) + int(voc.ends > 0))
-                    bases.append(end_base + logs.sum() - (len(tokens) + 1) * log_total)
-                    rare.append(miss)
-                net_scores = network_scores(texts, net) / math.log(10) + np.array(extra)
+            for lo in range(0, b.num_rows, SCORE_TEXTS):
+                texts, sizes, knowns, bases, extra, rare, times = [], [], [], [], [], [], []
+                for part in _slices(b.column(1).slice(lo, SCORE_TEXTS)):
+                    coded = coder.encode(part)
+                    rows = len(part)
+                    doc = np.repeat(np.arange(rows), coded.sizes)
+                    texts += coded.texts()
+                    sizes.append(coded.sizes + 1)
+                    knowns.append(coded.sizes - np.bincount(doc[coded.lost], minlength=rows) + int(ends > 0))
+                    sums = np.bincount(doc, logs[coded.index], minlength=rows)
+                    bases.append(end_base + sums - sizes[-1] * log_total)
+                    extra.append(np.bincount(doc, tail_logs[coded.index] - shares[coded.places], minlength=rows))
+                    kinds = len(coded.rare.dictionary)
+                    keys, often = np.unique(doc[coded.lost] * kinds + coded.rare.indices.to_numpy(), return_counts=True)
+                    cuts = np.searchsorted(keys, np.arange(rows + 1) * kinds).astype(np.int32)
+                    words = coded.rare.dictionary.take(pa.array(keys % max(kinds, 1)))
+                    rare.append(pa.ListArray.from_arrays(cuts, words))
+                    times.append(pa.ListArray.from_arrays(cuts, pa.array(often, pa.int32())))
+                net_scores = network_scores(texts, net) / math.log(10) + np.concatenate(extra)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, len(texts)),
                         b.column(2).slice(lo, len(texts)),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(knowns, pa.int64()),
-                        pa.array(bases, pa.float64()),
+                        pa.array(np.concatenate(sizes), pa.int64()),
+                        pa.array(np.concatenate(knowns), pa.int64()),
+                        pa.array(np.concatenate(bases), pa.float64()),
                         pa.array(net_scores, pa.float64()),
-                        pa.array([list(m.keys()) for m in rare], pa.list_(pa.binary())),
-                        pa.array([list(m.values()) for m in rare], pa.list_(pa.int32())),
+                        pa.concat_arrays(rare),
+                        pa.concat_arrays(times),
                     ],
                     names=["doc_id", "text_key", "n_tokens", "n_known", "base", "network", "words", "times"],
                 )
