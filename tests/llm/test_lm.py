@@ -183,3 +183,16 @@ def test_logits_beyond_the_range_of_exponentials():
     assert np.isfinite(got).all() and (got < 0).all()
     net.train_window(ids, klass, member, np.ones_like(ids, bool), np.zeros((2, lm.STATE), np.float32), 0.01, {})
     assert all(np.isfinite(w).all() for w in net.weights())
+
+
+def test_known_words_with_ties(spark, monkeypatch):
+    """The most frequent words, ties by the word itself, wherever the limit falls among equal counts."""
+    texts = ["a a a b b c c d d e e f g h", "i"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.count_tokens(docs)
+    words = sorted(((r.word, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
+    for limit in (1, 3, 5, 7, 100):
+        monkeypatch.setattr(lm, "KNOWN_WORDS", limit)
+        voc = lm.build_vocabulary(counts, 2)
+        assert list(voc.known.items()) == [(bytes(w), n) for w, n in words[:limit]]
+        assert (voc.tokens, voc.words) == (15 + 2, 9 + 1)

@@ -131,9 +131,13 @@ class Vocabulary:
 def build_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """From ``word, n`` of all training tokens and the number of training texts."""
     klass = F.arrow_udf(lambda w: pa.array([tail_class(x) for x in w.to_pylist()], pa.int32()), "int")
-    totals = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    # How many words occur how often; there are few different counts.
+    often = counts.groupBy("n").agg(F.count("*").alias("m")).toArrow().sort_by([("n", "descending")])
+    times, many = often["n"].to_numpy(), often["m"].to_numpy()
+    # The count of the last known word, so that only such words are ordered.
+    least = int(times[min(np.searchsorted(np.cumsum(many), KNOWN_WORDS), len(times) - 1)]) if len(times) else 0
     # At most KNOWN_WORDS rows.
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
     known = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     order = [w for w, _ in zip(known, range(HEAD_WORDS), strict=False)]
     # Dealt round, so that every class holds frequent and rare words; place 0 is the text end.
@@ -148,7 +152,7 @@ def build_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
         tail_tokens[tail_class(w)] -= known[w]
         tail_words[tail_class(w)] -= 1
     return Vocabulary(
-        known, head, int(totals["tokens"]) + texts, int(totals["words"]) + (texts > 0), texts, tail_tokens, tail_words
+        known, head, int(times @ many) + texts, int(many.sum()) + (texts > 0), texts, tail_tokens, tail_words
     )
 
 
@@ -445,11 +449,14 @@ def _targets(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(tail, HEAD_CLASSES + ids - base, ids // CLASS_WORDS), np.where(tail, 0, ids % CLASS_WORDS)
 
 
-def _lanes(texts: list[np.ndarray], window: int, lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _lanes(
+    texts: list[np.ndarray], window: int, lanes: int, most: int = 1
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of side-by-side texts: places (steps x lanes), text of each lane, fresh, on.
 
     A lane takes the next text when its own ends, so texts of any length share one stream and a
-    text's state is carried from window to window.  Texts start at the start of a window.
+    text's state is carried from window to window.  Texts start at the start of a window.  When
+    texts have run out, windows of fewer lanes take more steps, up to ``most`` times as many.
     """
     if not texts:
         return
@@ -468,10 +475,14 @@ def _lanes(texts: list[np.ndarray], window: int, lanes: int) -> Iterator[tuple[n
         at[take] = end[take] - [len(texts[k]) for k in lane[take]]
         if (lane < 0).all():
             return
-        places = at + np.arange(window)[:, None]
+        steps = window
+        if given == len(texts):
+            left = (end - at)[lane >= 0]
+            steps = min(window * min(most, lanes // len(left)), max(window, int(left.max())))
+        places = at + np.arange(steps)[:, None]
         on = places < end
         yield np.where(on, flat[np.minimum(places, len(flat) - 1)], 0), lane.copy(), fresh, on
-        at += window
+        at += steps
         lane[at >= end] = -1
 
 
@@ -480,7 +491,7 @@ def network_scores(texts: list[np.ndarray], net: Network) -> np.ndarray:
     total = np.zeros(len(texts))
     h = np.zeros((LANES, STATE), np.float32)
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    for ids, lane, fresh, on in _lanes([texts[k] for k in order], SCORE_WINDOW, LANES):
+    for ids, lane, fresh, on in _lanes([texts[k] for k in order], SCORE_WINDOW, LANES, most=16):
         h[fresh] = 0
         used = np.flatnonzero(lane >= 0)
         ids, on = ids[:, used], on[:, used]
@@ -665,7 +676,6 @@ def lm_scores(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, len(texts)),
-                        b.column(2).slice(lo, len(texts)),
                         pa.array(np.concatenate(sizes), pa.int64()),
                         pa.array(np.concatenate(knowns), pa.int64()),
                         pa.array(np.concatenate(bases), pa.float64()),
@@ -673,34 +683,28 @@ def lm_scores(docs: DataFrame, learnable: Column | None = None) -> DataFrame:
                         pa.concat_arrays(rare),
                         pa.concat_arrays(times),
                     ],
-                    names=["doc_id", "text_key", "n_tokens", "n_known", "base", "network", "words", "times"],
+                    names=["doc_id", "n_tokens", "n_known", "base", "network", "words", "times"],
                 )
 
-    scored = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+    scored = docs.mapInArrow(
         score,
-        "doc_id long, text_key long, n_tokens long, n_known long, base double, network double, "
+        "doc_id long, n_tokens long, n_known long, base double, network double, "
         "words array<binary>, times array<int>",
     )
-    scored = cut_lineage(scored, "scored")
-    # The counts of the other words: joined by word, summed by text before they move again.
-    rare = scored.select(
-        "doc_id", "text_key", F.explode(F.arrays_zip("words", "times")).alias("w")
-    ).select("doc_id", "text_key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    # Numbered as they are written, so a row's words find back to it.
+    scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # The counts of the other words: joined by word, summed by row before they move again.
     lost = (
-        rare.groupBy("doc_id", "text_key", "word")
-        .agg(F.first("times").alias("times"))
+        scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
+        .select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
         .join(counts, "word")
-        .groupBy("doc_id", "text_key")
+        .groupBy("row")
         .agg(F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("lift"))
     )
     sure = F.coalesce(F.col("lift"), F.lit(0.0))
     return (
         scored.drop("words", "times")
-        .join(
-            lost.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found", "lift"),
-            F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")),
-            "left",
-        )
+        .join(lost, "row", "left")
         .select(
             "doc_id",
             out_.alias("held_out"),
