@@ -368,10 +368,12 @@ def match_tickers_token(spark, d):
 def match_tickers_many(spark, d):
     """Three stretches of every text as keywords, far more than are planned into a scan."""
     raw = b.raw_headlines(spark, d)
-    h = text.normalize_headline(F.col("headline"))
-    parts = [F.trim(F.substring(h, at, size)) for at, size in ((1, 12), (13, 9), (40, 7))]
+    stretches = text.let(
+        text.normalize_headline(F.col("headline")),
+        lambda h: F.array(*(F.trim(F.substring(h, at, size)) for at, size in ((1, 12), (13, 9), (40, 7)))),
+    )
     lex = (
-        raw.select(F.explode(F.array(*parts)).alias("keyword"))
+        raw.select(F.explode(stretches).alias("keyword"))
         .where(r"keyword like '% %' or keyword rlike '^[\\p{L}\\p{N}_]+$'")
         .distinct()
         .select(

@@ -272,3 +272,50 @@ def test_notes_by_key_move_no_text(spark, monkeypatch, letters):
     assert "regexp_extract_all" not in plan
     moved = [line for line in plan.split("\n") if "Exchange" in line]
     assert moved and not any("headline" in line for line in moved)
+
+
+@pytest.mark.parametrize("dealt", [16, 1])
+def test_windows_find_what_a_plain_search_finds(spark, monkeypatch, dealt):
+    """Keywords of all lengths, nested, overlapping, of several owners; texts across blocks, in one slice and in several."""
+    monkeypatch.setattr(automaton, "AUTOMATON_LETTERS", 500)
+    monkeypatch.setattr(matching.windows, "DEALT", dealt)
+    rng = random.Random(9)
+    letters = "abcé𝔘_1-. "
+    words = {"".join(rng.choices(letters, k=rng.choice([1, 2, 3, 5, 8, 17, 20, 33, 40, 70]))).strip() for _ in range(1500)}
+    words = sorted(words - {""})
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))).split()) for _ in range(200)]
+    texts = [" ".join(rng.sample(texts, 6) + rng.sample(words, 4)) for _ in range(80)]
+    texts += ["", None, "b" * 140_000 + f" {words[5]} " + "c" * 140_000, *words[:30], "\0 a\0"]
+    entries = [(w, f"T{len(w) % 4}", k % 3 == 0) for k, w in enumerate(words)] + [(w, None, None) for w in words[::5]]
+    table = spark.createDataFrame(entries * 2, "keyword string, ticker string, partner boolean").repartition(3)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    out = matching.find_owners(rows, "t", table)
+    assert out.columns == ["i", "t", "_found"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Rows are dealt over the tasks by this test alone: matching moves none.
+    assert "MapInArrow" in plan and plan.count("Exchange") == rows._jdf.queryExecution().executedPlan().toString().count(
+        "Exchange"
+    )
+    got = {r.i: sorted(((f.ticker, f.partner) for f in r._found), key=repr) for r in out.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        hits = {w for w in words if t and plain_found(t, w)}
+        want[i] = sorted({(ticker, partner) for w, ticker, partner in entries if w in hits}, key=repr)
+    assert got == want
+
+
+def test_windows_with_equal_hashes_are_told_apart(spark, tmp_path, monkeypatch):
+    """A hash leads to keywords, whose letters count."""
+    w = matching.windows
+    monkeypatch.setattr(w, "_hashes", lambda points: w.np.full(len(points), 7, w.np.uint64))
+    entries = w.pa.table({"keyword": ["a b", "c d", "e f"], "ticker": ["A", "C", "E"]})
+    codes, firsts = w._write(str(tmp_path / "k"), iter([entries]), True)
+    tables = w.Tables(str(tmp_path / "k"), firsts)
+    (table,) = tables.of[3]
+    points = w._points(f"{w.GAP}c d c d a b{w.GAP}")
+    places = w.np.array([1, 3, 5, 9])
+    found, at = table.found(points, places, w.np.full(4, 7, w.np.uint64))
+    right = table.checked(points, found, at)
+    assert sorted((p, list(codes.owners)[table.codes[k]][0]) for p, k in zip(found[right], at[right])) == [
+        (1, "C"), (5, "C"), (9, "A")
+    ]

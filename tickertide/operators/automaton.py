@@ -16,9 +16,6 @@ from pyspark.sql.types import ArrayType, StructType
 # Letters of all keywords together that an automaton may have: about 100 MB in each worker.
 AUTOMATON_LETTERS = 2_000_000
 
-# Where only the keywords' owners are found, a letter takes 14 bytes: so many times as many.
-OWNED = 4
-
 # The worker's automata by name; a new one takes the place of the oldest.
 _built: dict[str, object] = {}
 KEPT = 4
@@ -39,14 +36,11 @@ def fits(entries: DataFrame) -> bool:
     return _letters(entries) <= AUTOMATON_LETTERS
 
 
-def slices_for(entries: DataFrame, times: int = OWNED) -> int:
-    """Into how many automata a table must be dealt whose owners alone are found, by measured size.
-
-    ``times`` the usual letters fit; 1 where the keywords have owners of their own.
-    """
+def slices_for(entries: DataFrame) -> int:
+    """Into how many automata a table must be dealt whose owners alone are found, by measured size."""
     keyword, *owner = entries.columns
     letters = _letters(entries.select(keyword).distinct()) + _letters(entries.select(*owner).distinct())
-    return max(1, math.ceil(letters / (times * AUTOMATON_LETTERS)))
+    return max(1, math.ceil(letters / AUTOMATON_LETTERS))
 
 
 def _is_word(letter: str) -> bool:
@@ -93,6 +87,15 @@ def _rows_type(schema: StructType) -> pa.DataType:
     return pa.list_(pa.struct(list(to_arrow_schema(schema))))
 
 
+def _rows_automaton(name: str, sent: object, words: bool) -> object | None:
+    # Here, as what a nested function names is sent with it, and each task would get new dictionaries.
+    if name not in _built:
+        while len(_built) >= KEPT:
+            _built.pop(next(iter(_built)))
+        _built[name] = _compiled(sent.value, words)
+    return _built[name]
+
+
 def keyword_finder(entries: DataFrame, words: bool = True) -> Callable[[Column], Column]:
     """A function from a text column to the array of all rows of ``entries`` whose keyword occurs.
 
@@ -107,11 +110,7 @@ def keyword_finder(entries: DataFrame, words: bool = True) -> Callable[[Column],
 
     @F.arrow_udf(ArrayType(schema))
     def find(texts: pa.Array) -> pa.Array:
-        if name not in _built:
-            while len(_built) >= KEPT:
-                _built.pop(next(iter(_built)))
-            _built[name] = _compiled(sent.value, words)
-        automaton = _built[name]
+        automaton = _rows_automaton(name, sent, words)
         if automaton is None:
             return pa.array([[]] * len(texts), kind)
         out = [
@@ -172,7 +171,8 @@ class _Owners:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.rows.take(flat))
 
 
-def _owners(kept: dict[str, object], most: int, name: str, entries: object, words: bool) -> _Owners:
+def _owners(name: str, entries: object, words: bool, in_slices: bool = False) -> _Owners:
+    kept, most = (_slice, 1) if in_slices else (_built, KEPT)
     if name not in kept:
         while len(kept) >= most:
             kept.pop(next(iter(kept)))
@@ -190,7 +190,7 @@ def owner_finder(entries: DataFrame, words: bool = True) -> Callable[[Column], C
 
     @F.arrow_udf(ArrayType(StructType(entries.schema.fields[1:])))
     def find(texts: pa.Array) -> pa.Array:
-        return _owners(_built, KEPT, name, sent, words).of_texts(texts)
+        return _owners(name, sent, words).of_texts(texts)
 
     return find.asNondeterministic()
 
@@ -201,7 +201,7 @@ def owners_by_id(texts: DataFrame, entries: DataFrame, words: bool = True) -> Da
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _owners(_slice, 1, name, sent, words).of_texts(b.column(1))
+            own = _owners(name, sent, words, True).of_texts(b.column(1))
             hit = pa.compute.greater(pa.compute.list_value_length(own), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), own], names=["_id", "_own"]).filter(hit)
 

@@ -18,7 +18,7 @@ from tickertide.functions.text import (
     strip,
     word_tokens,
 )
-from tickertide.operators import automaton
+from tickertide.operators import automaton, windows
 from tickertide.schemas import PARTNER_ROLES
 from tickertide.session import cut_lineage
 
@@ -190,7 +190,7 @@ def find_owners(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "
     """Add ``_found``: the distinct ticker, partner and ai of the keywords present in ``text``.
 
     As ``find_keywords``, but the keywords themselves are left out, so that a table beyond the
-    bound needs no join on keys: its slices are searched for, each by an automaton.
+    bound needs no join on keys: the windows of a text are looked up in tables of any size.
     """
     if strategy == "token":
         return find_keywords(df, text, keywords, strategy)
@@ -199,7 +199,7 @@ def find_owners(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "
     slices = automaton.slices_for(keywords)
     if slices == 1:
         return df.withColumn("_found", automaton.owner_finder(keywords)(F.col(text)))
-    return _owners_in_slices(df, text, keywords, slices)
+    return windows.with_owners(df, text, keywords, slices)
 
 
 def _with_found(
@@ -285,7 +285,7 @@ def _context_by_key(h_tickers: DataFrame, notes: DataFrame) -> DataFrame:
     slots = keyed.agg(F.collect_set(_slot(F.col("ticker"), F.col("keyword"))).alias("slots")).first().slots
     may_hold = _may_hold(slots)
     words = notes.select("keyword", F.col("keyword").alias("word")).distinct()
-    slices = automaton.slices_for(words, 1)
+    slices = automaton.slices_for(words)
     text = F.lower(strip(F.col("headline")))
     if slices == 1:
         found = h_tickers.withColumn("_found", automaton.owner_finder(words, words=False)(text))
