@@ -159,3 +159,20 @@ def test_a_merge_writes_the_batches_of_one_level(spark, tmp_path):
     names = keyed.table_state(spark, path).batches
     assert sorted(keyed._level(n) for n in names) == [1, 2]
     assert stored(spark, path) == [(f"n{k}", "p", k) for k in range(6)]
+
+
+def test_few_digests_go_to_few_tasks(spark, tmp_path, monkeypatch):
+    """A shuffle of a small batch to all tasks of the session costs a file for each; keys are kept all the same."""
+    digests = spark.range(10).selectExpr(f"unhex(sha2(cast(id as string), 256)) as {keyed.DIGEST}")
+    assert keyed._dealt(digests, 10).rdd.getNumPartitions() == 1
+    assert keyed._dealt(digests, keyed.TASK_ROWS + 1).rdd.getNumPartitions() == 2
+    assert keyed._dealt(digests, keyed.SENT_ROWS + 1) is digests
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(keyed, "TASK_ROWS", 3)
+    for sent in (1000, 5):
+        monkeypatch.setattr(keyed, "SENT_ROWS", sent)
+        names = [f"n{i % 20}{sent % 3}" for i in range(50)] + [None, None]
+        rows = frame(spark, names, sent).withColumn("ord", F.monotonically_increasing_id())
+        assert keyed.insert_new(spark, path, rows, KEYS, order="ord") == (21 if sent == 1000 else 20)
+        assert keyed.insert_new(spark, path, rows, KEYS, order="ord") == 0
+    assert len(stored(spark, path)) == 41

@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from tickertide.operators.matching import match_tickers
 from tickertide.schemas import AI_TERMS, LEXICON, RAW_COLUMNS
 from tickertide.sources.writers import read_score_table
@@ -50,3 +52,28 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     batch = match_tickers(spark.read.parquet(src), lex, ai, ai_only=True)
     want = {(r.headline, r.ticker, int(r.is_proxy_partnership)) for r in batch.collect()}
     assert got == sorted(want)
+
+
+def test_upsert_deals_one_file_over_tasks_and_reads_keywords_once(spark, tmp_path, monkeypatch):
+    """A landed file may be one row group: its texts are matched by several tasks, with tables sent once."""
+    src, mark = str(tmp_path / "src"), str(tmp_path / "mark")
+    lex = spark.createDataFrame([("A", "alpha", "identity")], LEXICON)
+    ai = spark.createDataFrame([("ai", "ai_buzz_phrases")], AI_TERMS)
+    words = "concat_ws(' ', 'alpha ai', id, transform(sequence(1, 60), x -> sha2(concat(id, '-', x), 256)))"
+    for k in range(2):
+        rows = spark.range(3000 * k, 3000 * (k + 1), numPartitions=1)
+        rows = rows.selectExpr(*(f"{words if c == 'headline' else repr('x')} as {c}" for c in RAW_COLUMNS))
+        rows.write.mode("append").parquet(src)
+    made, batches = [], []
+    matcher = ingest.ticker_matcher
+    monkeypatch.setattr(ingest, "ticker_matcher", lambda *a, **b: made.append(1) or matcher(*a, **b))
+
+    def seen(session, table, batch):
+        at = batch.groupBy(F.spark_partition_id().alias("at")).count().collect()
+        batches.append([r["count"] for r in at])
+
+    monkeypatch.setattr(ingest, "insert_or_ignore", seen)
+    stream = ingest.read_stream(spark, src, maxFilesPerTrigger="1")
+    ingest.stream_match_upsert(stream, lex, ai, "", mark).awaitTermination()
+    assert len(made) == 1
+    assert [sum(b) for b in batches] == [3000, 3000] and all(len(b) > 1 and max(b) < 2000 for b in batches)

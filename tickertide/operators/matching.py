@@ -186,27 +186,37 @@ def _owners_in_slices(
     return rows.join(found, "_id", "left").drop("_id")
 
 
-def find_owners(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
-    """Add ``_found``: the distinct ticker, partner and ai of the keywords present in ``text``.
+def owner_search(keywords: DataFrame, strategy: str = "auto") -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds ``_found``: the distinct ticker, partner and ai of the keywords present in a text column.
 
     As ``find_keywords``, but the keywords themselves are left out, so that a table beyond the
-    bound needs no join on keys: the windows of a text are looked up in tables of any size.
+    bound needs no join on keys: the windows of a text are looked up in tables of any size.  The
+    keywords are measured and sent to the tasks here, once for all frames that are searched.
     """
     if strategy == "token":
-        return find_keywords(df, text, keywords, strategy)
+        return lambda df, text: find_keywords(df, text, keywords, strategy)
     if strategy not in ("auto", "broadcast"):
         raise ValueError(f"unknown strategy: {strategy}")
     slices = automaton.slices_for(keywords)
     if slices == 1:
-        return df.withColumn("_found", automaton.owner_finder(keywords)(F.col(text)))
-    return windows.with_owners(df, text, keywords, slices)
+        find = automaton.owner_finder(keywords)
+        return lambda df, text: df.withColumn("_found", find(F.col(text)))
+    return windows.owner_search(keywords, slices)
+
+
+def find_owners(df: DataFrame, text: str, keywords: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Add ``_found`` to one frame, see ``owner_search``."""
+    return owner_search(keywords, strategy)(df, text)
+
+
+def _found_in(h: DataFrame, search: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    return search(h.withColumn("_text", normalize_headline(F.col("headline"))), "_text").drop("_text")
 
 
 def _with_found(
     df: DataFrame, lex: DataFrame | None, ai_terms: DataFrame | None, strategy: str
 ) -> DataFrame:
-    texts = df.withColumn("_text", normalize_headline(F.col("headline")))
-    return find_owners(texts, "_text", _keyword_rows(lex, ai_terms), strategy).drop("_text")
+    return _found_in(df, owner_search(_keyword_rows(lex, ai_terms), strategy))
 
 
 def match_tickers(
@@ -221,7 +231,19 @@ def match_tickers(
     Headlines without a ticker disappear, and a row that occurs twice yields its rows twice.
     ``ai_only`` leaves headlines without an AI term out before rows are unfolded.
     """
-    found = _with_found(h, lex, ai_terms, strategy)
+    return ticker_matcher(lex, ai_terms, strategy, ai_only)(h)
+
+
+def ticker_matcher(
+    lex: DataFrame, ai_terms: DataFrame, strategy: str = "auto", ai_only: bool = False
+) -> Callable[[DataFrame], DataFrame]:
+    """``match_tickers`` for many frames: the keyword tables are read once, here."""
+    search = owner_search(_keyword_rows(lex, ai_terms), strategy)
+    return lambda h: _unfolded(h, _found_in(h, search), ai_only)
+
+
+def _unfolded(h: DataFrame, found: DataFrame, ai_only: bool) -> DataFrame:
+    """A row per ticker found."""
     is_ai = F.exists("_found", lambda e: e["ai"])
     named = F.filter("_found", lambda e: ~e["ai"])
     tickers = F.array_sort(F.array_distinct(F.transform(named, lambda e: e["ticker"])))

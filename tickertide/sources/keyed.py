@@ -16,6 +16,7 @@ that dies leaves an unlisted batch, which no reader sees.
 from __future__ import annotations
 
 import json
+import math
 import os
 import time
 import uuid
@@ -32,8 +33,10 @@ BUCKETS = 16
 # Batches of a level (rows inserted, merged once, twice ...) after which an insert merges them into
 # one of the next, so that a row is written anew once a level and not by every merge.
 MERGE_AT = 32
-# Digests of so many rows at most are sent to the tasks that scan the stored ones.
+# Digests of so many rows at most are sent to the tasks that scan the stored ones, and dealt
+# over as few tasks as their number asks for: a shuffle to many costs a file for each, a batch.
 SENT_ROWS = 500_000
+TASK_ROWS = 100_000
 DIGEST = "_key_digest"
 ATTEMPTS = 50
 
@@ -165,11 +168,16 @@ def _stored_digests(
     return found
 
 
+def _dealt(digests: DataFrame, rows: int) -> DataFrame:
+    """By digest over a task for each ``TASK_ROWS``; left alone where there may be more than are sent."""
+    return digests.repartition(math.ceil(rows / TASK_ROWS), DIGEST) if rows <= SENT_ROWS else digests
+
+
 def _unstored(firsts: DataFrame, stored: DataFrame, rows: int) -> DataFrame:
     """Of ``rows`` digests at most those that aren't stored; the table is only scanned."""
     wanted = firsts.select(DIGEST)
     wanted = F.broadcast(wanted) if rows <= SENT_ROWS else wanted
-    hits = stored.join(wanted, DIGEST, "left_semi").distinct()
+    hits = _dealt(stored.join(wanted, DIGEST, "left_semi"), rows).distinct()
     return firsts.join(hits, DIGEST, "left_anti")
 
 
@@ -215,7 +223,8 @@ def insert_new(
     firsts = batch.select(DIGEST, "_row")
     if order is not None:
         rank = F.min(F.struct(order, "_row")).alias("first")
-        firsts = batch.groupBy(DIGEST).agg(rank).select(DIGEST, F.col("first._row").alias("_row"))
+        firsts = _dealt(batch.select(DIGEST, order, "_row"), size).groupBy(DIGEST).agg(rank)
+        firsts = firsts.select(DIGEST, F.col("first._row").alias("_row"))
     for attempt in range(ATTEMPTS):
         if state.version and (state.keys, state.buckets) != (keys, buckets):
             raise ValueError(f"{path} has keys {state.keys} in {state.buckets} buckets")

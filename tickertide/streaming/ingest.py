@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickertide.operators.matching import match_tickers
+from tickertide.operators.matching import ticker_matcher
 from tickertide.schemas import MATCHED_COLUMNS, RAW, RAW_COLUMNS
 from tickertide.sources.headlines import CSV_OPTIONS
 from tickertide.sources.keyed import insert_new, read_keyed
@@ -78,11 +78,14 @@ def stream_match_upsert(
 ) -> StreamingQuery:
     """Match each micro-batch, keep AI rows, and add those whose key is not stored.
 
-    A batch that is run again after a failure finds its rows stored and adds nothing.
+    A batch that is run again after a failure finds its rows stored and adds nothing.  A run over
+    what is there (``available_now``) reads the keyword tables once, a stream without end at every batch.
+    A landed file may be one row group, which one task reads: its rows are dealt over all tasks.
     """
+    once = ticker_matcher(lex, ai_terms, ai_only=True) if available_now else None
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        matched = match_tickers(batch, lex, ai_terms, ai_only=True)
+        matched = (once or ticker_matcher(lex, ai_terms, ai_only=True))(batch.hint("rebalance"))
         # Within a batch files have no order: the earliest fetch is kept.
         order = F.struct("fetched_at", "posted_at", "source", "reporter").alias("ord")
         insert_or_ignore(batch.sparkSession, table, matched.select(*MATCHED_COLUMNS, order))
