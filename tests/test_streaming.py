@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tickertide import session
 from tickertide.operators.matching import match_tickers
 from tickertide.schemas import AI_TERMS, LEXICON, RAW_COLUMNS
 from tickertide.sources.writers import read_score_table
@@ -77,3 +78,20 @@ def test_upsert_deals_one_file_over_tasks_and_reads_keywords_once(spark, tmp_pat
     ingest.stream_match_upsert(stream, lex, ai, "", mark).awaitTermination()
     assert len(made) == 1
     assert [sum(b) for b in batches] == [3000, 3000] and all(len(b) > 1 and max(b) < 2000 for b in batches)
+
+
+def test_upsert_leaves_no_files_of_its_batches_behind(spark, tmp_path, monkeypatch):
+    """Rows written aside and shuffled go with their batch; the caller's session keeps its settings."""
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    lex = spark.createDataFrame([("A", "alpha", "identity")], LEXICON)
+    ai = spark.createDataFrame([("ai", "ai_buzz_phrases")], AI_TERMS)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    for names in (("alpha ai", "beta"), ("alpha ai", "alpha ai too")):
+        land(spark, src, *names)
+        stream = ingest.read_stream(spark, src, maxFilesPerTrigger="1")
+        ingest.stream_match_upsert(stream, lex, ai, out, mark).awaitTermination()
+    assert sorted(r.headline for r in read_score_table(spark, out).collect()) == ["alpha ai", "alpha ai too"]
+    assert (tmp_path / "shared").exists() and list((tmp_path / "shared").iterdir()) == []
+    assert spark.conf.get(name, None) == before

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,16 @@ def cut_lineage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str = "stage", **options: str) -> Iterator[DataFrame]:
+    """Like ``cut_lineage``, for a frame that nobody reads after the block: its files go then."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    try:
+        df.write.mode("errorifexists").options(**options).parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from tickertide.session import cut_lineage
+from tickertide.session import staged
 
 # Choose about a bucket for each gigabyte of key columns where a table grows large.
 BUCKETS = 16
@@ -214,7 +214,22 @@ def insert_new(
     marked = rows.withColumns(
         {"bucket": bucket_of(keys, buckets), DIGEST: key_digest(keys), "_row": F.monotonically_increasing_id()}
     )
-    batch = cut_lineage(marked, "batch", compression="zstd")
+    with staged(marked, "batch", compression="zstd") as batch:
+        return _insert(spark, path, batch, state, schema, keys, buckets, merge_at, order)
+
+
+def _insert(
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    state: State,
+    schema: StructType,
+    keys: tuple[str, ...],
+    buckets: int,
+    merge_at: int,
+    order: str | None,
+) -> int:
+    """Adds those rows of a batch written aside, with bucket, digest and number, that are new."""
     # At most one number for each bucket.
     counted = batch.groupBy("bucket").count().collect()
     touched, size = sorted(r["bucket"] for r in counted), sum(r["count"] for r in counted)
@@ -232,15 +247,15 @@ def insert_new(
         new = firsts
         if state.batches:
             new = _unstored(firsts, _stored_digests(spark, path, schema, known, touched), size)
-        new = cut_lineage(new.select("_row"), "new")
-        adding = new.count()
-        if not adding:
-            return 0
-        fresh = batch
-        if adding < size:
-            fresh = batch.join(F.broadcast(new) if adding <= SENT_ROWS else new, "_row", "left_semi")
         name = _name()
-        added = _write(fresh.select(*schema.names, DIGEST, "bucket"), path, name)
+        with staged(new.select("_row"), "new") as new:
+            adding = new.count()
+            if not adding:
+                return 0
+            fresh = batch
+            if adding < size:
+                fresh = batch.join(F.broadcast(new) if adding <= SENT_ROWS else new, "_row", "left_semi")
+            added = _write(fresh.select(*schema.names, DIGEST, "bucket"), path, name)
         if _commit(spark, path, State(state.version + 1, buckets, keys, (*state.batches, name))):
             _merge_levels(spark, path, schema, merge_at)
             return added

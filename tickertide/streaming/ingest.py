@@ -85,6 +85,8 @@ def stream_match_upsert(
     once = ticker_matcher(lex, ai_terms, ai_only=True) if available_now else None
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        # In the stream's own session: what a batch shuffles goes with it, not when the driver collects garbage.
+        batch.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         matched = (once or ticker_matcher(lex, ai_terms, ai_only=True))(batch.hint("rebalance"))
         # Within a batch files have no order: the earliest fetch is kept.
         order = F.struct("fetched_at", "posted_at", "source", "reporter").alias("ord")
