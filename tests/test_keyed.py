@@ -176,3 +176,27 @@ def test_few_digests_go_to_few_tasks(spark, tmp_path, monkeypatch):
         assert keyed.insert_new(spark, path, rows, KEYS, order="ord") == (21 if sent == 1000 else 20)
         assert keyed.insert_new(spark, path, rows, KEYS, order="ord") == 0
     assert len(stored(spark, path)) == 41
+
+
+def test_a_merge_moves_no_row(spark, tmp_path, monkeypatch):
+    """Each bucket's files are read by tasks of their own, as many as their bytes ask for."""
+    path = str(tmp_path / "t")
+    for k in range(3):
+        keyed.insert_new(spark, path, frame(spark, [f"n{i}" for i in range(40 * k, 40 * k + 40)], k), KEYS, buckets=5, merge_at=9)
+    before, plans = stored(spark, path), []
+    kind = type(spark.range(0))
+    writer = kind.write.fget
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return writer(df)
+
+    monkeypatch.setattr(kind, "write", property(seen))
+    monkeypatch.setattr(keyed, "MERGED_BUCKETS", 2)
+    monkeypatch.setattr(keyed, "MERGED_BYTES", 2000)
+    assert keyed.merge_batches(spark, path, StructType.fromDDL(SCHEMA))
+    monkeypatch.undo()
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+    assert stored(spark, path) == before and len(keyed.table_state(spark, path).batches) == 1
+    again = frame(spark, [f"n{i}" for i in range(130)], 9)
+    assert keyed.insert_new(spark, path, again, KEYS) == 10

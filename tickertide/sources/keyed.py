@@ -21,6 +21,7 @@ import os
 import time
 import uuid
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,9 @@ MERGE_AT = 32
 # over as few tasks as their number asks for: a shuffle to many costs a file for each, a batch.
 SENT_ROWS = 500_000
 TASK_ROWS = 100_000
+# A merge's task takes about so many bytes of a bucket's files; so many buckets are one job.
+MERGED_BYTES = 64 << 20
+MERGED_BUCKETS = 64
 DIGEST = "_key_digest"
 ATTEMPTS = 50
 
@@ -279,6 +283,17 @@ def _merge_levels(spark: SparkSession, path: str, schema: StructType, merge_at:
         level += 1
 
 
+def _bucket_bytes(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[int, int]:
+    """Bytes of some batches' files by bucket."""
+    sizes: dict[int, int] = {}
+    for name in names:
+        fs, files = _hadoop(spark, f"{path}/batch={name}/bucket=*/*.parquet")
+        for f in fs.globStatus(files):
+            bucket = int(f.getPath().getParent().getName().removeprefix("bucket="))
+            sizes[bucket] = sizes.get(bucket, 0) + f.getLen()
+    return sizes
+
+
 def merge_batches(
     spark: SparkSession, path: str, schema: StructType, names: tuple[str, ...] | None = None
 ) -> bool:
@@ -292,8 +307,17 @@ def merge_batches(
     if len(own) < 2:
         return True
     name = _name(1 + max(_level(n) or 0 for n in own))
-    rows = _rows_of(spark, path, schema, replace(state, batches=own))
-    _write(rows.withColumn(DIGEST, key_digest(state.keys)), path, name)
+    sizes = _bucket_bytes(spark, path, own)
+    rows = _rows_of(spark, path, StructType([*schema.fields]).add(DIGEST, "binary"), replace(state, batches=own))
+    rows = rows.withColumn(DIGEST, F.coalesce(DIGEST, key_digest(state.keys)))
+    for k in range(0, len(sizes), MERGED_BUCKETS):
+        # A bucket's files are read by tasks of their own, so no row is shuffled.
+        parts = [
+            rows.where(F.col("bucket") == b).coalesce(max(1, math.ceil(size / MERGED_BYTES)))
+            for b, size in sorted(sizes.items())[k : k + MERGED_BUCKETS]
+        ]
+        merged = reduce(DataFrame.unionAll, parts).write.mode("append").partitionBy("bucket")
+        merged.option("compression", "zstd").parquet(f"{path}/batch={name}")
     kept = tuple(n for n in state.batches if n not in own)
     if _commit(spark, path, State(state.version + 1, state.buckets, state.keys, (name, *kept))):
         return True
